@@ -1,19 +1,51 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on what its predecessor kept."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on what its predecessor kept.
+
+Every stage but the last returns the columns of its input.  Rows with null keys or texts pass through each stage as its
+operator's docstring defines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from silt.llm import simhash
+from silt.llm import decontaminate, pieces, pii, quality, simhash
 from silt.llm.common import saved, table
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
     return simhash.dedupe(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with placeholders for personal data; n_chars follows the new text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with piece ids in place of texts, and how many."""
+    return pieces.encode(docs).withColumn("n_pieces", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", redact),
+    ("sentencepiece", encode),
+]
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silt.llm import decontaminate, pii, quality, simhash
+from silt.llm import decontaminate, pieces, pii, quality, simhash
 from silt.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
 }
 
