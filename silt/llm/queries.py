@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silt.llm import decontaminate, pieces, pii, quality, repeats, simhash
+from silt.llm import archives, chat, decontaminate, pieces, pii, quality, repeats, simhash
 from silt.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.report(table(spark, sf_dir, "pages"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
@@ -34,15 +38,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(spark, table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_repeats": op2_repeats,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_warc": archives.ORACLE_SQL,
+    "op10_chat": chat.ORACLE_SQL,
 }
