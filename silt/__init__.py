@@ -1,0 +1 @@
+"""Evolutionary analysis of version-control history on Spark."""
