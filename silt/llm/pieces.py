@@ -33,10 +33,11 @@ from silt.llm.common import map_arrow, partitions, saved, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK_CHARS = 1 << 16, 1 << 14
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 SPACE = "▁"
 State = tuple[int, int]  # characters of a piece before and after a boundary
 START: State = (0, 0)
+_FREE = 0xFFFF  # in place of the piece before the first
 
 
 class Codec:
@@ -57,17 +58,28 @@ class Codec:
         self.longest = max(map(len, self.pieces))
         joined = {c for p in self.pieces if len(p) > 1 for c in p}
         self.joined = joined
+        self.bigrams = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.names = dict(zip(self.pieces.values(), self.pieces))
+        self.whole = all(c in self.pieces for c in joined) and n < _FREE
+        ranks = {s: 2 * r for r, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.ranks = {i: ranks[self.scores[p]] if len(p) > 1 else -1 for p, i in self.pieces.items()}
+        tied = {s for s in self.scores.values() if s <= -1e9}
+        self.tied = {i for p, i in self.pieces.items() if self.scores[p] in tied and len(p) > 1}
+        self.prefixes = {p[:i]: -1 for p in self.pieces for i in range(1, len(p))} | self.pieces
+        self._splits: dict[int, tuple[int, int] | None] = {}
+        self._joint: dict[int, bool] = {}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces that hold a space after a letter aren't supported")
         self.segment = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if "\n" not in joined else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self._pairs: dict[tuple[str, str], bool] = {}
         self._new: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
+        self._runs: dict[str, tuple[int, ...]] = {}
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def merged(self, s: str) -> list[str]:
+    def merged(self, s: str, trace: list | None = None) -> list[str]:
         """The encoding of a few characters by its definition: merge the best-scored, leftmost pair until none is left."""
         parts, scores = list(s), self.scores
         while True:
@@ -78,6 +90,8 @@ class Codec:
                     best, at = score, i
             if at < 0:
                 return parts
+            if trace is not None:
+                trace.append((parts[at], parts[at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, a: str, b: str) -> bool:
@@ -89,6 +103,83 @@ class Codec:
             found = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
+    def split(self, b: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes piece b of its own characters; (-1, -1) for one character, None if they don't encode to b."""
+        if b not in self._splits:
+            p, trace = self.names[b], []
+            alone = self.merged(p, trace) == [p]
+            self._splits[b] = None if not alone else (self.pieces[trace[-1][0]], self.pieces[trace[-1][1]]) if trace else (-1, -1)
+        return self._splits[b]
+
+    def joint(self, a: int, b: int) -> bool:
+        """``compatible`` by ids: merges are undone from the last one, and between any two of them the pieces at the seam must not have merged first."""
+        if self.split(b) is None or a != _FREE and self.split(a) is None:
+            return False
+        if a == _FREE:
+            return True
+        if a in self.tied or b in self.tied:
+            return self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+        limit = 1 << 60
+        while True:
+            c = self.pieces.get(self.names[a] + self.names[b])
+            if c is not None and self.ranks[c] < limit:
+                return False
+            ra, rb = self.ranks[a], self.ranks[b]
+            if ra > rb:
+                limit, a = ra, self.split(a)[1]
+            elif rb < 0:
+                return True
+            else:
+                limit, b = rb + 1, self.split(b)[0]
+
+    def run_ids(self, s: str) -> list[int]:
+        """Ids of characters that are all pieces: ``forward`` and ``back`` by ids."""
+        n, get, joint, longest = len(s), self.prefixes.get, self._joint, self.longest
+        last, start = [_FREE] * (n + 1), [0] * (n + 1)
+        for j in range(n):
+            a = last[j] << 16
+            for i in range(j + 1, min(n, j + longest) + 1):
+                b = get(s[j:i])
+                if b is None:
+                    break
+                if b >= 0 and last[i] == _FREE:
+                    ok = joint.get(a | b)
+                    if ok is None:
+                        if len(joint) > 4 * REMEMBERED:
+                            joint.clear()
+                        ok = joint[a | b] = self.joint(last[j], b)
+                    if ok:
+                        last[i], start[i] = b, j
+        out = []
+        while n:
+            out.append(last[n])
+            n = start[n]
+        return out[::-1]
+
+    def _worked_out(self, s: str) -> tuple[int, ...]:
+        """Ids of a segment: cut wherever no piece holds the two characters, then the path through each run."""
+        if len(s) > CHUNK_CHARS:
+            return tuple(self.scanned(s))
+        if not self.whole:
+            return tuple(self.back(s, self.forward(s, {0: -1}, 0, len(s)), len(s), 0))
+        bigrams = self.bigrams
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in bigrams]
+        out: list[int] = []
+        for a, b in zip([0, *cuts], [*cuts, len(s)]):
+            run = s[a:b]
+            if b - a == 1:
+                out += self.ids_of(run)
+                continue
+            found = self._runs.get(run)
+            if found is None:
+                found = tuple(self.run_ids(run))
+                if b - a <= 32:
+                    if len(self._runs) >= REMEMBERED:
+                        self._runs.clear()
+                    self._runs[run] = found
+            out += found
+        return tuple(out)
+
     def forward(self, z: str, last: dict[int, int], start: int, stop: int) -> dict[int, int]:
         """For each place up to ``stop`` that a path from the places in ``last`` reaches: where its last piece starts (-1: a free start)."""
         pieces, longest, pairs = self.pieces, self.longest, self._pairs
@@ -124,7 +215,7 @@ class Codec:
         if found is None:
             found = self._old.pop(s, None)
             if found is None:
-                found = tuple(self.back(s, self.forward(s, {0: -1}, 0, len(s)), len(s), 0)) if len(s) <= CHUNK_CHARS else tuple(self.scanned(s))
+                found = self._worked_out(s)
             if len(s) <= 64:
                 if len(self._new) >= REMEMBERED:
                     self._old, self._new = self._new, {}
