@@ -1,7 +1,7 @@
 """Connected components of an edge table, by contraction, without bringing anything to the driver.
 
-Each round hooks every node to its smallest neighbour, halves the paths, and rewrites the edges to the nodes'
-new parents; edges inside one tree vanish.  The rounds grow with the logarithm of the longest path.  Every
+Each round hooks every node to its smallest neighbour, halves the paths until they end at roots, and rewrites the edges
+to the roots; edges inside one tree vanish.  Rounds and halvings grow with the logarithm of the number of nodes.  Every
 aggregation is a ``min``, which Spark combines before the shuffle, so a hub with many edges costs one row a task.
 """
 
@@ -14,11 +14,15 @@ MAX_ROUNDS = 64
 
 
 def _step(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges (a > b): parents (v, p) of all end points after hooking and one halving, and the edges rewritten."""
+    """edges (a > b): roots (v, p) of all end points after hooking, and the edges between roots."""
     ends = edges.select(F.col("a").alias("v"), F.col("b").alias("p")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("p")))
-    hooked = ends.groupBy("v").agg(F.min("p").alias("p"))
-    up = hooked.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-    parents = hooked.join(up, "p").select("v", F.col("pp").alias("p")).checkpoint()
+    parents = ends.groupBy("v").agg(F.min("p").alias("p")).checkpoint()
+    for _ in range(MAX_ROUNDS):
+        up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        halved = parents.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")).checkpoint()
+        parents = halved.select("v", "p")
+        if halved.where("moved").isEmpty():
+            break
     left = parents.select(F.col("v").alias("a"), F.col("p").alias("pa"))
     right = parents.select(F.col("v").alias("b"), F.col("p").alias("pb"))
     moved = edges.join(left, "a").join(right, "b").where("pa <> pb")
