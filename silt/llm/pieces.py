@@ -33,7 +33,7 @@ from silt.llm.common import map_arrow, partitions, saved, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK_CHARS = 1 << 16, 1 << 14
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 SPACE = "▁"
 State = tuple[int, int]  # characters of a piece before and after a boundary
 START: State = (0, 0)
@@ -65,12 +65,20 @@ class Codec:
         self.ranks = {i: ranks[self.scores[p]] if len(p) > 1 else -1 for p, i in self.pieces.items()}
         tied = {s for s in self.scores.values() if s <= -1e9}
         self.tied = {i for p, i in self.pieces.items() if self.scores[p] in tied and len(p) > 1}
-        self.prefixes = {p[:i]: -1 for p in self.pieces for i in range(1, len(p))} | self.pieces
+        self.trie: dict[str, tuple[int, dict]] = {}  # a character: (the piece that ends here or -1, what may follow)
+        for p in sorted(self.pieces, key=len):
+            kids = self.trie
+            for c in p[:-1]:
+                kids = kids.setdefault(c, (-1, {}))[1]
+            kids[p[-1]] = (self.pieces[p], kids[p[-1]][1] if p[-1] in kids else {})
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._joint: dict[int, bool] = {}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces that hold a space after a letter aren't supported")
-        self.segment = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if "\n" not in joined else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        # A run of letters ends, for good, at a mark that follows a letter in no piece.
+        marks = "".join(re.escape(chr(q)) for q in range(33, 127) if not chr(q).isalnum() and not any(g[1] == chr(q) and g[0].isalpha() for g in self.bigrams))
+        line = "" if "\n" in joined else r"\n"
+        self.segment = re.compile(rf"{line or '(?!)'}|{SPACE}*[^\W\d_]++(?=[{marks}{SPACE}{line}]|\Z)|{SPACE}*[^{SPACE}{line}]+|{SPACE}+")
         self._pairs: dict[tuple[str, str], bool] = {}
         self._new: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
@@ -134,14 +142,16 @@ class Codec:
 
     def run_ids(self, s: str) -> list[int]:
         """Ids of characters that are all pieces: ``forward`` and ``back`` by ids."""
-        n, get, joint, longest = len(s), self.prefixes.get, self._joint, self.longest
+        n, joint, chars, root = len(s), self._joint, list(s), self.trie
         last, start = [_FREE] * (n + 1), [0] * (n + 1)
         for j in range(n):
-            a = last[j] << 16
-            for i in range(j + 1, min(n, j + longest) + 1):
-                b = get(s[j:i])
-                if b is None:
+            a, i, kids = last[j] << 16, j, root
+            for c in chars[j:]:
+                i += 1
+                node = kids.get(c)
+                if node is None:
                     break
+                b, kids = node
                 if b >= 0 and last[i] == _FREE:
                     ok = joint.get(a | b)
                     if ok is None:
@@ -164,6 +174,8 @@ class Codec:
             return tuple(self.back(s, self.forward(s, {0: -1}, 0, len(s)), len(s), 0))
         bigrams = self.bigrams
         cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in bigrams]
+        if not cuts and len(s) > 1:
+            return tuple(self.run_ids(s))
         out: list[int] = []
         for a, b in zip([0, *cuts], [*cuts, len(s)]):
             run = s[a:b]
@@ -377,7 +389,8 @@ def _ids(docs: DataFrame, text: str, model: str, giant: int, size: int) -> tuple
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, giant: int = GIANT, size: int = CHUNK_CHARS) -> DataFrame:
-    """``docs`` with the ids of each whole text instead of the text, under the name ``ids``."""
+    """``docs`` with the ids of each whole text instead of the text, under the name ``ids``; another column of that name goes."""
+    docs = docs.drop(ids) if ids != text else docs
     short, giants, proto = _ids(docs.withColumnRenamed(text, "__text"), "__text", model, giant, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
