@@ -121,9 +121,19 @@ def _pairs(flat) -> list[tuple[int, int]]:
     return [(x["h"], x["g"]) for x in flat or ()]
 
 
+def _met(rows: DataFrame, sums: DataFrame, column: str, *others: str) -> DataFrame:
+    """``rows`` with the columns of ``sums`` for their keys.
+
+    The sums come out dealt by their keys; joined as they are, a hot key's rows would be bound to one task.  By a key of the same
+    information under another name both sides are dealt anew, and Spark splits the large one.
+    """
+    name = F.col(column).bitwiseXOR(F.lit(1)).alias("__key")
+    return rows.select("*", name).join(sums.select(*[c for c in sums.columns if c != column], name), ["__key", *others]).drop("__key")
+
+
 def _later(rows: DataFrame) -> DataFrame:
     """Rows (h, g, key) with ``least``, the smallest key that holds (h, g)."""
-    return rows.join(rows.groupBy("h", "g").agg(F.min("key").alias("least")), ["h", "g"])
+    return _met(rows, rows.groupBy("h", "g").agg(F.min("key").alias("least")), "h", "g")
 
 
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -132,7 +142,7 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     runs = saved(_runs(own, kind, window), "repeats-runs")
     twice = runs.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("half")
-    live = saved(runs.join(twice, "half").select("h", "g", "key"), "repeats-live")
+    live = saved(_met(runs, twice, "half").select("h", "g", "key"), "repeats-live")
     lists = _later(live).groupBy("key").agg(
         F.collect_list(F.when(F.col("key") > F.col("least"), F.struct("h", "g"))).alias("decided"), F.collect_list(F.when(F.col("key") == F.col("least"), F.struct("h", "g"))).alias("open")
     )
@@ -157,7 +167,7 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     fine = map_arrow(joined, windows, f"h long, g int, key {kind}")
     first = fine.groupBy("h", "g").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h", "g", "least")
-    found = fine.join(first, ["h", "g"]).where(F.col("key") > F.col("least")).groupBy("key").agg(F.collect_list(F.struct("h", "g")).alias("found"))
+    found = _met(fine, first, "h", "g").where(F.col("key") > F.col("least")).groupBy("key").agg(F.collect_list(F.struct("h", "g")).alias("found"))
     found = found.withColumnRenamed("key", "k2")
     return joined.join(found, F.col("key") == F.col("k2"), "left").select("key", "text", "decided", "found")
 
