@@ -44,9 +44,27 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SAVED: list[str] = []
+
+
+def saved_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_SAVED)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``saved`` wrote after the mark ``since``, but for the last one."""
+    jvm = spark.sparkContext._jvm
+    drop, _SAVED[since:] = _SAVED[since:-1], _SAVED[-1:]
+    for path in drop:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of at most BATCH_ROWS rows, so that long texts don't pile up in one batch."""
     conf = df.sparkSession.conf

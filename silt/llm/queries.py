@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_repeats": repeats.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op7_warc": archives.ORACLE_SQL,
     "op10_chat": chat.ORACLE_SQL,

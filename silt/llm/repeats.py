@@ -217,3 +217,18 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """(key, text): the words that stay, joined by single spaces."""
     kind = docs.schema[key].dataType.simpleString()
     return _applied(docs, key, text, window, lambda rows: [pa.array([b" ".join(w).decode("utf-8", "replace") for _, w in rows], pa.string())], f"{key} {kind}, {text} string")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+wins AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT s, min(doc_id) AS m FROM wins GROUP BY s),
+hits AS (SELECT r, i FROM wins JOIN least USING (s) WHERE m < doc_id),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+covered AS (
+  SELECT words.r, p, x, coalesce(max(CASE WHEN i IS NOT NULL THEN 1 END) OVER (PARTITION BY words.r ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS c
+  FROM words LEFT JOIN hits ON hits.r = words.r AND hits.i = words.p),
+kept AS (SELECT r, CAST(sum(c) AS BIGINT) AS n, string_agg(x, ' ' ORDER BY p) FILTER (c = 0) AS t FROM covered GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
