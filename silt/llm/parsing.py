@@ -154,18 +154,19 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], kind), *columns], names=names)
 
         held: list[tuple] = []
-        kind, done = None, False
+        kind, done, size = None, False, 0
         for b in batches:
             kind = b.column(1).type
             for main, k, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if done:
                     continue
-                if not main or len(held) >= 512:
+                if not main or len(held) >= 512 or size > 4 * BATCH_CHARS:
                     if held:
                         yield made(held, t or "")
-                    held, done = [], not main
+                    held, done, size = [], not main, 0
                 if main:
                     held.append((k, t or ""))
+                    size += len(t or "")
         if held:
             raise ValueError("a range has no following document")
 
