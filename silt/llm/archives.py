@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from silt.llm.common import map_arrow, saved, shared_dir
 
 ARCHIVE_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 LEAST_SHARED = 100
 DATE = "20240101000000"
 # The header fields of either version.
@@ -138,8 +139,21 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _records(rows: Iterator[tuple[str, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for name, seq, record in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seq], pa.int64()), pa.array([record], pa.binary())], names=["archive", "seq", "record"])
+    """Batches of about BATCH_BYTES; a larger record stands alone."""
+
+    def batch(held: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+        names, seqs, records = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(seqs, pa.int64()), pa.array(records, pa.binary())], names=["archive", "seq", "record"])
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
