@@ -6,17 +6,25 @@ The probability of a word is that of its class times that of the word in its cla
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
 HIDDEN, WIDTH = 16, 64
-WINDOW, LANES, SCORE_LANES = 32, 16, 256
+WINDOW, LANES, WIDEST, SCORE_LANES = 32, 16, 128, 256
+BUFFER = 8192  # segments that training holds
 RATE = 0.08
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.maximum(x, -30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -56,66 +64,83 @@ class Gru:
             at += p.size
         return Gru(self.size, *out)
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next states; ``x``: what the words add, ``h``: states, both with a column for each lane."""
         H = HIDDEN
-        a, x = h @ self.wh, self.x[ids]
-        zr = _sigmoid(x[:, : 2 * H] + a[:, : 2 * H])
-        z, r = zr[:, :H], zr[:, H:]
-        n = np.tanh(x[:, 2 * H :] + r * a[:, 2 * H :])
-        return n + z * (h - n), z, r, n, a[:, 2 * H :]
+        a = self.wh.T @ h
+        zr = _sigmoid(x[: 2 * H] + a[: 2 * H])
+        z, r, an = zr[:H], zr[H:], a[2 * H :]
+        n = r * an
+        n += x[2 * H :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, z, r, n, an
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms of the words' probabilities after states ``h``; with ``grads``, adds to them and gives the states' gradient."""
-        cls = np.where(ids < self.size, ids // WIDTH + 1, 0)
-        at = np.arange(len(ids))
+        cls = np.where(ids < self.size, ids // WIDTH + 1, 0).astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        cls, picks, at = cls[order], ids[order] % WIDTH, np.arange(len(ids))
+        hs = np.ascontiguousarray(h[order].T)
 
         def soft(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            logits -= logits.max(1, keepdims=True)
-            own = logits[at[: len(logits)], pick]
+            logits -= logits.max(0)
+            own = logits[pick, at[: len(pick)]]
             np.exp(logits, out=logits)
-            total = logits.sum(1, keepdims=True)
-            return own - np.log(total[:, 0]), np.divide(logits, total, out=logits)
+            total = logits.sum(0)
+            if grads is not None:
+                logits /= total
+                logits[pick, at[: len(pick)]] -= 1
+            return own - np.log(total), logits
 
-        out, p = soft(h @ self.wc + self.bc, cls)
+        out, p = soft(self.wc.T @ hs + self.bc[:, None], cls)
         dh = None
         if grads is not None:
-            p[at, cls] -= 1
-            grads[2] += h.T @ p
-            grads[3] += p.sum(0)
-            dh = p @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        limits = np.searchsorted(cls[order], np.arange(1, self.wo.shape[0] + 2))
+            grads[2] += hs @ p.T
+            grads[3] += p.sum(1)
+            dh = self.wc @ p
+        limits = np.searchsorted(cls, np.arange(1, self.wo.shape[0] + 2))
         for c in range(self.wo.shape[0]):
-            own = order[limits[c] : limits[c + 1]]
-            if len(own):
-                hc, pick = h[own], ids[own] % WIDTH
-                lp, p = soft(hc @ self.wo[c] + self.bo[c], pick)
+            own = slice(limits[c], limits[c + 1])
+            if own.start < own.stop:
+                lp, p = soft(self.wo[c].T @ hs[:, own] + self.bo[c][:, None], picks[own])
                 out[own] += lp
                 if grads is not None:
-                    p[at[: len(own)], pick] -= 1
-                    grads[4][c] += hc.T @ p
-                    grads[5][c] += p.sum(0)
-                    dh[own] += p @ self.wo[c].T
-        return out, dh
-
-    def train(self, segments: list[np.ndarray]) -> tuple[Gru, int]:
-        """A model after one pass over the segments, and the number of tokens; states carry over a segment's windows, gradients don't."""
+                    grads[4][c] += hs[:, own] @ p.T
+                    grads[5][c] += p.sum(1)
+                    dh[:, own] += self.wo[c] @ p
+        back = np.empty_like(order)
+        back[order] = at
+        return out[back], None if dh is None else dh.T[back]
+
+    def train(self, segments: Iterable[np.ndarray]) -> tuple[Gru, int]:
+        """A model after one pass over the segments, and the number of tokens; states carry over a segment's windows, gradients don't.
+
+        Segments come in parts of ``BUFFER``, so memory doesn't follow their number; batches start at ``LANES`` and widen to ``WIDEST``.
+        """
         m = self.with_vector(self.vector())
         params = m.parts()
         squares = [np.full_like(p, 1e-2) for p in params]
-        tokens = 0
-        segments = sorted(segments, key=len)
-        groups = [segments[i : i + LANES] for i in range(0, len(segments), LANES)]
-        np.random.default_rng(7).shuffle(groups)
-        for group in groups:
-            longest = max(map(len, group))
-            ids = np.full((longest, len(group)), -1, np.int64)
-            for b, s in enumerate(group):
-                ids[: len(s), b] = s
-            h = np.zeros((len(group), HIDDEN), np.float32)
-            for at in range(0, longest, WINDOW):
-                h, n = m._window(ids[at : at + WINDOW], h, params, squares)
-                tokens += n
+        rng = np.random.default_rng(7)
+        tokens, lanes, segments = 0, LANES, iter(segments)
+        while part := sorted(islice(segments, BUFFER), key=len):
+            groups = []
+            while part:
+                part, group = part[:-lanes], part[-lanes:]
+                groups.append(group)
+                lanes = min(lanes + LANES // 4, WIDEST)
+            rng.shuffle(groups)
+            for group in groups:
+                longest = len(group[-1])
+                ids = np.full((longest, len(group)), -1, np.int64)
+                for b, s in enumerate(group):
+                    ids[: len(s), b] = s
+                h = np.zeros((HIDDEN, len(group)), np.float32)
+                for at in range(0, longest, WINDOW):
+                    h, n = m._window(ids[at : at + WINDOW], h, params, squares)
+                    tokens += n
         return m, tokens
 
     def _window(self, ids: np.ndarray, h: np.ndarray, params, squares) -> tuple[np.ndarray, int]:
@@ -123,35 +148,50 @@ class Gru:
         before, kept = [], []
         live = ids >= 0
         known = np.where(live, ids, self.size)
+        xs = np.ascontiguousarray(self.x[known].transpose(0, 2, 1))
         for t in range(len(ids)):
             before.append(h)
-            h, *rest = self.step(known[t], h)
+            h, *rest = self.step(xs[t], h)
             kept.append(rest)
-        grads = [np.zeros_like(p) for p in params]
+        rows, at = np.unique(known, return_inverse=True)
+        grads = [np.zeros((len(rows), 3 * H), np.float32), *map(np.zeros_like, params[1:])]
+        states = np.stack(before)
         flat = live.ravel()
-        states = np.concatenate(before)
         n = int(flat.sum())
-        _, dlogits = self.log_probs(states[flat], ids.ravel()[flat], grads)
-        dstates = np.zeros_like(states)
+        _, dlogits = self.log_probs(states.transpose(0, 2, 1).reshape(-1, H)[flat], ids.ravel()[flat], grads)
+        dstates = np.zeros((live.size, H), np.float32)
         dstates[flat] = dlogits
-        dstates = dstates.reshape(len(ids), -1, H)
+        dstates = np.ascontiguousarray(dstates.reshape(*ids.shape, H).transpose(0, 2, 1))
         dh = np.zeros_like(h)
-        dxs = []
+        dxs, da = np.empty_like(xs), np.empty_like(xs)
         for t in range(len(ids) - 1, -1, -1):
             z, r, c, an = kept[t]
-            hp = before[t]
-            dn = dh * (1 - z) * (1 - c * c)
-            dz = dh * (hp - c) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            da = np.hstack([dz, dr, dn * r])
-            dxs.append(np.hstack([dz, dr, dn]))
-            grads[1] += hp.T @ da
-            dh = dh * z + da @ self.wh.T + dstates[t]
-        np.add.at(grads[0], known[::-1].ravel(), np.concatenate(dxs))
-        for p, g, s in zip(params, grads, squares):
-            g /= max(n, 1) ** 0.5
-            s += g * g
-            p -= RATE * g / np.sqrt(s)
+            dx, d = dxs[t], da[t]
+            keep = dh * z
+            dn = (dh - keep) * (1 - c * c)
+            np.multiply(keep * (before[t] - c), 1 - z, out=dx[:H])
+            np.multiply(dn * an * r, 1 - r, out=dx[H : 2 * H])
+            dx[2 * H :] = dn
+            d[: 2 * H] = dx[: 2 * H]
+            np.multiply(dn, r, out=d[2 * H :])
+            dh = self.wh @ d
+            dh += keep
+            dh += dstates[t]
+        flow = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+        grads[1] += flow(states) @ flow(da).T
+        order = np.argsort(at.ravel().astype(np.uint16), kind="stable")
+        steps = dxs.transpose(0, 2, 1).reshape(-1, 3 * H)[order]
+        grads[0] += np.add.reduceat(steps, np.searchsorted(at.ravel()[order], np.arange(len(rows))))
+        scale = np.float32(max(n, 1) ** -0.5)
+        for i, (p, g, s) in enumerate(zip(params, grads, squares)):
+            g *= scale
+            if i:
+                s += g * g
+                p -= RATE * g / np.sqrt(s)
+            else:  # only the words that occur
+                own = s[rows] + g * g
+                s[rows] = own
+                p[rows] -= RATE * g / np.sqrt(own)
         return h, n
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -177,19 +217,19 @@ class Gru:
         opens = np.zeros(total, bool)
         opens[np.r_[0, np.cumsum(sizes)[:-1]]] = True
         starts = np.r_[0, np.cumsum(loads)[:-1]]
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(lanes)), np.float32)
         for at in range(0, int(loads[0]), WINDOW):
             hs, places = [], []
             for t in range(at, min(at + WINDOW, int(loads[0]))):
                 live = int(np.searchsorted(-loads, -t, side="left"))
-                h = h[:live]
+                h = h[:, :live]
                 where = starts[:live] + t
                 fresh = opens[where]
                 if fresh.any():
-                    h = np.where(fresh[:, None], np.float32(0), h)
-                hs.append(h)
+                    h = np.where(fresh, np.float32(0), h)
+                hs.append(h.T)
                 places.append(where)
-                h = self.step(ids[where], h)[0]
+                h = self.step(np.ascontiguousarray(self.x[ids[where]].T), h)[0]
             where = np.concatenate(places)
             lp, _ = self.log_probs(np.concatenate(hs), ids[where])
             out += np.bincount(owner[where], lp.astype(np.float64), len(docs))

@@ -1,9 +1,9 @@
 """LM scoring of whole documents: counts over the whole training corpus, and a gated recurrent model (see ``gru``).
 
 Tokens are words in ASCII lower case and one end.  Counts cover all training tokens; tasks sum them first.  The model knows the ``KNOWN`` most frequent tokens; another token's
-probability is that of "another token" times its own add-one share among those.  It is trained in tasks on their own part of the corpus: of
-each stretch of ``STRETCH`` bytes one in ``EVERY`` (by hash), so every document takes part by its length and what is learned from grows with
-the corpus.  A round starts all tasks from one model and averages theirs, weighted by tokens, summed in a tree.
+probability is that of "another token" times its own add-one share among those.  It is trained in tasks on their own part of the corpus, once on
+every training token: texts are cut into stretches of ``STRETCH`` tokens, which are dealt to ``ROUNDS`` rounds.  A round starts all tasks from one model and averages
+theirs, weighted by tokens, summed in a tree.
 
 The most frequent tokens, ``HOT`` at most, go to the executors; what is rarer meets its counts in a join.  Nothing else leaves the executors but sums.
 
@@ -30,7 +30,8 @@ from silt.llm.common import chunks, map_arrow, saved, text_bytes
 from silt.llm.gru import Gru
 
 KNOWN, HOT = 2048, 200_000
-STRETCH, EVERY, ROUNDS = 800, 16, 2
+STRETCH, ROUNDS = 128, 2
+WRITTEN = 4096  # stretches written at once
 COUNTED = 200_000  # distinct tokens that a task holds before it passes its sums on
 SCORED = 400_000  # tokens scored at once
 FANIN = 32
@@ -63,27 +64,33 @@ def _counts(train: DataFrame) -> DataFrame:
 
 
 def _segments(train: DataFrame, ids) -> DataFrame:
-    """(ids, part): the stretches to train on, dealt to rounds."""
+    """(ids, part): all training tokens as stretches of 16-bit ids, dealt to rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {t: i for i, t in enumerate(ids.value)}
-        for b in batches:
+        other = len(known)
+        rows, parts = [], []
+
+        def flush():
+            nonlocal rows, parts
+            out = pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(parts, pa.int32())], names=["ids", "part"])
             rows, parts = [], []
+            return out
+
+        for b in batches:
             for t in b.column(0).to_pylist():
-                data = text_bytes(t).lower()
-                seed = xxhash.xxh64_intdigest(data)
-                for at in range(0, max(len(data), 1), STRETCH):
-                    h = xxhash.xxh64_intdigest(at.to_bytes(8, "little"), seed & 0xFFFFFFFF)
-                    if h % EVERY:
-                        continue
-                    words = data[at : at + STRETCH].split()
-                    whole = at + STRETCH >= len(data)
-                    words = words[1 if at and len(words) > 1 else 0 : None if whole else -1]
-                    rows.append([known.get(w, len(known)) for w in words] + ([known.get(END, len(known))] if whole else []))
-                    parts.append(h // EVERY % ROUNDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(parts, pa.int32())], names=["ids", "part"])
-
-    return map_arrow(train.select("text"), run, "ids array<int>, part int")
+                data = text_bytes(t)
+                turn = xxhash.xxh64_intdigest(data)
+                words = [np.fromiter(map(known.get, w, repeat(other)), np.uint16, len(w)) for w in (c.lower().split() for c in chunks(data))]
+                whole = np.concatenate([*words, np.array([known.get(END, other)], np.uint16)])
+                for at in range(0, len(whole), STRETCH):
+                    rows.append(whole[at : at + STRETCH].tobytes())
+                    parts.append((turn + at // STRETCH) % ROUNDS)
+                    if len(rows) > WRITTEN:
+                        yield flush()
+        yield flush()
+
+    return map_arrow(train.select("text"), run, "ids binary, part int")
 
 
 def _averaged(model: Gru, segments: DataFrame) -> Gru:
@@ -92,9 +99,8 @@ def _averaged(model: Gru, segments: DataFrame) -> Gru:
     start = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [s for b in batches for s in (np.asarray(x, np.int64) for x in b.column(0).to_pylist()) if len(s)]
-        if own:
-            m, n = start.value.train(own)
+        m, n = start.value.train(np.frombuffer(x, np.uint16) for b in batches for x in b.column(0).to_pylist())
+        if n:
             v = (m.vector().astype(np.float64) * n).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([v], pa.binary())], names=["slot", "n", "v"])
 

@@ -150,6 +150,25 @@ def test_scoring(spark, docs, empty):
     assert scoring.scored(empty).count() == 0
 
 
+def test_scoring_trains_on_every_token(spark):
+    rows = [(0, None), (1, ""), (2, "one"), (3, "two words " * 150), *[(4, "a copy")] * 3, (5, "x" * 900 + " y" * 64), (6, " ".join(f"w{i % 7}" for i in range(1000)))]
+    train = spark.createDataFrame(rows, "key long, text string")
+    expected = Counter(w for _, t in rows for w in [*(t or "").encode().split(), b""])
+    known = [b"", b"two", b"words", b"a", b"copy", b"y", b"w1"]
+    got = Counter()
+    for r in scoring._segments(train, spark.sparkContext.broadcast(known)).collect():
+        assert 0 <= r["part"] < scoring.ROUNDS
+        got.update(np.frombuffer(bytes(r["ids"]), np.uint16).tolist())
+    assert [got[i] for i in range(len(known))] == [expected[w] for w in known] and sum(got.values()) == sum(expected.values())
+
+
+def test_training_passes_over_all_segments_in_parts(monkeypatch):
+    monkeypatch.setattr(gru, "BUFFER", 50)
+    seqs = [np.array([(s + j) % 5 for j in range(s % 97)], np.uint16) for s in range(500)]
+    _, n = gru.Gru.fresh(np.ones(70), 5).train(iter(seqs))
+    assert n == sum(map(len, seqs))
+
+
 def test_gru_is_a_distribution_and_learns():
     r = np.random.default_rng(0)
     counts = np.sort(r.integers(1, 100, 150))[::-1].astype(float)
