@@ -40,8 +40,8 @@ WIDE = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20._/-]{0,2}+[0-9]){11,18}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}+\(?[0-9]{2,5}+\)?){1,5}+(?![0-9A-Za-z])",
 }
-# A document is searched by a wide pattern only if it holds this.
-GATE = {"email": r"(?i)[\[({ ]at[\])} ].{1,70}?[\[({ ]dot[\])} ]|@", "ip": r"[0-9A-Fa-f]:", "card": r"[0-9]", "phone": r"[0-9]"}
+# A document is searched by a wide pattern only if it holds this, which is a part of every match of the pattern.
+GATE = {"email": rf"{_AT}[A-Za-z0-9-]{{1,63}}+{_DOT}[A-Za-z0-9-]", "ip": r":[0-9A-Fa-f]{0,4}+:", "card": r"[0-9]", "phone": r"[0-9]"}
 OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)|0++)"
 # Words near a span, by what they speak for.
 WORDS = {

@@ -71,6 +71,21 @@ def test_added_spans_and_redaction(spark):
     assert out == {1: "mail me: [EMAIL] or call [PHONE] now", 2: rows[1][1], 3: "[EMAIL] and [IP]", 4: None} and pii.redact(df).columns == df.columns
 
 
+def test_gates_let_every_proposal_through(spark):
+    r = np.random.default_rng(4)
+    parts = ["john", "acme", "com", "@", "[at]", " (at) ", " at ", " AT ", "{ at }", ".", " dot ", "[dot]", " ", ":", "::", "1", "fe80", "4111", "-"]
+    proposed = Counter()
+    for text in ["john[at]acme.com", "john (at) acme.com", "::1", "a ::", *("".join(r.choice(parts, 9)) for _ in range(20000))]:
+        for k in pii.KINDS:
+            if re.search(pii.WIDE[k], text):
+                proposed[k] += 1
+                assert re.search(pii.GATE[k], text), (k, text)
+    assert proposed["email"] > 100 and proposed["ip"] > 100
+    df = spark.createDataFrame([(1, "mail me: johnny[at]acmeorg.com now"), (2, "mail me: johnny[at]acmeorg.com now @")], "doc_id long, text string")
+    assert [x["spans"] for x in pii.report(df).orderBy("doc_id").collect()] == ["email:9:30"] * 2
+    assert [x["text"] for x in pii.redact(df).orderBy("doc_id").collect()] == ["mail me: [EMAIL] now", "mail me: [EMAIL] now @"]
+
+
 def test_features_agree_and_plan_is_native(spark):
     cases = [("phone", "(555) 123-4567", "call ", ", now"), ("card", "4111.1111.1111.1111", "card ", " x"), ("ip", "fe80::1", "host ", ""), ("email", "a at b dot com", "x=", ":"), ("phone", "2024-01-05", "date ", "%")]
     for kind, m, before, after in cases:
