@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm.common import map_arrow, saved, shared_dir
+from silt.llm.common import map_arrow, new_folder, saved
 
 ARCHIVE_BYTES = 8 << 20
 BATCH_BYTES = 1 << 20
@@ -249,7 +249,7 @@ def read_back(spark: SparkSession, warc: str) -> DataFrame:
 def report(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) after pages -> ARC -> WARC -> records."""
     spark = pages.sparkSession
-    base = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    base = new_folder(spark, "archives")
     if pages.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     write_arc(pages, f"{base}/arc")

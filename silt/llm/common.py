@@ -12,6 +12,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
-BATCH_ROWS = 512
+BLOCK = 4 << 20  # bytes of text whose words a worker holds at once
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+PARTITION_BYTES = 64 << 20  # stored bytes of input that a shuffle by key deals to one partition
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,46 +35,102 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share.  Where none is set, a local session takes a temporary one; a cluster has none to take."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='silt-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later steps don't recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SAVED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def made_here() -> Iterator[list[str]]:
+    """The paths that this thread's ``saved`` and ``new_folder`` make inside, for ``delete`` once nothing reads them."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield paths
+    finally:
+        _made.reset(token)
 
 
-_SAVED: list[str] = []
+def new_folder(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
-def saved_so_far() -> int:
-    """A mark for ``release``."""
-    return len(_SAVED)
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: later steps don't recompute it."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Deletes the tables that ``saved`` wrote after the mark ``since``, but for the last one."""
+def delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    drop, _SAVED[since:] = _SAVED[since:-1], _SAVED[-1:]
-    for path in drop:
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if b.num_rows <= 1 or b.num_rows <= BATCH_ROWS and b.nbytes <= BATCH_BYTES:
+        yield b
+        return
+    half = b.num_rows // 2
+    yield from _parts(b.slice(0, half))
+    yield from _parts(b.slice(half))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows, so that long texts don't pile up in one batch."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow whose batches hold at most BATCH_ROWS rows and, but for a longer single row, BATCH_BYTES; Spark itself bounds what it sends at once (64 MB and a row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for b in batches for part in _parts(b))
+
+    return df.mapInArrow(run, schema)
+
+
+_SPACES = b" \t\n\v\f\r"
+_LOWER = bytes(range(256)).lower()
+
+
+def word_blocks(column: pa.Array, lower: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words (binary) of all texts of a column and the row of each, in order, in blocks of about BLOCK bytes of text."""
+    column = column.cast(pa.large_string()).fill_null("")
+    limits = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    if not len(column) or data is None or limits[0] == limits[-1]:
+        return
+    text, at, last = np.frombuffer(data, np.uint8), int(limits[0]), int(limits[-1])
+    while at < last:
+        stop = min(at + BLOCK, last)
+        if stop < last:
+            space = _SPACE.search(data, stop, int(limits[np.searchsorted(limits, stop)]))
+            stop = space.start() if space else int(limits[np.searchsorted(limits, stop)])
+        part = text[at:stop]
+        word = (part != 32) & (part - np.uint8(9) > 4)
+        turns = np.flatnonzero(word[1:] != word[:-1]) + 1  # a word or a run of spaces ends
+        rows = np.arange(*np.searchsorted(limits, [at + 1, stop], side="left"))
+        cuts = np.unique(limits[rows]) - at  # a text ends inside the block
+        cuts = cuts[word[cuts] & word[cuts - 1]]
+        if len(cuts):
+            turns = np.sort(np.r_[turns, cuts, cuts])  # one word ends there and another begins
+        turns = np.r_[[0] * bool(word[0]), turns, [len(part)] * bool(word[-1])].astype(np.int64)
+        starts = turns[::2]
+        ends = np.r_[0, np.cumsum(turns[1::2] - starts)]
+        kept = part.tobytes().translate(_LOWER if lower else None, _SPACES)
+        tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+        yield tokens, np.searchsorted(limits, starts + at, side="right") - 1
+        at = stop
 
 
 def chunks(data: bytes, size: int = CHUNK) -> Iterator[bytes]:
@@ -118,8 +178,12 @@ def hash_arrays(text: str | None, lower: bool, seed: int = 0) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame) -> int:
+    """How many partitions to deal ``df`` to: the session's number, or more where its sources hold more than PARTITION_BYTES for each of those."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    stored = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    known = stored if stored < 1 << 60 else 0  # a leaf of unknown size counts as endless
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
 
 
 def sha2_hex(col) -> F.Column:

@@ -1,7 +1,10 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, states carried over windows.
 
-Ids 0 .. size - 1 are words by falling frequency, in classes of ``WIDTH``; id ``size`` stands for all other words and is a class of its own.
+Ids 0 .. size - 1 are words by falling frequency, in classes of ``WIDTH``; id ``size`` stands for all other words and is a class of its own, the last.
 The probability of a word is that of its class times that of the word in its class.
+
+Arrays have a column for each token or lane, so that every operation runs along memory.  States carry a last row of ones, which takes the biases.  Gates are
+1 / (1 + exp(u)) and the candidate state is 2 / (1 + exp(w)) - 1, a hyperbolic tangent whose sign and scale the weights hold.
 """
 
 from __future__ import annotations
@@ -13,29 +16,19 @@ from itertools import islice
 import numpy as np
 
 HIDDEN, WIDTH = 16, 64
-WINDOW, LANES, WIDEST, SCORE_LANES = 32, 16, 128, 256
+WINDOW, LANES, WIDEST, SCORE_LANES = 32, 32, 512, 512
 BUFFER = 8192  # segments that training holds
-RATE = 0.08
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.maximum(x, -30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+RATE = 0.5
 
 
 @dataclass
 class Gru:
     size: int
-    x: np.ndarray  # (size + 1, 3 H): what each word adds to the gates
-    wh: np.ndarray  # (H, 3 H)
-    wc: np.ndarray  # (H, C)
-    bc: np.ndarray
-    wo: np.ndarray  # (C - 1, H, WIDTH)
-    bo: np.ndarray  # (C - 1, WIDTH)
+    x: np.ndarray  # (3 H, size + 1): what each word adds to the gates and to the candidate
+    wh: np.ndarray  # (3 H, H)
+    wc: np.ndarray  # (C, H + 1)
+    wo: np.ndarray  # (C - 1, WIDTH, H + 1)
+    squares: list[np.ndarray]  # of the gradients of each of these
 
     @staticmethod
     def fresh(counts: np.ndarray, other: int, seed: int = 42) -> Gru:
@@ -45,45 +38,51 @@ class Gru:
         c = np.zeros(classes * WIDTH)
         c[:size] = counts + 1.0
         c = c.reshape(classes, WIDTH)
+        wc, wo = np.zeros((classes + 1, HIDDEN + 1)), np.zeros((classes, WIDTH, HIDDEN + 1))
         with np.errstate(divide="ignore"):
-            bc = np.log(np.r_[other + 1.0, c.sum(1)] / (c.sum() + other + 1.0))
-            bo = np.where(c > 0, np.log(np.maximum(c, 1e-9) / c.sum(1, keepdims=True)), -1e9)
-        f = np.float32
-        return Gru(size, (rng.standard_normal((size + 1, 3 * HIDDEN)) * 0.3).astype(f), (rng.standard_normal((HIDDEN, 3 * HIDDEN)) * 0.2).astype(f), np.zeros((HIDDEN, classes + 1), f), bc.astype(f), np.zeros((classes, HIDDEN, WIDTH), f), bo.astype(f))
+            wc[:, -1] = np.log(np.r_[c.sum(1), other + 1.0] / (c.sum() + other + 1.0))
+            wo[:, :, -1] = np.where(c > 0, np.log(np.maximum(c, 1e-9) / c.sum(1, keepdims=True)), -1e9)
+        scale = np.repeat([0.3, 0.3, 0.6], HIDDEN)[:, None]
+        parts = [p.astype(np.float32) for p in (rng.standard_normal((3 * HIDDEN, size + 1)) * scale, rng.standard_normal((3 * HIDDEN, HIDDEN)) * 0.2, wc, wo)]
+        return Gru(size, *parts, [np.full_like(p, 1e-2) for p in parts])
 
     def parts(self) -> list[np.ndarray]:
-        return [self.x, self.wh, self.wc, self.bc, self.wo, self.bo]
+        return [self.x, self.wh, self.wc, self.wo]
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
+        """Weights and, after these, the sums of squared gradients that training steps by."""
+        return np.concatenate([p.ravel() for p in [*self.parts(), *self.squares]])
 
     def with_vector(self, v: np.ndarray) -> Gru:
         out, at = [], 0
-        for p in self.parts():
+        for p in [*self.parts(), *self.squares]:
             out.append(v[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
-        return Gru(self.size, *out)
+        return Gru(self.size, *out[:4], out[4:])
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next states; ``x``: what the words add, ``h``: states, both with a column for each lane."""
+    def step(self, x: np.ndarray, h: np.ndarray, a: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+        """Writes to ``out`` the states after words that add ``x`` to states ``h``; ``a`` then holds the gates and what the second one scales, ``n`` the candidate."""
         H = HIDDEN
-        a = self.wh.T @ h
-        zr = _sigmoid(x[: 2 * H] + a[: 2 * H])
-        z, r, an = zr[:H], zr[H:], a[2 * H :]
-        n = r * an
+        np.matmul(self.wh, h, out=a)
+        g = a[: 2 * H]
+        g += x[: 2 * H]
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        np.multiply(g[H:], a[2 * H :], out=n)
         n += x[2 * H :]
-        np.tanh(n, out=n)
-        out = h - n
-        out *= z
+        np.exp(n, out=n)
+        n += 1
+        np.divide(2, n, out=n)
+        n -= 1
+        np.subtract(h, n, out=out)
+        out *= g[:H]
         out += n
-        return out, z, r, n, an
 
-    def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural logarithms of the words' probabilities after states ``h``; with ``grads``, adds to them and gives the states' gradient."""
-        cls = np.where(ids < self.size, ids // WIDTH + 1, 0).astype(np.int16)
-        order = np.argsort(cls, kind="stable")
-        cls, picks, at = cls[order], ids[order] % WIDTH, np.arange(len(ids))
-        hs = np.ascontiguousarray(h[order].T)
+    def log_probs(self, hs: np.ndarray, ids: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural logarithms of the probabilities of ``ids``, in rising order, after states ``hs``; with ``grads``, fills the last two and gives the states' gradient."""
+        classes, at = len(self.wo), np.arange(len(ids))
+        limits = np.searchsorted(ids, np.r_[np.arange(classes) * WIDTH, self.size, self.size + 1])
 
         def soft(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             logits -= logits.max(0)
@@ -95,107 +94,111 @@ class Gru:
                 logits[pick, at[: len(pick)]] -= 1
             return own - np.log(total), logits
 
-        out, p = soft(self.wc.T @ hs + self.bc[:, None], cls)
+        out, p = soft(self.wc @ hs, np.repeat(np.arange(classes + 1), np.diff(limits)))
         dh = None
         if grads is not None:
-            grads[2] += hs @ p.T
-            grads[3] += p.sum(1)
-            dh = self.wc @ p
-        limits = np.searchsorted(cls, np.arange(1, self.wo.shape[0] + 2))
-        for c in range(self.wo.shape[0]):
+            np.matmul(p, hs.T, out=grads[2])
+            dh = self.wc.T @ p
+        for c in range(classes):
             own = slice(limits[c], limits[c + 1])
             if own.start < own.stop:
-                lp, p = soft(self.wo[c].T @ hs[:, own] + self.bo[c][:, None], picks[own])
+                lp, p = soft(self.wo[c] @ hs[:, own], ids[own] % WIDTH)
                 out[own] += lp
                 if grads is not None:
-                    grads[4][c] += hs[:, own] @ p.T
-                    grads[5][c] += p.sum(1)
-                    dh[:, own] += self.wo[c] @ p
-        back = np.empty_like(order)
-        back[order] = at
-        return out[back], None if dh is None else dh.T[back]
-
-    def train(self, segments: Iterable[np.ndarray]) -> tuple[Gru, int]:
+                    np.matmul(p, hs[:, own].T, out=grads[3][c])
+                    dh[:, own] += self.wo[c].T @ p
+            elif grads is not None:
+                grads[3][c] = 0
+        return out, dh
+
+    def train(self, segments: Iterable[np.ndarray], lanes: int = LANES) -> tuple[Gru, int]:
         """A model after one pass over the segments, and the number of tokens; states carry over a segment's windows, gradients don't.
 
-        Segments come in parts of ``BUFFER``, so memory doesn't follow their number; batches start at ``LANES`` and widen to ``WIDEST``.
+        Segments come in parts of ``BUFFER``, so memory doesn't follow their number; batches start at ``lanes`` and widen to ``WIDEST``.
         """
         m = self.with_vector(self.vector())
-        params = m.parts()
-        squares = [np.full_like(p, 1e-2) for p in params]
         rng = np.random.default_rng(7)
-        tokens, lanes, segments = 0, LANES, iter(segments)
-        while part := sorted(islice(segments, BUFFER), key=len):
-            groups = []
-            while part:
-                part, group = part[:-lanes], part[-lanes:]
-                groups.append(group)
-                lanes = min(lanes + LANES // 4, WIDEST)
-            rng.shuffle(groups)
-            for group in groups:
-                longest = len(group[-1])
-                ids = np.full((longest, len(group)), -1, np.int64)
-                for b, s in enumerate(group):
-                    ids[: len(s), b] = s
-                h = np.zeros((HIDDEN, len(group)), np.float32)
-                for at in range(0, longest, WINDOW):
-                    h, n = m._window(ids[at : at + WINDOW], h, params, squares)
-                    tokens += n
+        tokens, segments = 0, iter(segments)
+        with np.errstate(over="ignore"):
+            while part := sorted(islice(segments, BUFFER), key=len):
+                groups = []
+                while part:
+                    part, group = part[:-lanes], part[-lanes:]
+                    groups.append(group)
+                    lanes = min(lanes + LANES // 2, WIDEST)
+                rng.shuffle(groups)
+                for group in groups:
+                    ids = np.full((len(group[-1]), len(group)), self.size + 1, np.uint16)
+                    for b, s in enumerate(group):
+                        ids[: len(s), b] = s
+                    h = np.zeros((HIDDEN, len(group)), np.float32)
+                    for at in range(0, len(ids), WINDOW):
+                        h, n = m._window(ids[at : at + WINDOW], h)
+                        tokens += n
         return m, tokens
 
-    def _window(self, ids: np.ndarray, h: np.ndarray, params, squares) -> tuple[np.ndarray, int]:
-        H = HIDDEN
-        before, kept = [], []
-        live = ids >= 0
-        known = np.where(live, ids, self.size)
-        xs = np.ascontiguousarray(self.x[known].transpose(0, 2, 1))
-        for t in range(len(ids)):
-            before.append(h)
-            h, *rest = self.step(xs[t], h)
-            kept.append(rest)
-        rows, at = np.unique(known, return_inverse=True)
-        grads = [np.zeros((len(rows), 3 * H), np.float32), *map(np.zeros_like, params[1:])]
-        states = np.stack(before)
-        flat = live.ravel()
-        n = int(flat.sum())
-        _, dlogits = self.log_probs(states.transpose(0, 2, 1).reshape(-1, H)[flat], ids.ravel()[flat], grads)
-        dstates = np.zeros((live.size, H), np.float32)
-        dstates[flat] = dlogits
-        dstates = np.ascontiguousarray(dstates.reshape(*ids.shape, H).transpose(0, 2, 1))
-        dh = np.zeros_like(h)
-        dxs, da = np.empty_like(xs), np.empty_like(xs)
-        for t in range(len(ids) - 1, -1, -1):
-            z, r, c, an = kept[t]
-            dx, d = dxs[t], da[t]
-            keep = dh * z
-            dn = (dh - keep) * (1 - c * c)
-            np.multiply(keep * (before[t] - c), 1 - z, out=dx[:H])
-            np.multiply(dn * an * r, 1 - r, out=dx[H : 2 * H])
-            dx[2 * H :] = dn
-            d[: 2 * H] = dx[: 2 * H]
-            np.multiply(dn, r, out=d[2 * H :])
-            dh = self.wh @ d
-            dh += keep
-            dh += dstates[t]
-        flow = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
-        grads[1] += flow(states) @ flow(da).T
-        order = np.argsort(at.ravel().astype(np.uint16), kind="stable")
-        steps = dxs.transpose(0, 2, 1).reshape(-1, 3 * H)[order]
-        grads[0] += np.add.reduceat(steps, np.searchsorted(at.ravel()[order], np.arange(len(rows))))
+    def _window(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, int]:
+        """One step of training over a window of ids (places by lanes; ``size + 1``: none); gives the states after it."""
+        H, (T, B), params = HIDDEN, ids.shape, self.parts()
+        flat = ids.ravel()
+        order = np.argsort(flat, kind="stable")
+        picked = flat[order]
+        n = int(np.searchsorted(picked, self.size + 1))
+        picked, live = picked[:n].astype(np.int64), order[:n]
+        in_rows = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], T * B)
+        xs = self.x.take(ids, axis=1, mode="clip")
+        s = np.ones((T + 1, H + 1, B), np.float32)
+        s[0, :H] = h
+        a, c = np.empty((T, 3 * H, B), np.float32), np.empty((T, H, B), np.float32)
+        for t in range(T):
+            self.step(xs[:, t], s[t, :H], a[t], c[t], s[t + 1, :H])
+        states = in_rows(s[:T])
+        grads = [np.empty_like(p) for p in params]
+        _, got = self.log_probs(states.take(live, axis=1), picked, grads)
+        ds = np.zeros((H, T * B), np.float32)
+        ds[:, live] = got[:H]
+        ds = ds.reshape(H, T, B)
+        # What a state's gradient becomes, for all places at once.
+        z, r, an = a[:, :H], a[:, H : 2 * H], a[:, 2 * H :]
+        left = 1 - z
+        for_z = c - s[:T, :H]
+        for_z *= z
+        for_z *= left
+        for_n = c * c
+        for_n -= 1
+        for_n *= left
+        for_n *= 0.5
+        for_r = r - 1
+        for_r *= r
+        for_r *= an
+        d, dn = np.empty((T, 3 * H, B), np.float32), np.empty((T, H, B), np.float32)
+        dh, back = np.zeros((H, B), np.float32), np.ascontiguousarray(self.wh.T)
+        for t in range(T - 1, -1, -1):
+            np.multiply(dh, for_z[t], out=d[t, :H])
+            np.multiply(dh, for_n[t], out=dn[t])
+            np.multiply(dn[t], for_r[t], out=d[t, H : 2 * H])
+            np.multiply(dn[t], r[t], out=d[t, 2 * H :])
+            dh *= z[t]
+            dh += ds[:, t]
+            dh += back @ d[t]
+        d = in_rows(d)
+        np.matmul(d, states[:H].T, out=grads[1])
+        d[2 * H :] = in_rows(dn)
+        firsts = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
+        grads[0].fill(0)
+        grads[0][:, picked[firsts]] = np.add.reduceat(d.take(live, axis=1), firsts, axis=1)
         scale = np.float32(max(n, 1) ** -0.5)
-        for i, (p, g, s) in enumerate(zip(params, grads, squares)):
+        for p, g, q in zip(params, grads, self.squares):
             g *= scale
-            if i:
-                s += g * g
-                p -= RATE * g / np.sqrt(s)
-            else:  # only the words that occur
-                own = s[rows] + g * g
-                s[rows] = own
-                p[rows] -= RATE * g / np.sqrt(own)
-        return h, n
+            q += g * g
+            g /= np.sqrt(q)
+            g *= RATE
+            p -= g
+        return s[T, :H].copy(), n
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 of each document's probability: lanes of documents, one after the other, with the state carried across windows and cleared between documents."""
+        H = HIDDEN
         out = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         lanes: list[list[int]] = [[] for _ in range(min(SCORE_LANES, max(len(docs), 1)))]
@@ -211,26 +214,28 @@ class Gru:
         if not total:
             return out
         seq = [i for lane in lanes for i in lane]
-        ids = np.concatenate([docs[i] for i in seq]).astype(np.int64)
+        ids = np.concatenate([docs[i] for i in seq]).astype(np.uint16)
         sizes = [len(docs[i]) for i in seq]
         owner = np.repeat(seq, sizes)
         opens = np.zeros(total, bool)
         opens[np.r_[0, np.cumsum(sizes)[:-1]]] = True
         starts = np.r_[0, np.cumsum(loads)[:-1]]
-        h = np.zeros((HIDDEN, len(lanes)), np.float32)
-        for at in range(0, int(loads[0]), WINDOW):
-            hs, places = [], []
-            for t in range(at, min(at + WINDOW, int(loads[0]))):
-                live = int(np.searchsorted(-loads, -t, side="left"))
-                h = h[:, :live]
-                where = starts[:live] + t
-                fresh = opens[where]
-                if fresh.any():
-                    h = np.where(fresh, np.float32(0), h)
-                hs.append(h.T)
-                places.append(where)
-                h = self.step(np.ascontiguousarray(self.x[ids[where]].T), h)[0]
-            where = np.concatenate(places)
-            lp, _ = self.log_probs(np.concatenate(hs), ids[where])
-            out += np.bincount(owner[where], lp.astype(np.float64), len(docs))
+        h, a, n = (np.zeros((rows, len(lanes)), np.float32) for rows in (H, 3 * H, H))
+        with np.errstate(over="ignore"):
+            for at in range(0, int(loads[0]), WINDOW):
+                stop = min(at + WINDOW, int(loads[0]))
+                lives = np.searchsorted(-loads, -np.arange(at, stop), side="left")
+                where = np.concatenate([starts[:k] + t for t, k in zip(range(at, stop), lives)])
+                now, fresh = ids[where], opens[where]
+                xs = self.x.take(now, axis=1)
+                s = np.ones((H + 1, len(where)), np.float32)
+                p = 0
+                for k in lives:
+                    h = h[:, :k] * ~fresh[p : p + k]
+                    s[:H, p : p + k] = h
+                    self.step(xs[:, p : p + k], h, a[:, :k], n[:, :k], h)
+                    p += k
+                by = np.argsort(now, kind="stable")
+                lp, _ = self.log_probs(s.take(by, axis=1), now[by].astype(np.int64))
+                out += np.bincount(owner[where[by]], lp.astype(np.float64), len(docs))
         return out / np.log(10)

@@ -113,7 +113,7 @@ def edited(text: str, following: str) -> str:
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(range, main, key, text): each range of keys, descending, then the document that follows its last."""
-    n = max(1, partitions(docs.sparkSession))
+    n = partitions(docs)
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     probs = [i / n for i in range(1, n)] or [0.5]
     found = own.agg(F.percentile_approx("key", F.array(*map(F.lit, probs)), F.lit(100 * n)).alias("p"), F.max("key").alias("top")).first()

@@ -186,7 +186,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 key, fp = key[cut_at:], fp[cut_at:]
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
-    spread = dealt.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key").select("key", "fp")
+    spread = dealt.repartition(partitions(fps), "key").sortWithinPartitions("key").select("key", "fp")
     return spread.mapInArrow(run, "a long, b long")
 
 
