@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.llm import decontaminate, pieces, pii, quality, simhash
-from silt.llm.common import release, saved, saved_so_far, table
+from silt.llm.common import delete, made_here, saved, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every result is written to the shared folder and read again, and what led to it is deleted."""
-    since = saved_so_far()
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = saved(docs, name)
-            release(spark, since)
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with made_here() as made:
+            docs = saved(stage(spark, docs, sf_dir), name)
+        delete(spark, [*read, *made[:-1]])
+        read = made[-1:]
     return docs
