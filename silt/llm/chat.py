@@ -11,7 +11,8 @@ A conversation's turns are sorted and then streamed: a task holds one turn and t
 turns in order is sequential by definition, so one task passes over each conversation.
 
 Defined cases: a null text is empty, a null role is the empty role; rows without a conversation id form one conversation; turns tie by role, then text; repeated rows
-are turns each; a record of unknown layout, or that is no JSON object, has no turns; an empty table gives an empty result; extra columns are left alone.
+are turns each; a record of unknown layout, that is no JSON object, or whose fields hold something else than text comes out as one row with the reason in place of turns; an unpaired
+surrogate becomes U+FFFD; any key and turn, the largest too, will do; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -92,14 +93,26 @@ def fingerprint(paths) -> str:
 BY_FINGERPRINT = {fingerprint(m.paths()): m for m in MAPPINGS}
 
 
-def canonical(record: str | None) -> list[tuple[str, str]]:
-    """The turns of one JSON record."""
+def canonical(record: str | None) -> tuple[list[tuple[str, str]], str | None]:
+    """The turns of one JSON record, or none and the reason."""
     try:
         x = json.loads(record or "")
-    except ValueError:
-        return []
-    m = BY_FINGERPRINT.get(fingerprint(field_paths(x))) if isinstance(x, dict) else None
-    return list(m.turns(x)) if m else []
+        paths = field_paths(x)
+    except (ValueError, RecursionError):
+        return [], "not JSON"
+    if not isinstance(x, dict):
+        return [], "not a JSON object"
+    m = BY_FINGERPRINT.get(fingerprint(paths))
+    if m is None:
+        return [], f"unknown layout {fingerprint(paths)}: {', '.join(sorted(paths))[:200]}"
+    turns = list(m.turns(x))
+    if not all(isinstance(y, str) for turn in turns for y in turn):
+        return [], f"a field of layout {m.name!r} isn't text"
+    return [(_whole(role), _whole(text)) for role, text in turns], None
+
+
+def _whole(text: str) -> str:
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def escape(text: str, rules=_ESCAPES) -> str:
@@ -130,25 +143,28 @@ def parsed(chunk: str) -> Iterator[tuple[str, str]]:
 
 
 def _streamed(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, *order)
+    return df.repartition(partitions(df), key).sortWithinPartitions(key, *order)
 
 
 def turns_of(records: DataFrame, key: str, order: str, record: str) -> DataFrame:
-    """(key, turn, k, role, text): the canonical turns of JSON records, k within a record."""
+    """(key, turn, k, role, text, reason): the canonical turns of JSON records, k within a record; a record without turns for a ``reason`` has a row with that alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, k, *t) for i, r in enumerate(b.column(2).to_pylist()) for k, t in enumerate(canonical(r))]
+            got = []
+            for i, (turns, reason) in enumerate(map(canonical, b.column(2).to_pylist())):
+                got += [(i, None, None, None, reason)] if reason else [(i, k, *t, None) for k, t in enumerate(turns)]
             at = pa.array([x[0] for x in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.string()), pa.array([x[3] for x in got], pa.string())], names=["key", "turn", "k", "role", "text"])
+            rest = [pa.array([x[j] for x in got], pa.int32() if j == 1 else pa.string()) for j in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *rest], names=["key", "turn", "k", "role", "text", "reason"])
 
     rows = records.select(F.col(key).alias("key"), F.col(order).alias("turn"), F.col(record).alias("record"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("key", "turn")]
-    return map_arrow(rows, run, f"key {kinds[0]}, turn {kinds[1]}, k int, role string, text string")
+    return map_arrow(rows, run, f"key {kinds[0]}, turn {kinds[1]}, k int, role string, text string, reason string")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """(key, seq, chunk, loss): each conversation's formatted text, one chunk a turn; loss: [start, end) in the conversation's text, if any."""
+    """(key, seq, chunk, loss): each conversation's formatted text, one chunk a turn; loss: [start, end) in the conversation's text, if any.  Rows with a reason are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seq, at = object(), 0, 0
@@ -164,7 +180,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 seq, at = seq + 1, at + len(chunk)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.int64()), pa.array(chunks, pa.string()), pa.array(loss, pa.list_(pa.int64()))], names=["key", "seq", "chunk", "loss"])
 
-    rows = _streamed(turns, "key", ["turn", "k", "role", "text"]).select("key", "role", "text")
+    rows = _streamed(turns.where("reason IS NULL"), "key", ["turn", "k", "role", "text"]).select("key", "role", "text")
     return map_arrow(rows, run, f"key {turns.schema['key'].dataType.simpleString()}, seq long, chunk string, loss array<long>")
 
 
@@ -211,7 +227,7 @@ PLANTED = r"\### Assistant: </turn> ok"
 def records_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, record): each row as a JSON record, in a layout that depends on role and conversation."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    alt = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(4))
+    alt = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
     alone = lambda name: F.to_json(F.struct(text.alias(name)))
     listed = lambda each, r, t, who: F.to_json(F.struct(F.array(F.struct(who.alias(r), text.alias(t))).alias(each)))
     record = (
