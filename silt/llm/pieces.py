@@ -10,7 +10,8 @@ places the best path is a function of the characters, so it is worked out once f
 
 Texts of over ``GIANT`` characters are split into chunks at any place.  A state of a chunk's boundary is a piece that crosses it or ends there, given by the
 characters it has on either side; a chunk yields the transfer matrix from its entry states to its exit states (kept sparse: what is absent is minus
-infinity).  Matrices are combined associatively over each text, which fixes each chunk's entry and exit, and every chunk is then traced back by itself, in another task.
+infinity).  Matrices are combined in a tree, ``FANIN`` neighbours at a time and each group of them in a task of its own, up to the whole text's; from there down every group's entry
+and exit fix those of its members, and every chunk is then traced back by itself, in another task.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; equal texts have equal ids; characters unknown to the model become their UTF-8 bytes;
 a literal U+2581 decodes to a space, as the model has it; null keys and repeated rows stay; an empty table gives an empty result; extra columns are left alone.
@@ -33,6 +34,7 @@ from silt.llm.common import map_arrow, partitions, saved, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK_CHARS = 1 << 16, 1 << 14
+FANIN = 8
 REMEMBERED = 350_000
 SPACE = "▁"
 State = tuple[int, int]  # characters of a piece before and after a boundary
@@ -309,17 +311,17 @@ def product(a: dict[State, list[State]], b: dict[State, list[State]]) -> dict[St
     return {i: ks for i, ks in out.items() if ks}
 
 
-def route(matrices: list[dict[State, list[State]]]) -> list[tuple[State, State]]:
-    """Entry and exit of each chunk on the one path from the start to the end of a text."""
-    ahead = [{START: [START]}]
+def route(matrices: list[dict[State, list[State]]], start: State = START, end: State | None = None) -> list[tuple[State, State]]:
+    """Entry and exit of each chunk on the one path from state ``start`` to ``end`` (None: the end of a text)."""
+    ahead = [{start: [start]}]
     for m in matrices:
         ahead.append(product(ahead[-1], m))
-    ends = [s for s in ahead[-1].get(START, ()) if s[1] == 0]
+    ends = [s for s in ahead[-1].get(start, ()) if (s == end if end else s[1] == 0)]
     if len(ends) != 1:
         raise ValueError(f"{len(ends)} paths")
     leave, out = ends[0], []
     for m, reached in zip(reversed(matrices), reversed(ahead[:-1])):
-        entry = [s for s in reached[START] if leave in m.get(s, ())]
+        entry = [s for s in reached[start] if leave in m.get(s, ())]
         if len(entry) != 1:
             raise ValueError(f"{len(entry)} ways into a chunk")
         out.append((entry[0], leave))
@@ -327,6 +329,44 @@ def route(matrices: list[dict[State, list[State]]]) -> list[tuple[State, State]]
     return out[::-1]
 
 
+def _flat(m: dict[State, list[State]]) -> list[int]:
+    return [v for i, js in m.items() for j in js for v in (*i, *j)]
+
+
+def _matrix(flat) -> dict[State, list[State]]:
+    m: dict[State, list[State]] = {}
+    for a, b, x, y in np.asarray(flat).reshape(-1, 4).tolist():
+        m.setdefault((a, b), []).append((x, y))
+    return m
+
+
+def ways(matrices: DataFrame, n: int) -> DataFrame:
+    """(k, c, way): each chunk's entry and exit, from the chunks' matrices (k, c, m) of texts of at most ``n`` chunks."""
+
+    def combined(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c")
+        out = _matrix(rows["m"].iloc[0])
+        for flat in rows["m"].iloc[1:]:
+            out = product(out, _matrix(flat))
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "c": [rows["c"].iloc[0] // FANIN], "m": [_flat(out)]})
+
+    def routed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c")
+        way = rows["way"].iloc[0]
+        found = route([_matrix(x) for x in rows["m"]], *((tuple(way[:2]), tuple(way[2:])) if way is not None else ()))
+        return pd.DataFrame({"k": rows["k"], "c": rows["c"], "way": [[*i, *o] for i, o in found]})
+
+    up, group = [matrices], F.floor(F.col("c") / FANIN).cast("int")
+    while n > FANIN:
+        up.append(saved(up[-1].groupBy("k", group).applyInPandas(combined, "k string, c int, m array<int>"), "piece-matrices"))
+        n = -(-n // FANIN)
+    found = up[-1].withColumn("way", F.lit(None).cast("array<int>")).groupBy("k").applyInPandas(routed, "k string, c int, way array<int>")
+    for level in reversed(up[:-1]):
+        above = saved(found, "piece-ways").withColumnRenamed("c", "p")
+        found = level.withColumn("p", group).join(above, ["k", "p"]).groupBy("k", "p").applyInPandas(routed, "k string, c int, way array<int>")
+    return found
+
+
 _codecs: dict[bytes, Codec] = {}
 
 
@@ -354,27 +394,17 @@ def _ids(docs: DataFrame, text: str, model: str, giant: int, size: int) -> tuple
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(parts)), pa.array(range(len(parts)), pa.int32()), *(pa.array([p[i] for p in parts], pa.string()) for i in range(3))], names=["k", "c", "before", "body", "after"])
 
     texts = giants.groupBy("__k").agg(F.first(text).alias("t"))
-    parts = saved(map_arrow(texts, split, "k string, c int, before string, body string, after string").repartition(partitions(spark), "k", "c"), "piece-chunks")
+    parts = saved(map_arrow(texts, split, "k string, c int, before string, body string, after string").repartition(partitions(giants), "k", "c"), "piece-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(proto.value)
         for b in batches:
             rows = b.to_pydict()
-            found = [c.transfer(x, y, z, i == 0) for i, x, y, z in zip(rows["c"], rows["before"], rows["body"], rows["after"])]
-            flat = [[v for i, js in m.items() for j in js for v in (*i, *j)] for m in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flat, pa.list_(pa.int32()))], names=["k", "c", "m"])
-
-    def routed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("c")
-        ms = []
-        for flat in rows["m"]:
-            m: dict[State, list[State]] = {}
-            for a, b, x, y in np.asarray(flat).reshape(-1, 4).tolist():
-                m.setdefault((a, b), []).append((x, y))
-            ms.append(m)
-        return pd.DataFrame({"k": rows["k"], "c": rows["c"], "way": [[*i, *o] for i, o in route(ms)]})
+            found = [_flat(c.transfer(x, y, z, i == 0)) for i, x, y, z in zip(rows["c"], rows["before"], rows["body"], rows["after"])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["k", "c", "m"])
 
-    ways = map_arrow(parts, matrices, "k string, c int, m array<int>").groupBy("k").applyInPandas(routed, "k string, c int, way array<int>")
+    n = parts.agg(F.coalesce(F.max("c"), F.lit(0))).first()[0] + 1
+    routes = ways(saved(map_arrow(parts, matrices, "k string, c int, m array<int>"), "piece-matrices"), n)
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(proto.value)
@@ -383,7 +413,8 @@ def _ids(docs: DataFrame, text: str, model: str, giant: int, size: int) -> tuple
             found = [c.trace(x, y, z, tuple(w[:2]), tuple(w[2:])) for x, y, z, w in zip(rows["before"], rows["body"], rows["after"], rows["way"])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["k", "c", "ids"])
 
-    ids = map_arrow(parts.join(ways, ["k", "c"]).select("k", "c", "before", "body", "after", "way"), traced, "k string, c int, ids array<int>")
+    dealt = parts.join(routes, ["k", "c"]).select("k", "c", "before", "body", "after", "way").repartition(partitions(giants), "k", "c")
+    ids = map_arrow(dealt, traced, "k string, c int, ids array<int>")
     whole = ids.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("p")).select(F.col("k").alias("__k"), F.flatten("p.ids").alias("ids"))
     return short, giants.join(whole, "__k").drop("__k"), proto
 
