@@ -7,8 +7,9 @@ k = floor((1 - threshold) * u) + 1 smallest shingle hashes (bottom-k MinHash).
 share misses fewer than k of an item's shingles, so it holds at least one value of the sketch: the search loses no pair.
 Items which a document's own hashes meet in a sketch are candidates; each is verified by the exact words of its shingles.
 
-Items go to the executors in blocks of at most ``BLOCK_BYTES`` of text, measured before they are read, so what is
-broadcast is bounded; a larger benchmark takes more blocks, each over all documents.  Documents are never shuffled.
+Items go to the executors in blocks of about ``BLOCK_BYTES`` of text, measured before they are read, so what is
+broadcast is bounded; a larger benchmark takes more blocks, each over all documents and one at a time: its result is written and
+its index dropped before the driver reads the next.  Documents are never shuffled.
 
 Defined cases: null and wordless texts hold nothing; a null or wordless item is in no document; an item of fewer than
 ``SHINGLE`` words is one shingle of its own length; repeated rows on either side give a row each; null keys are kept as keys;
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import chunks, gram_hashes, map_arrow, text_bytes, word_hashes
+from silt.llm.common import chunks, gram_hashes, map_arrow, saved, text_bytes, word_hashes
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 BLOCK_BYTES = 16 << 20
@@ -92,21 +93,24 @@ class ItemIndex:
                 yield key, len(grams), n
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> list[list[tuple[object, str | None]]]:
-    """The items in blocks of bounded size."""
+def indexes(items: DataFrame, key: str, text: str) -> Iterator[tuple[object, bool]]:
+    """(broadcast index, whether it is the last) of one block of items after the other; all but the last are dropped when the next is asked for."""
+    spark = items.sparkSession
     total = items.select(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0))).first()[0]
     n = total // BLOCK_BYTES + 1
     dealt = items.select(key, text, F.pmod(F.xxhash64(text, key), F.lit(n)).alias("__block"))
-    return [[(r[0], r[1]) for r in dealt.where(F.col("__block") == i).select(key, text).collect()] for i in range(n)]
+    for i in range(n):
+        index = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in dealt.where(F.col("__block") == i).select(key, text).collect()]))
+        yield index, i == n - 1
+        if i < n - 1:
+            index.destroy()
 
 
 def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_key, n_shingles, n_shared, containment) of each document and item it holds to the threshold or more."""
-    spark = docs.sparkSession
     kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}"
     out = None
-    for block in item_blocks(items, item_key, item_text):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
+    for index, last in indexes(items, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -117,6 +121,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         item_type = _arrow(items.schema[item_key].dataType)
         rows = map_arrow(docs.select(key, text), run, f"{kinds}, n_shingles long, n_shared long, containment double")
+        rows = rows if last else saved(rows, "contained")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -129,16 +134,15 @@ def _arrow(kind):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item; decided row by row, so all columns stay and nothing is shuffled."""
-    spark = docs.sparkSession
     at = docs.columns.index(text)
-    for block in item_blocks(items, item_key, item_text):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
+    for index, last in indexes(items, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([next(index.value.held(t), None) is None for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)
+        docs = docs if last else saved(docs, "decontaminated")
     return docs
 
 

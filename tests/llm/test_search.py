@@ -168,6 +168,11 @@ def test_contained(spark, docs, pairs, prose):
     old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 100
     try:
         assert Counter(tuple(r) for r in decontaminate.contained(docs, items).collect()) == expected
+        assert Counter(map(str, decontaminate.drop_contaminated(docs, items).collect())) == Counter(map(str, clean.collect()))
+        seen = []
+        for index, last in decontaminate.indexes(items, "item_id", "text"):
+            seen += [k for k, _, _ in index.value.items]
+            assert last == (len(seen) == sum(bool(words(r["text"], True)) for r in items.collect()))
     finally:
         decontaminate.BLOCK_BYTES = old
     assert decontaminate.contained(docs, items.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs, items.limit(0)).count() == len(pairs)
