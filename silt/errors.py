@@ -28,6 +28,7 @@ CODES: dict[str, tuple[int, str]] = {
     "unknown_flag": (64, "see --help for a command's flags"),
     "unknown_schema_command": (64, "call schema alone for all commands"),
 }
+# Codes that every analysis may end with.
 COMMON = [
     "input_file_open_failed", "internal_error", "invalid_control_char", "invalid_field", "invalid_glob", "invalid_group", "invalid_team_map", "invalid_temporal_date",
     "invalid_temporal_period", "invalid_value", "log_open_failed", "missing_required_flag", "parse_error", "unknown_flag",

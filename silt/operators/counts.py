@@ -43,7 +43,7 @@ def summary(facts: DataFrame) -> DataFrame:
 )
 def entity_effort(facts: DataFrame) -> DataFrame:
     own = facts.groupBy("entity", "author").agg(F.count("*").alias("author_revs"))
-    total = facts.groupBy("entity").agg(F.count("*").alias("total_revs"))
+    total = own.groupBy("entity").agg(F.sum("author_revs").alias("total_revs"))
     return own.join(total, "entity")
 
 

@@ -9,6 +9,8 @@ from silt.functions.exprs import average, percentage, truncated
 from silt.registry import analysis
 from silt.schema import Column
 
+SLICE = 1024
+
 
 @analysis(
     "communication",
@@ -23,9 +25,19 @@ from silt.schema import Column
     ["-strength", "-author", "-peer"],
 )
 def communication(facts: DataFrame) -> DataFrame:
-    """Each pair is counted once, by an equi-join on the entity, and mirrored after it is summed."""
+    """Each pair is counted once, by an equi-join on the entity, and mirrored after it is summed.
+
+    An entity of over ``SLICE`` people is cut into slices of about so many by a hash of the name, and every two slices meet under a key of their own, so no key
+    has more than two slices' people.
+    """
     own = facts.select("entity", "author").distinct()
-    pairs = own.alias("x").join(own.alias("y"), "entity").where("x.author < y.author").groupBy(F.col("x.author").alias("a"), F.col("y.author").alias("b")).agg(F.count("*").alias("shared"))
+    large = own.groupBy("entity").count().where(F.col("count") > SLICE).select("entity", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
+    sliced = own.join(large, "entity", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("author"), F.col("slices")).cast("int"), F.lit(0)))
+    others = F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)
+    met = sliced.select("entity", "author", "slice", F.explode(F.transform(others, lambda j: F.struct(F.least(j, F.col("slice")).alias("i"), F.greatest(j, F.col("slice")).alias("j")))).alias("m")).select("entity", "author", "slice", "m.i", "m.j")
+    x, y = met.alias("x"), met.alias("y")
+    mixed = (F.col("x.i") == F.col("x.j")) | (F.col("x.slice") != F.col("y.slice"))
+    pairs = x.join(y, ["entity", "i", "j"]).where((F.col("x.author") < F.col("y.author")) & mixed).groupBy(F.col("x.author").alias("a"), F.col("y.author").alias("b")).agg(F.count("*").alias("shared"))
     touched = own.groupBy("author").agg(F.count("*").alias("n"))
     both = pairs.join(touched.withColumnsRenamed({"author": "a", "n": "na"}), "a").join(touched.withColumnsRenamed({"author": "b", "n": "nb"}), "b")
     mean = F.ceil(average(F.col("na"), F.col("nb")))

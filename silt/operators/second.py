@@ -193,6 +193,13 @@ def vocabulary(facts: DataFrame, top: int = 20) -> DataFrame:
     return words.where(~F.col("term").isin(*dict.fromkeys(STOP_WORDS))).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
+def word_cloud(facts: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """(term, n): every word of three characters or more, apostrophes, plus signs and hyphens among them, in the commits' subjects, but for ``stop``."""
+    words = subjects(facts).select(F.explode(F.regexp_extract_all(F.lower("message"), F.lit(r"[a-z][a-z'+-]+"), F.lit(0))).alias("term"))
+    kept = words.where((F.length("term") >= 3) & ~F.col("term").isin(*dict.fromkeys(w.lower() for w in stop)))
+    return kept.groupBy("term").agg(F.count("*").alias("n"))
+
+
 def monthly_momentum(churn: DataFrame) -> DataFrame:
     """(month, commits, added, deleted) from churn by date."""
     for c in ("commits", "added", "deleted"):
@@ -223,6 +230,38 @@ def hotspot_candidates(revisions: DataFrame, structure: DataFrame, top: int = 5)
     return best.join(structure.select("entity"), "entity", "left_semi").orderBy(F.desc("n_revs"), "entity")
 
 
+# Charts of analyses whose best one isn't what the columns' roles suggest.
+CHARTS = {
+    "code-age": ("Histogram", {"x": "age_months"}),
+    "summary": ("KPI Card", {"metric": "statistic", "value": "value"}),
+    "authors": ("Scatter Plot", {"x": "n_revs", "y": "n_authors"}),
+    "coupling": ("Network Graph", {"x": "entity", "y": "coupled", "size": "degree"}),
+    "communication": ("Network Graph", {"x": "author", "y": "peer", "size": "strength"}),
+    "absolute-churn": ("Stacked Bar Chart", {"x": "date", "y": ["added", "deleted"]}),
+}
+
+
+def chart(df: DataFrame, analysis: str = "") -> tuple[str, dict]:
+    """(kind, channels) of the chart that suits a result: by name where ``CHARTS`` has one, else by its columns' meanings.
+
+    Identifiers take no channel and a date is the first dimension.  One measure is drawn: a share rather than lines, lines rather than months, months rather than a count.
+    """
+    if analysis in CHARTS:
+        return CHARTS[analysis]
+    meaning = {f.name: f.metadata["semantic"] for f in df.schema if "semantic" in f.metadata}
+    roles = roles_of(df.schema)
+    weight = {"loc": 1, "duration_months": 2, "count": 3}
+    dims = sorted((c for c in roles if roles[c] == "dimension"), key=lambda c: meaning[c] != "date")
+    measures = sorted((c for c in roles if roles[c] in ("additive", "intensive")), key=lambda c: weight.get(meaning[c], 0))
+    if len(dims) > 1 and meaning[dims[0]] == meaning[dims[1]]:
+        return "Network Graph", {"x": dims[0], "y": dims[1]} | ({"size": measures[0]} if measures else {})
+    if dims:
+        return "Bar Chart", {"x": dims[0]} | ({"y": measures[0]} if measures else {}) | ({"color": dims[1]} if len(dims) > 1 else {})
+    if not measures:
+        raise ValueError("no column can be drawn")
+    return ("Scatter Plot", {"x": measures[0], "y": measures[1]}) if len(measures) > 1 else ("Histogram", {"x": measures[0]})
+
+
 def chart_columns(df: DataFrame) -> dict[str, list[str]]:
     """Columns by role, measures in declared order: what a chart's channels may take."""
     roles = roles_of(df.schema)

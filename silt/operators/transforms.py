@@ -11,6 +11,7 @@ from silt.errors import SiltError
 from silt.functions.exprs import DAY, day
 from silt.functions.patterns import glob_to_regex, linear_regex
 
+DAYS_BLOCK = 365  # days of an entity that a window's task looks at
 TEAM_BROADCAST = 10_000  # teams up to this many are a literal map, more a join
 
 
@@ -55,23 +56,37 @@ def temporal_windows(facts: DataFrame, days: int, check: bool = True) -> DataFra
     """Commits of any ``days`` days in a row as one change set, named after the last day.
 
     Windows move by a day between the history's first and last; incomplete ones are left out.  In a window each entity counts once: its earliest day, then log
-    order.  Every record is copied to the windows that hold it, ``days`` at most, and one shuffle by (window, entity) picks the first.
+    order.  Only the first record of a day can count, and it does in the windows that hold its day but not the entity's day before; so one shuffle by
+    entity, in blocks of days lest one entity fill a task, finds both by looking one row back, and no record is copied before it is chosen.
+
+    With ``check``, one pass finds the history's limits and whether all dates are dates; else both are left to the query, and other dates are dropped.
     """
     if days < 0:
         raise SiltError("invalid_temporal_period", f"{days} isn't a positive number of days", {"period": days})
     if not days:
         return facts
-    d = facts.withColumn("__d", day(F.col("date")))
-    if check and (bad := d.where(F.col("__d").isNull()).select("date").head()):
-        raise SiltError("invalid_temporal_date", f"{bad[0]!r} isn't a date", {"date": bad[0]})
-    limits = d.agg(F.min("__d").alias("__lo"), F.max("__d").alias("__hi"))
-    first, last = F.greatest(F.col("__d"), F.date_add("__lo", days - 1)), F.least(F.date_add("__d", days - 1), F.col("__hi"))
-    spread = d.crossJoin(F.broadcast(limits)).where(first <= last).withColumn("__w", F.explode(F.sequence(first, last)))  # limits: one row
-    own = Window.partitionBy("__w", "entity").orderBy("__d", "ord")
-    kept = spread.withColumn("__n", F.row_number().over(own)).where("__n = 1")
+    d = facts.withColumn("__d", F.unix_date(day(F.col("date"))))
+    limits = d.agg(F.min("__d").alias("__lo"), F.max("__d").alias("__hi"), F.min(F.when(F.col("__d").isNull(), F.struct("date"))).alias("__bad"))
+    if check:
+        lo, hi, bad = limits.first()
+        if bad is not None:
+            raise SiltError("invalid_temporal_date", f"{bad[0]!r} isn't a date", {"date": bad[0]})
+        d = d.withColumn("__lo", F.lit(lo).cast("int")).withColumn("__hi", F.lit(hi).cast("int"))
+    else:
+        d = d.where(F.col("__d").isNotNull()).crossJoin(F.broadcast(limits.select("__lo", "__hi")))  # limits: one row
+    # A block's last days are also seen by the next block, which looks back on them.
+    size = max(DAYS_BLOCK, days)
+    block = F.floor(F.col("__d") / size).cast("int")
+    near = F.pmod(F.col("__d"), F.lit(size)) >= size - days + 1
+    dealt = d.withColumn("__own", block).withColumn("__b", F.explode(F.when(near, F.array(block, block + 1)).otherwise(F.array(block))))
+    before = F.lag("__d").over(Window.partitionBy("entity", "__b").orderBy("__d", "ord"))
+    chosen = dealt.withColumn("__p", before).where((F.col("__b") == F.col("__own")) & (F.col("__p").isNull() | (F.col("__p") < F.col("__d"))))
+    first = F.greatest(F.col("__d"), F.col("__lo") + (days - 1), F.col("__p") + days)
+    last = F.least(F.col("__d") + (days - 1), F.col("__hi"))
+    kept = chosen.where(first <= last).withColumn("__w", F.explode(F.sequence(first, last)))
     # Order of the result: window, day, log order.
-    return kept.withColumn("rev", F.date_format("__w", DAY)).withColumn("__w0", F.datediff("__w", F.lit("1970-01-01"))).select(
-        *[F.struct("__w0", F.datediff("__d", F.lit("1970-01-01")).alias("d"), F.col("ord").alias("o")).alias("ord") if c == "ord" else F.col(c) for c in facts.columns]
+    return kept.withColumn("rev", F.date_format(F.date_from_unix_date("__w"), DAY)).select(
+        *[F.struct(F.col("__w").alias("__w0"), F.col("__d").alias("d"), F.col("ord").alias("o")).alias("ord") if c == "ord" else F.col(c) for c in facts.columns]
     )
 
 

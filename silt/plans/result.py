@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from silt.errors import SiltError
@@ -66,28 +69,61 @@ def semantics_of(a: Analysis, options: dict[str, Any], transforms: Transforms) -
 
 
 def run(name: str, facts: DataFrame, transforms: Transforms | None = None, rows: int = 0, **given: Any) -> Result:
-    """One analysis over a fact table, to the end: sorted, limited, collected."""
+    """One analysis over a fact table, to the end: sorted, limited, collected.  The driver holds the rows; ``store`` is for results that it can't."""
     a, transforms = lookup(name), transforms or Transforms()
     options = a.options(given)
-    facts = transforms.apply(facts)
+    with _kept(transforms.apply(facts)) as facts:
+        warnings = _checked(a, facts, options, transforms)
+        table = a.run(facts, **given)
+        if rows > 0:
+            # One more row tells whether the limit cuts anything; only then are all of them counted.
+            got = [r.asDict() for r in table.limit(rows + 1).collect()]
+            total = a.table(facts, **given).count() if len(got) > rows else len(got)
+            got = got[:rows]
+        else:
+            got = [r.asDict() for r in table.collect()]
+            total = len(got)
+        if a.name == "coupling" and not got and (why := all_filtered(facts, **options)):
+            warnings.append(warning("coupling_all_filtered", "no pair reached the thresholds", why))
+    return Result(a, options, [{k: v for k, v in r.items() if v is not None} for r in got], total, semantics_of(a, options, transforms), transforms.record(), warnings)
+
+
+def store(name: str, facts: DataFrame, path: str, transforms: Transforms | None = None, fmt: str = "parquet", **given: Any) -> Result:
+    """One analysis whose rows tasks write to ``path``/rows, sorted, and the envelope without rows to ``path``/envelope; none of the rows pass through the driver."""
+    a, transforms = lookup(name), transforms or Transforms()
+    options, spark = a.options(given), facts.sparkSession
+    with _kept(transforms.apply(facts)) as facts:
+        warnings = _checked(a, facts, options, transforms)
+        seen = Observation()
+        a.run(facts, **given).observe(seen, F.count(F.lit(1)).alias("n")).write.format(fmt).save(f"{path}/rows")
+        out = Result(a, options, [], seen.get["n"], semantics_of(a, options, transforms), transforms.record(), warnings)
+        if a.name == "coupling" and not out.total and (why := all_filtered(facts, **options)):
+            out.warnings.append(warning("coupling_all_filtered", "no pair reached the thresholds", why))
+    head = {k: v for k, v in out.envelope().items() if k not in ("rows", "truncated", "total_count")} | {"row_count": out.total}
+    spark.createDataFrame([(encode(head),)], "value string").coalesce(1).write.text(f"{path}/envelope")
+    return out
+
+
+@contextmanager
+def _kept(facts: DataFrame) -> Iterator[DataFrame]:
+    """``facts`` kept while guards, result and totals read it, unless the caller keeps it already."""
+    own = facts.storageLevel == StorageLevel.NONE
+    try:
+        yield facts.persist(StorageLevel.MEMORY_AND_DISK) if own else facts
+    finally:
+        if own:
+            facts.unpersist()
+
+
+def _checked(a: Analysis, facts: DataFrame, options: dict[str, Any], transforms: Transforms) -> list[dict[str, Any]]:
+    """The warnings of a run; raises if the rows lack what it needs."""
     warnings = []
     if transforms.period > 0 and not a.change_sets:
         counted = [c.name for c in a.columns if ROLES[c.semantic] == "additive"]
         if counted:
             warnings.append(warning("temporal_period_recounts", "counts are of windows, not of commits", {"period_days": transforms.period, "affected_columns": counted, "analysis": a.name}))
     guard(a, facts, options)
-    table = a.run(facts, **given)
-    if rows > 0:
-        # One more row tells whether the limit cuts anything; only then are all of them counted.
-        got = [r.asDict() for r in table.limit(rows + 1).collect()]
-        total = a.table(facts, **given).count() if len(got) > rows else len(got)
-        got = got[:rows]
-    else:
-        got = [r.asDict() for r in table.collect()]
-        total = len(got)
-    if a.name == "coupling" and not got and (why := all_filtered(facts, **options)):
-        warnings.append(warning("coupling_all_filtered", "no pair reached the thresholds", why))
-    return Result(a, options, [{k: v for k, v in r.items() if v is not None} for r in got], total, semantics_of(a, options, transforms), transforms.record(), warnings)
+    return warnings
 
 
 def warning(code: str, message: str, details: dict[str, Any]) -> dict[str, Any]:

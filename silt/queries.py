@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 from silt.operators import second as S
 from silt.operators.transforms import Transforms, filter_paths, group_layers, layer, map_teams, temporal_windows
-from silt.plans.batch import trailing
+from silt.plans.batch import GENERATED, trailing
+from silt.plans.result import run, store
 from silt.registry import lookup
+from silt.shared import shared_dir
 from silt.sources.adapters import nation_teams, order_history
+from silt.sources.gitlog import numbered, parsed, preludes, read_lines, read_log, write_log
+from silt.sources.results import read_envelope, read_structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,10 +223,10 @@ def structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 query(
-    f"""$FACTS, {STRUCTURE}, w AS (SELECT entity, count(DISTINCT rev) AS v FROM facts WHERE loc_added > 30 GROUP BY entity), lim AS (SELECT min(v) AS lo, max(v) AS hi FROM w)
+    f"""$FACTS, {STRUCTURE}, w AS (SELECT entity, count(DISTINCT rev) AS v FROM facts GROUP BY entity), lim AS (SELECT min(v) AS lo, max(v) AS hi FROM w)
     SELECT s.entity, CAST(loc AS DOUBLE) AS size, coalesce(round(CAST(v - lo AS DOUBLE) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 4), 0) AS weight FROM structure s LEFT JOIN w USING (entity), lim""",
     "enclosure_leaves",
-)(lambda spark, d: S.map_leaves(table("revisions", order_history(spark, d).where("loc_added > 30")), "n_revs", structure(spark, d)))
+)(lambda spark, d: S.map_leaves(table("revisions", order_history(spark, d)), "n_revs", structure(spark, d)))
 query(
     f"""$FACTS, {STRUCTURE}, o AS (SELECT entity, author, sum(loc_added) AS v FROM facts GROUP BY entity, author), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY v DESC, author) AS n FROM o)
     SELECT s.entity, loc AS size, coalesce(author, '(unowned)') AS category FROM structure s LEFT JOIN r ON r.entity = s.entity AND n = 1""",
@@ -293,16 +298,120 @@ query(
     SELECT d.doc_id, count(c) AS lines, round(coalesce(sum(c), 0), 2) AS complexity FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""",
     "complexity_trend",
 )(lambda spark, d: S.complexity_trend(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"))
-query("SELECT min(date) AS first, max(date) AS last, count(DISTINCT date) AS days FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders)", "active_window")(
-    lambda spark, d: S.active_window(spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")))
-)
 query(
     """$FACTS, l AS (SELECT strftime(max(CAST(date AS DATE)) - INTERVAL 12 MONTH, '%Y-%m-%d') AS s FROM facts) SELECT entity, count(DISTINCT rev) AS n_revs FROM facts, l WHERE date > s GROUP BY entity""",
     "trailing_window",
 )(lambda spark, d: table("revisions", trailing(order_history(spark, d), 12)))
 query(
     f"""$FACTS, {STRUCTURE}, best AS (SELECT entity, count(DISTINCT rev) AS n_revs FROM facts GROUP BY entity ORDER BY n_revs DESC, entity LIMIT 40)
-    SELECT entity, n_revs FROM best WHERE entity IN (SELECT entity FROM structure WHERE loc > 400)""",
+    SELECT entity, n_revs FROM best WHERE entity IN (SELECT entity FROM structure)""",
     "hotspot_candidates",
-)(lambda spark, d: S.hotspot_candidates(table("revisions", order_history(spark, d)), structure(spark, d).where("loc > 400"), 40))
+)(lambda spark, d: S.hotspot_candidates(table("revisions", order_history(spark, d)), structure(spark, d), 40))
 query("$FACTS SELECT CAST(sum(a) AS BIGINT) AS added FROM (SELECT sum(loc_added) AS a FROM facts GROUP BY entity)", "guarded_sum")(lambda spark, d: S.sum_for_value(table("entity-churn", order_history(spark, d)), "added"))
+query(f"$FACTS, {COMMUNICATION.replace('FROM teams)', 'FROM facts)')} SELECT * FROM communication", "communication_people")(lambda spark, d: table("communication", order_history(spark, d)))
+query(
+    f"$FACTS, {PAIRS} SELECT entity AS source, coupled AS target, degree AS value FROM coupling WHERE degree >= 6",
+    "coupling_graph_links",
+)(lambda spark, d: S.coupling_graph(table("coupling", order_history(spark, d), **LOW), None, 6)[1])
+query(f"$FACTS, {COMMUNICATION} SELECT author AS source, peer AS target, strength AS value FROM communication WHERE strength >= 50", "network_links")(
+    lambda spark, d: S.people_network(table("communication", team_facts(spark, d)), 50)[1]
+)
+query(
+    f"""$FACTS, {MIXED}, o AS (SELECT entity, author, count(*) AS n FROM code GROUP BY entity, author), t AS (SELECT entity, CAST(sum(n) AS BIGINT) AS t, list(n ORDER BY author) AS ns FROM o GROUP BY entity),
+    f AS (SELECT entity, {centi("1 - list_reduce([(CAST(n AS DOUBLE) / t) * (CAST(n AS DOUBLE) / t) FOR n IN ns], lambda a, b: a + b, CAST(0 AS DOUBLE))")} AS fractal_value, t AS total_revs FROM t)
+    SELECT * FROM f ORDER BY fractal_value DESC, total_revs DESC, entity LIMIT 8""",
+    "digest_fragmentation",
+)(lambda spark, d: S.most_fragmented(table("fragmentation", with_documents(order_history(spark, d)))))
+query(
+    f"""$FACTS, m AS (SELECT rev, max_by(message, ord) AS message FROM facts GROUP BY rev), t AS (SELECT unnest(regexp_extract_all(lower(message), '[a-z][a-z''+-]+')) AS term FROM m)
+    SELECT term, count(*) AS n FROM t WHERE length(term) >= 3 AND term NOT IN ({STOP_SQL}) GROUP BY term""",
+    "commit_cloud",
+)(lambda spark, d: S.word_cloud(order_history(spark, d)))
+
+
+def with_generated(facts: DataFrame) -> DataFrame:
+    """Some parts under the names of vendored and generated files."""
+    e = F.col("entity")
+    return facts.withColumn("entity", F.when(e.endswith("0"), F.concat(F.lit("lib/vendor/"), e)).when(e.endswith("1"), F.concat(e, F.lit(".min.js"))).when(e.endswith("2"), F.concat(e, F.lit("/package-lock.json"))).otherwise(e))
+
+
+query("$FACTS SELECT entity, count(DISTINCT rev) AS n_revs FROM facts WHERE NOT regexp_matches(entity, '[012]$') GROUP BY entity", "generated_excludes")(
+    lambda spark, d: table("revisions", filter_paths(with_generated(order_history(spark, d)), exclude=GENERATED))
+)
+
+
+# ---- sources and sinks: written to the shared folder from the tables, and read back
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def order_commits(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as commits, those without lines too."""
+    orders, people = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet")
+    own = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    return own.select(F.lower(F.hex("o_orderkey")).alias("rev"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("c_name").alias("author"), F.col("o_orderpriority").alias("message"))
+
+
+def order_log(spark: SparkSession, d: str, facts: DataFrame | None = None) -> str:
+    path = scratch(spark, "log")
+    write_log(order_history(spark, d) if facts is None else facts, path, order_commits(spark, d))
+    return path
+
+
+@query("""$FACTS SELECT entity, rev, date, author, message, loc_added, loc_deleted, "binary" FROM facts""")
+def log_source(spark: SparkSession, d: str) -> DataFrame:
+    """The history written as a log and parsed in parallel."""
+    return read_log(spark, order_log(spark, d)).select("entity", "rev", "date", "author", "message", "loc_added", "loc_deleted", "binary")
+
+
+@query("SELECT min(date) AS first, max(date) AS last, count(DISTINCT date) AS days FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders JOIN customer ON o_custkey = c_custkey)")
+def active_window(spark: SparkSession, d: str) -> DataFrame:
+    """Over the log's preludes, those of commits without files too."""
+    return S.active_window(preludes(spark, order_log(spark, d)))
+
+
+@query(
+    """$FACTS, x AS (SELECT *, CASE WHEN loc_added % 7 = 3 AND NOT "binary" THEN 'control' WHEN loc_deleted % 5 = 4 AND NOT "binary" THEN 'parse' END AS bad FROM facts)
+    SELECT CASE bad WHEN 'control' THEN 'invalid_control_char' ELSE 'parse_error' END AS error, count(*) AS lines, CAST(count(DISTINCT rev) AS BIGINT) AS entries,
+    arg_min(CASE WHEN bad = 'control' THEN loc_added || chr(9) || loc_deleted || chr(9) || entity || chr(7) ELSE loc_added || chr(9) || loc_deleted END, ord) AS first_line FROM x WHERE bad IS NOT NULL GROUP BY 1"""
+)
+def log_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What the parser says of a log in which some lines hold a control character or have no path."""
+    facts, path = order_history(spark, d), scratch(spark, "broken-log")
+    write_log(facts, path, order_commits(spark, d))
+    f = F.split("value", "\t", 3)
+    count = lambda i: F.get(f, F.lit(i)).try_cast("bigint")
+    entry = ~F.col("value").startswith("--") & (F.size(f) == 3)
+    broken = F.when(entry & (count(0) % 7 == 3), F.concat("value", F.lit("\x07"))).when(entry & (count(1) % 5 == 4), F.concat_ws("\t", F.get(f, F.lit(0)), F.get(f, F.lit(1)))).otherwise(F.col("value"))
+    lines = read_lines(spark, path).withColumn("value", broken)
+    found = parsed(numbered(lines)).where("error IS NOT NULL")
+    return found.groupBy("error").agg(F.count("*").alias("lines"), F.countDistinct("entry").alias("entries"), F.min_by("value", "ord").alias("first_line"))
+
+
+@query(f"WITH {STRUCTURE} SELECT entity, loc FROM structure")
+def structure_source(spark: SparkSession, d: str) -> DataFrame:
+    """The parts written as documents of languages with their files, one for each brand, and read as a structure."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand"), F.concat(F.lit("./src/"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("/part"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") * F.col("p_size")).cast("bigint").alias("code"))
+    reports = parts.groupBy("p_brand").agg(F.collect_list(F.struct("name", F.struct("code").alias("stats"))).alias("reports"))
+    path = scratch(spark, "structure")
+    whole = F.create_map(F.col("p_brand"), F.struct("reports"), F.lit("Total"), F.struct("reports"))
+    reports.select(F.col("p_brand").alias("of"), F.to_json(whole).alias("value")).write.partitionBy("of").text(path)
+    return read_structure(spark, path)
+
+
+@query("$FACTS SELECT entity, count(DISTINCT author) AS n_authors, count(*) AS n_revs FROM facts GROUP BY entity ORDER BY n_authors DESC, n_revs DESC, entity LIMIT 25")
+def envelope_source(spark: SparkSession, d: str) -> DataFrame:
+    """A limited result as its envelope, written and read back."""
+    path = scratch(spark, "envelope")
+    spark.createDataFrame([(run("authors", order_history(spark, d), rows=25).json(),)], "value string").coalesce(1).write.text(path)
+    return read_envelope(spark, path, lookup("authors").table(order_history(spark, d).limit(0)).schema)
+
+
+@query("$FACTS SELECT entity, author, CAST(sum(loc_added) AS BIGINT) AS added, CAST(sum(loc_deleted) AS BIGINT) AS deleted FROM facts GROUP BY entity, author")
+def stored_result(spark: SparkSession, d: str) -> DataFrame:
+    """A result whose rows tasks write, read back."""
+    path = scratch(spark, "result")
+    store("entity-ownership", order_history(spark, d), path)
+    return spark.read.parquet(f"{path}/rows")

@@ -77,7 +77,7 @@ def _entry_rows(n: int, entry: list[str]) -> Iterator[tuple]:
         yield path, fields[1], fields[2], fields[3], message, 0 if binary else int(added), 0 if binary else int(deleted), binary, True
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, file, at, n): the lines of the log and their order."""
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(
@@ -151,7 +151,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """The fact table of a log; ``ord`` orders it.  With ``check``, one pass finds the first error, in log order, and tells an empty log."""
-    rows = parsed(numbered(_lines(spark, path)))
+    rows = parsed(numbered(read_lines(spark, path)))
     if check:
         found = rows.agg(F.count("*").alias("n"), F.min_by(F.struct("error", "entry", "value"), F.when(F.col("error").isNotNull(), F.col("ord"))).alias("e"), F.count("error").alias("bad")).first()
         if found["bad"]:
@@ -167,10 +167,21 @@ def read_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 def preludes(spark: SparkSession, path: str) -> DataFrame:
     """(rev, date) of every prelude line, those of commits without files too."""
     v = F.col("value")
-    lines = _lines(spark, path).where(v.rlike(r"^--[0-9a-f]+--[0-9]{4}-[0-9]{2}-[0-9]{2}--"))
+    lines = read_lines(spark, path).where(v.rlike(r"^--[0-9a-f]+--[0-9]{4}-[0-9]{2}-[0-9]{2}--"))
     return lines.select(F.get(F.split(v, "--"), F.lit(1)).alias("rev"), F.get(F.split(v, "--"), F.lit(2)).alias("date"))
 
 
+def write_log(facts: DataFrame, path: str, commits: DataFrame | None = None) -> None:
+    """A history as a log that ``read_log`` reads: files in order of (date, rev), no commit in two of them; ``commits`` (rev, date, author, message) may have such without files."""
+    head = ["rev", "date", "author", "message"]
+    commits = facts.select(*head).distinct() if commits is None else commits
+    preludes_ = commits.select("date", "rev", F.lit(None).cast(facts.schema["ord"].dataType).alias("ord"), F.concat(F.lit("\n--"), F.concat_ws("--", *head)).alias("line"))
+    count = lambda c: F.when(F.col("binary"), F.lit("-")).otherwise(F.col(c).cast("string"))
+    lines = facts.select("date", "rev", "ord", F.concat_ws("\t", count("loc_added"), count("loc_deleted"), "entity").alias("line"))
+    dealt = preludes_.unionByName(lines).repartitionByRange("date", "rev").sortWithinPartitions("date", "rev", F.asc_nulls_first("ord"))
+    dealt.select("line").write.text(path)
+
+
 class GitLogSource(DataSource):
     """spark.read.format("gitlog").load(path): one reader that stops at the first error, for logs of any encoding."""
 
@@ -198,7 +209,7 @@ class GitLogReader(DataSourceReader):
 
 
 # Fixed value: the command whose output this module reads.
-COMMAND = ["git log", " --numstat --date=short --pretty=format:'--%h--%ad--%aN--%s' --no-renames --use-mailmap"]
+COMMAND = "git log --numstat --date=short --pretty=format:'--%h--%ad--%aN--%s' --no-renames --use-mailmap"
 
 
 def log_command(after: str = "", every_ref: bool = False) -> str:
@@ -209,4 +220,4 @@ def log_command(after: str = "", every_ref: bool = False) -> str:
                 raise ValueError(after)
         except ValueError as e:
             raise SiltError("invalid_after_date", f"{after!r} isn't a date", {"after": after}) from e
-    return COMMAND[0] + (" --all" if every_ref else "") + COMMAND[1] + (f" --after={after}" if after else "")
+    return COMMAND.replace("git log", "git log --all" if every_ref else "git log", 1) + (f" --after={after}" if after else "")
