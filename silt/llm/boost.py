@@ -1,4 +1,4 @@
-"""A small gradient boosting of regression trees on logistic loss, for models that are evaluated as expressions."""
+"""A small gradient boosting of regression trees on logistic loss, for models that are evaluated as expressions, and isotonic calibration."""
 
 from __future__ import annotations
 
@@ -62,3 +62,17 @@ def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, shrin
         out.append(_grow(x, y - q, q * (1 - q), depth, least, shrink, ridge))
         margin += _values(out[-1], x)
     return Boosted(start, out)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots (x, share); shares are drawn towards the mean by two imagined rows."""
+    at, place, n_at = np.unique(x, return_inverse=True, return_counts=True)
+    blocks: list[list[float]] = []  # sum, rows, sum of x
+    for a, b, n in zip(at.tolist(), np.bincount(place, y).tolist(), n_at.tolist()):
+        blocks.append([b, n, a * n])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            s, n, t = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
+    mean = y.mean()
+    share = np.maximum.accumulate([(s + 2 * mean) / (n + 2) for s, n, _ in blocks])
+    return np.array([t / n for _, n, t in blocks]), share

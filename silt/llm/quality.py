@@ -2,14 +2,15 @@
 
 Statistics of each whole text (shares of kinds of bytes, word lengths, repetition, entropy) are standardised and mapped to
 random Fourier features, which approximate a Gaussian kernel.  Each partition of labelled rows sums its own normal
-equations; the sums are added and a ridge solution gives raw scores.  On labelled rows that the fit did not see, isotonic
-regression turns raw scores into probabilities, interpolated linearly.
+equations; the sums are added and a ridge solution gives raw scores.  Isotonic regression turns raw scores into
+probabilities, interpolated linearly; it sees raw scores of every labelled row from equations without that row's fold
+(``FOLDS`` by crc32(doc_id as text) div 16), at every size alike.
 
-Labels are learned from rows whose crc32(doc_id as text) mod 4 is not 2; of these, those whose crc32 mod 16 is 15 (a quarter of one remainder) only
-calibrate.  Of over ``MAX_LABELLED`` labelled rows that share of hash values is used which leaves about so many; everything else covers all rows.
+Labels are learned from rows whose crc32(doc_id as text) mod 4 is not 2.  Of over ``MAX_LABELLED`` such labels that share of hash values is used which
+leaves about so many, so they fit a broadcast and only their texts are measured for the fit; everything else covers all rows.
 
-Defined cases: null, empty and wordless texts have statistics of zeros and get a score like any other; labels that are null,
-have no document or contradict each other count as given (a row each); with no usable labels, or labels of one kind only, the score is the
+Defined cases: null, empty and wordless texts have statistics of zeros and get a score like any other; labels that are null are left out, those that
+have no document count for nothing, those that contradict each other count as given (a row each); with no usable labels, or labels of one kind only, the score is the
 labels' mean (0.5 without any); rows with a null doc_id are held in, never learned from; an empty table gives an empty result.
 """
 
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silt.llm.boost import isotonic
 from silt.llm.common import chunks, map_arrow, saved, text_bytes
 
 FEATURES, SEED, RIDGE, WIDTH = 256, 42, 1e-2, 6.0
 MAX_LABELLED = 200_000
-FIT_PARTITIONS = 16
+FIT_PARTITIONS, FOLDS = 16, 4
 THRESHOLD = 0.7
 
 _KIND = np.zeros(256, np.int64)  # of each byte: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 .,;:'"?-, 7 other ASCII marks, 8 above ASCII
@@ -72,16 +74,17 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, stats) for every row."""
+def measured(docs: DataFrame, key: str = "key", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """(key, stats) and the columns ``others`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, N_STATS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["key", "stats"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), *b.columns[2:]], names=["key", "stats", *others])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, stats array<double>")
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *others)
+    kinds = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in others)
+    return map_arrow(own, run, f"key {own.schema['key'].dataType.simpleString()}, stats array<double>{kinds}")
 
 
 @dataclass(frozen=True)
@@ -103,42 +106,26 @@ def fourier(z: np.ndarray) -> np.ndarray:
     return np.hstack([np.cos(np.clip(z, -8, 8) @ w + phase) * np.sqrt(2 / FEATURES), np.ones((len(z), 1))])
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (x, share); shares are drawn towards the mean by two imagined rows."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # sum, rows, sum of x
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        blocks.append([b, 1.0, a])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s, n, t = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
-    mean = y.mean()
-    share = np.maximum.accumulate([(s + 2 * mean) / (n + 2) for s, n, _ in blocks])
-    return np.array([t / n for _, n, t in blocks]), share
-
-
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", label_key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> Model:
-    """A model from the measured rows (key, stats) that ``labels`` marks, those of the held-out remainder left out."""
-    crc = F.crc32(F.col("key").cast("string"))
-    known = labels.where(F.col(label).isNotNull()).select(F.col(label_key).alias("key"), F.col(label).cast("double").alias("y"))
-    rows = stats.where(crc % 4 != 2).join(known, "key").select("stats", "y", (crc % 16 == 15).alias("tune"), F.pmod(F.xxhash64("key", "y"), F.lit(1 << 32)).alias("h"))
-    n_known = known.count()
-    if n_known > max_labelled:
-        rows = rows.where(F.col("h") < (1 << 32) * max_labelled // n_known)
-    rows = saved(rows.repartition(FIT_PARTITIONS), "quality-labelled")
+def chosen(labels: DataFrame, label: str = "quality", label_key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(known, y, fold): the labels that are learned from, about ``max_labelled`` at most."""
+    crc = F.crc32(F.col(label_key).cast("string"))
+    usable = labels.where(F.col(label).isNotNull() & (crc % 4 != 2)).select(F.col(label_key).alias("known"), F.col(label).cast("double").alias("y"), (F.floor(crc / 16) % FOLDS).cast("int").alias("fold"))
+    n = usable.count()
+    share = min(1 << 32, (1 << 32) * max_labelled // max(n, 1))
+    return usable.where(F.pmod(F.xxhash64("known", "y"), F.lit(1 << 32)) < share)
+
+
+def fit(rows: DataFrame) -> Model:
+    """A model from measured rows (stats, y, fold)."""
+    rows = saved(rows.select("stats", "y", "fold").repartition(FIT_PARTITIONS), "quality-labelled")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _summed(batches, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0), [y.sum()]]), 2 * N_STATS + 2)
 
-    def added(df: DataFrame) -> np.ndarray:
-        return sum((np.frombuffer(r[0]) for r in df.collect()), start=0.0)
-
-    fitted = rows.where("not tune")
-    m = added(fitted.mapInArrow(moments, "sums binary"))
-    n = float(np.sum(m[0])) if np.ndim(m) else 0.0
+    m = sum((np.frombuffer(r[1]) for r in rows.mapInArrow(moments, "fold int, sums binary").collect()), start=np.zeros(2 * N_STATS + 2))
+    n = float(m[0])
     if not n or not 0 < m[-1] < n:
-        y = rows.agg(F.avg("y")).first()[0]
-        return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(FEATURES + 1), np.zeros(1), np.array([0.5 if y is None else y]))
+        return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(FEATURES + 1), np.zeros(1), np.array([m[-1] / n if n else 0.5]))
     mean = m[1 : 1 + N_STATS] / n
     spread = np.sqrt(np.maximum(m[1 + N_STATS : 1 + 2 * N_STATS] / n - mean**2, 0))
     spread[spread < 1e-9] = 1.0
@@ -153,21 +140,30 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", label_key:
 
         yield from _summed(batches, part, d * d + d)
 
-    s = added(fitted.mapInArrow(normal, "sums binary"))
-    weights = np.linalg.solve(s[: d * d].reshape(d, d) + RIDGE * np.eye(d), s[d * d :])
-    tuned = rows.where("tune").select("stats", "y").toPandas()
-    if len(tuned) < 20:
-        tuned = rows.select("stats", "y").toPandas()
-    raw = fourier((np.array(tuned["stats"].tolist()) - mean) / spread) @ weights
-    return Model(mean, spread, weights, *isotonic(raw, tuned["y"].to_numpy()))
+    sums = np.zeros((FOLDS, d * d + d))
+    for fold, s in rows.repartitionById(FIT_PARTITIONS, F.col("fold") * F.lit(FIT_PARTITIONS // FOLDS) + F.pmod(F.hash("stats"), F.lit(FIT_PARTITIONS // FOLDS))).mapInArrow(normal, "fold int, sums binary").collect():
+        sums[fold] += np.frombuffer(s)
+    solve = lambda s: np.linalg.solve(s[: d * d].reshape(d, d) + RIDGE * np.eye(d), s[d * d :])
+    without = np.array([solve(sums.sum(0) - s) for s in sums])
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
+            z = fourier((x - mean) / spread)
+            yield pa.RecordBatch.from_arrays([pa.array((z * without[b.column(2).to_numpy(zero_copy_only=False)]).sum(1)), b.column(1)], names=["raw", "y"])
+
+    seen = rows.mapInArrow(raw, "raw double, y double").toPandas()
+    return Model(mean, spread, solve(sums.sum(0)), *isotonic(seen["raw"].to_numpy(), seen["y"].to_numpy()))
 
 
 def _summed(batches, part, size: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(size)
+    """One row for each fold in a partition: its number and the sum of ``part`` over its rows."""
+    totals: dict[int, np.ndarray] = {}
     for b in batches:
-        if b.num_rows:
-            total += part(np.array(b.column(0).to_pylist()), b.column(1).to_numpy(zero_copy_only=False))
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        x, y, fold = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        for k in np.unique(fold).tolist():
+            totals[k] = totals.get(k, np.zeros(size)) + part(x[fold == k], y[fold == k])
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["fold", "sums"])
 
 
 def scores(stats: DataFrame, model: Model) -> DataFrame:
@@ -183,16 +179,17 @@ def scores(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    stats = saved(measured(docs), "quality-stats")
+    stats = saved(measured(docs, "doc_id"), "quality-stats")
     held_out = F.coalesce(F.crc32(F.col("key").cast("string")) % 4 == 2, F.lit(False))
-    return scores(stats, fit(stats, labels)).select(
-        F.col("key").alias("doc_id"), held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted")
-    )
+    model = fit(stats.join(F.broadcast(chosen(labels)), F.col("key") == F.col("known")))
+    return scores(stats, model).select(F.col("key").alias("doc_id"), held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, scored where they lie: texts are not shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(saved(measured(docs, key, text), "quality-stats"), labels))
+    """The rows of ``docs`` that the classifier accepts, scored where they lie: texts are not shuffled, and for the fit only labelled ones are measured."""
+    known = F.broadcast(chosen(labels))
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, F.col("key") == F.col("known"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(measured(own, others=("y", "fold"))))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
