@@ -1,9 +1,10 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 Base patterns (see ``BASE``) give spans that always stay.  High-recall generators (``WIDE``) then propose more: written-out or bracketed
-e-mail addresses, IPv6 addresses, card numbers with unusual separators, telephone numbers without a plus sign.  Boosted
-trees judge each proposal by its format and by the words around it; thresholds, calibrated for each kind on examples kept apart from the fit, select
-what is added.  The trees are fitted on the driver from ``EXAMPLES`` written-out examples (no corpus row is needed) and are
+e-mail addresses, IPv6 addresses, card numbers with unusual separators, telephone numbers without a plus sign or beside other digits.  Boosted
+trees judge each proposal by its format and by the words around it.  Thresholds select what is added: for each kind the least margin at which, by isotonic regression on examples kept
+apart from the fit, proposals of just that margin are right with ``PRECISION``.  The trees are fitted on the driver from ``EXAMPLES`` examples (no corpus row is needed), right ones
+written out, wrong ones written out or proposed by the generators in written text (``TEXT``), and are
 evaluated as CASE expressions.  Everything happens inside a row: there is no shuffle, and no state that could be lost.
 
 A span's place comes from the text's pieces: ``split`` and ``regexp_extract_all`` by one pattern give gaps and matches in turn,
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.boost import Boosted, Node, boosted
+from silt.llm.boost import Boosted, Node, boosted, isotonic
 
 KINDS = ["email", "ip", "card", "phone"]
 # The contract's patterns, written so that no start inside a run is tried again and nothing is given back.
@@ -34,11 +35,12 @@ BASE = {
 }
 _AT = r"(?:@|\x20?[\[({]\x20?(?i:at)\x20?[\])}]\x20?|\x20(?i:at)\x20)"
 _DOT = r"(?:\.|\x20?[\[({]\x20?(?i:dot)\x20?[\])}]\x20?|\x20(?i:dot)\x20)"
+_SEP = r"[\x20._/-]"
 WIDE = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{0,4}+(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20._/-]{0,2}+[0-9]){11,18}+(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}+\(?[0-9]{2,5}+\)?){1,5}+(?![0-9A-Za-z])",
+    "card": rf"(?<![0-9A-Za-z])(?:(?:[0-9]{{4}}{_SEP}{{1,2}}+){{3}}[0-9]{{4}}(?!{_SEP}{{1,2}}[0-9]{{4}}(?![0-9]))|[0-9](?:{_SEP}{{0,2}}+[0-9]){{11,18}}+(?!{_SEP}{{1,2}}[0-9]))(?![0-9A-Za-z])",
+    "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}+{_SEP}?+)?+(?:\(?[0-9]{{3}}\)?{_SEP}{{1,2}}+[0-9]{{3}}{_SEP}[0-9]{{4}}|\(?[0-9]{{2,5}}+\)?(?:{_SEP}{{1,2}}+\(?[0-9]{{2,5}}+\)?){{1,5}}+(?!{_SEP}{{1,2}}\(?[0-9]{{2}}))(?![0-9A-Za-z])",
 }
 # A document is searched by a wide pattern only if it holds this, which is a part of every match of the pattern.
 GATE = {"email": rf"{_AT}[A-Za-z0-9-]{{1,63}}+{_DOT}[A-Za-z0-9-]", "ip": r":[0-9A-Fa-f]{0,4}+:", "card": r"[0-9]", "phone": r"[0-9]"}
@@ -51,10 +53,10 @@ WORDS = {
     "phone": r"(?i)phone|tel|call|mobile|cell|fax|dial|contact",
     "other": r"(?i)order|invoice|version|page|isbn|date|ref|item|serial|year|score|ratio|build|total|no\.",
 }
-FEATURES = ["kind", "n_chars", "n_digits", "n_marks", "n_groups", "longest", "n_kinds", "luhn", "year", "bracket", "words_for", "words_against", "joined", "colons"]
-EXAMPLES, SEED, PRECISION = 6000, 42, 0.97
+FEATURES = ["kind", "n_chars", "n_digits", "n_marks", "n_groups", "longest", "n_kinds", "luhn", "year", "bracket", "words_for", "words_against", "joined", "colons", "plus"]
+EXAMPLES, SEED, PRECISION = 8000, 42, 0.7
 CONTEXT = 24
-BLOCK = 64
+BLOCK, CUT = 64, 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,12 +64,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running_sums(steps: Column) -> Column:
-    """Inclusive running sums of an array of longs, by blocks of BLOCK."""
+def running(steps: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Inclusive running sums (or what ``join`` gives, from 0 on) of an array of longs, by blocks of BLOCK."""
 
     def whole(s: Column) -> Column:
         blocks = F.sequence(F.lit(0), F.ceil(F.size(s) / BLOCK).cast("int") - 1)
-        add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+        add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), join)
         sums = F.transform(blocks, lambda b: add(F.slice(s, b * BLOCK + 1, BLOCK)))
         return let(
             sums,
@@ -76,7 +78,7 @@ def running_sums(steps: Column) -> Column:
                     blocks,
                     lambda b: let(
                         F.struct(add(F.slice(t, F.lit(1), b)).alias("o"), F.slice(s, b * BLOCK + 1, BLOCK).alias("p")),
-                        lambda v: F.transform(F.sequence(F.lit(1), F.size(v["p"])), lambda i: v["o"] + add(F.slice(v["p"], F.lit(1), i))),
+                        lambda v: F.transform(F.sequence(F.lit(1), F.size(v["p"])), lambda i: join(v["o"], add(F.slice(v["p"], F.lit(1), i)))),
                     ),
                 )
             ),
@@ -123,7 +125,7 @@ def placed(v: Column, keep: Callable[[Column], Column], kind: str) -> Column:
         F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.length(F.get(v["g"], i)) + F.when(i > 0, F.length(F.get(v["m"], i - 1))).otherwise(0)).cast("long"))
     )
     return let(
-        running_sums(steps),
+        running(steps),
         lambda s: F.filter(
             F.transform(
                 s, lambda at, i: F.when(keep(i), F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + F.length(F.get(v["m"], i))).alias("end")))
@@ -149,11 +151,6 @@ def rebuilt(v: Column, keep: Callable[[Column], Column], put: Callable[[Column],
     )
 
 
-def replaced_base(text: Column, kind: str, put: Callable[[Column], Column]) -> Column:
-    gate = text.contains({"email": "@", "phone": "+"}[kind]) if kind in ("email", "phone") else text.rlike("[0-9]")
-    return F.when(gate, let(pieces(text, BASE[kind]), lambda v: rebuilt(v, lambda i: valid(kind, F.get(v["m"], i)), put))).otherwise(text)
-
-
 def _features(kind: str, m: Column, before: Column, after: Column) -> list[Column]:
     d = digits(m)
     count = lambda pattern, c=m: F.size(F.split(c, pattern, -1)) - 1
@@ -167,7 +164,7 @@ def _features(kind: str, m: Column, before: Column, after: Column) -> list[Colum
         F.lit(KINDS.index(kind)), F.length(m), F.length(d), count("[^0-9A-Za-z]"), F.size(F.split(m, "[^0-9A-Za-z]+", -1)), longest,
         F.size(F.array_distinct(F.split(d, ""))), number(F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)), number(m.rlike("^(?:19|20)[0-9]{2}\\b")),
         number(m.rlike("[()\\[\\]{}]")), number(before.rlike(WORDS[kind])), number(before.rlike(WORDS["other"]) | others),
-        number(before.rlike("[0-9A-Za-z#$%=/]$")) + number(after.rlike("^[%$=/#:]")), count(":"),
+        number(before.rlike("[0-9A-Za-z#$%=/]$")) + number(after.rlike("^[%$=/#:]")), count(":"), number(m.startswith("+")),
     ]
 
 
@@ -182,7 +179,7 @@ def _python_features(kind: str, m: str, before: str, after: str) -> list[float]:
     return [
         KINDS.index(kind), len(m), len(d), len(re.findall("[^0-9A-Za-z]", m)), len(parts), max(map(len, parts)), len(set(d)) or 1, 12 <= len(d) <= 19 and total % 10 == 0,
         hit(r"^(?:19|20)[0-9]{2}\b", m), hit(r"[()\[\]{}]", m), hit(WORDS[kind], before), hit(WORDS["other"], before) or any(hit(p, before) for k, p in WORDS.items() if k not in (kind, "other")),
-        hit("[0-9A-Za-z#$%=/]$", before) + hit("^[%$=/#:]", after), m.count(":"),
+        hit("[0-9A-Za-z#$%=/]$", before) + hit("^[%$=/#:]", after), m.count(":"), m.startswith("+"),
     ]
 
 
@@ -207,21 +204,30 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
         if kind == "ip":
             return ":".join(hexa() for _ in range(8)) if right and r.random() < 0.7 else f"{hexa()}:{hexa()}::{hexa()}" if right else r.choice([f"{num(2)}:{num(2)}:{num(2)}", "::", f"{num(1)}:{num(2)}:{num(2)}", f"{word(1)}::"])
         if kind == "card":
-            sep = r.choice([".", "/", "_", "  "])
+            sep = r.choice([".", "/", "_", "  ", " ", "-"])
             d = card() if right else num(16)
             return sep.join(d[i : i + 4] for i in range(0, 16, 4)) if right or r.random() < 0.5 else r.choice([num(8) + "_" + num(6), num(14)])
         if right:
-            return r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)}/{num(4)} {num(3)}"])
+            return r.choice([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)}/{num(4)} {num(3)}"])
         return r.choice([f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.20{num(2)}", f"{num(2)} {num(2)}", f"{num(3)}.{num(3)}", f"{num(2)}/{num(2)}", f"{num(4)} {num(2)} {num(3)}", f"{num(3)} {num(3)} {num(3)}"])
 
     near = {"email": ["mail me: ", "contact ", "write to "], "ip": ["from IP ", "server ", "host address "], "card": ["card ", "visa number ", "pay with credit "], "phone": ["phone: ", "call ", "tel. ", "mobile "]}
     far = ["order ", "invoice no. ", "version ", "isbn ", "date: ", "serial "]
     x, y, kinds = [], [], []
+    wrong = {k: _in_text(k, r, num, word, hexa) for k in KINDS}
     for i in range(n):
         kind, right = KINDS[i % 4], r.random() < 0.5
+        if not right and r.random() < 0.5:
+            m, before, after = next(wrong[kind])
+            x.append(_python_features(kind, m, before[-CONTEXT:], after[:8]))
+            y.append(False)
+            kinds.append(i % 4)
+            continue
         m = case(kind, right)
         roll = r.random()
         before = r.choice(near[kind]) if roll < (0.45 if right else 0.08) else r.choice(far) if roll > (0.97 if right else 0.6) else f"{word(5)} {word(3)} "
+        if kind == "card" and right and r.random() < 0.2:
+            before = f"{word(3)} +1 ({num(3)}) {num(3)}-{num(4)} "  # digits before it, with which the base pattern took it together
         after = r.choice([" ", ".", ", ", " " + word(4)]) if right or r.random() < 0.8 else r.choice("%$=/")
         x.append(_python_features(kind, m, before, after))
         y.append(right)
@@ -229,20 +235,40 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
     return np.array(x, float), np.array(y, float), np.array(kinds)
 
 
+# Sentences with numbers and words that the generators propose and that are nobody's data: # stands for a digit, w for a word, h for up to four hexadecimal digits.
+TEXT = [
+    "We met at w.w said so.", "Look at w.w.", "They arrived at w . w followed.", "Sold at w.w, bought at w.w.w.", "Open at w dot w.", "It starts at ww.w and ends at w.ww.",
+    "It took ##:##:##.", "From ##:##:## to ##:##:##.", "Use w::w or ::w.", "The device h:h:h:h:h:h went off.", "A ratio of #:#:#.", "Keys ab:cd:ef:##:##:##:##:##:##:## differ.", "At ##:##:##:## it broke.", "see a::b",
+    "Id ################ is free.", "Ticket ########_######.", "Serial ####-####-####.", "isbn ###-#-##-######-#", "isbn ###-##########", "Batch ##############.", "Code ####.####.####.####", "Sum ### ### ### ###.", "Run ####/####/####/####.", "No. ############", "Timestamps #############, ################.",
+    "On ####-##-## we left.", "The ##.##.#### was a Monday.", "Pages ###-###.", "About ## ### people.", "## ### ### units.", "Version ##.##.##.", "Scores ##-## ##-##.", "At ##.#### ##.####.", "Line ###/###.", "Years ####-####.", "order #### ## ###", "Lot ### ### ###.", "It is ## 000 000.",
+    "Room ##-###, floor ##.", "Table ## ## ## ##.", "Invoice ####-###-###.", "A span of ###.## - ###.##.",
+]
+
+
+def _in_text(kind: str, r, num, word, hexa):
+    """Proposals of a generator in such sentences, one after the other with what stands around them, without end."""
+    import re
+
+    fill = {"#": lambda: num(1), "w": lambda: word(r.randint(2, 7)), "h": hexa}
+    pattern = re.compile(WIDE[kind].replace("(?i:at)", "(?:at|AT)").replace("(?i:dot)", "(?:dot|DOT)"))
+    while True:
+        t = " ".join(" ".join(re.sub("#|w|\\bh\\b", lambda m: fill[m[0]](), x) if "#" in x or "w" in x or "h:" in x else x for x in r.choice(TEXT).split(" ")) for _ in range(4))
+        for m in pattern.finditer(t):
+            yield m[0], t[: m.start()], t[m.end() :]
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[Boosted, list[float]]:
-    """The trees, and for each kind the least margin at which PRECISION of the examples kept apart are right."""
+    """The trees, and for each kind the least margin whose own proposals are right with PRECISION, by the examples kept apart."""
     x, y, kinds = examples()
     apart = np.arange(len(y)) % 3 == 2
     trees = boosted(x[~apart], y[~apart])
     margins, cuts = trees.margin(x[apart]), []
     for k in range(len(KINDS)):
         own = kinds[apart] == k
-        order = np.argsort(-margins[own], kind="stable")
-        m, right = margins[own][order], np.cumsum(y[apart][own][order]) / np.arange(1, own.sum() + 1)
-        last = np.r_[m[1:] < m[:-1], True]  # equal margins go together
-        good = np.flatnonzero((right >= PRECISION) & last)
-        cuts.append(float(m[good[-1]]) if len(good) else float("inf"))
+        at, share = isotonic(margins[own], y[apart][own])
+        i = int(np.searchsorted(share, PRECISION))
+        cuts.append(float("inf") if i == len(at) else float(at[0]) if not i else float(np.interp(PRECISION, share[i - 1 : i + 1], at[i - 1 : i + 1])))
     return trees, cuts
 
 
@@ -277,15 +303,39 @@ def wide_step(text: Column, kind: str) -> Column:
     return F.when(text.rlike(GATE[kind]), step).otherwise(F.struct(text.alias("t"), F.array().cast(NO_SPANS).alias("s")))
 
 
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text given as blocks of CUT code points: no long text is walked from its beginning for each piece."""
+    first, last = F.floor(start / CUT).cast("int"), F.floor(end / CUT).cast("int")
+    head = lambda k: F.substring(F.coalesce(F.get(blocks, first), F.lit("")), (start % CUT + 1).cast("int"), k)
+    across = F.concat(head(F.lit(CUT)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), (end % CUT).cast("int")))
+    return F.when(first == last, head((end - start).cast("int"))).otherwise(across)
+
+
+def covered(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``put`` (kind, length) in place of its spans; spans that overlap are one, of the first one's kind."""
+
+    def opened(v: Column) -> Column:
+        """struct(start, kind, i: its index) of each span that doesn't overlap one before, given struct(s: sorted spans, e: largest ends so far)."""
+        free = lambda s, i: F.when((i == 0) | (s["start"] >= F.get(v["e"], i - 1)), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i")))
+        return F.filter(F.transform(v["s"], free), lambda x: x.isNotNull())
+
+    def built(v: Column, o: Column) -> Column:
+        ends = F.transform(o, lambda x, j: F.get(v["e"], F.coalesce(F.get(o, j + 1)["i"], F.size(v["s"])) - 1))
+        part = lambda w, x, j: F.concat(cut(w["b"], F.coalesce(F.get(w["e"], j - 1), F.lit(0).cast("long")), x["start"]), put(x["kind"], (F.get(w["e"], j) - x["start"]).cast("int")))
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+        rest = lambda w: cut(w["b"], F.element_at(w["e"], -1), F.length(text).cast("long"))
+        return let(F.struct(ends.alias("e"), blocks.alias("b")), lambda w: F.concat(F.array_join(F.transform(o, lambda x, j: part(w, x, j)), ""), rest(w)))
+
+    whole = lambda s: let(F.struct(s.alias("s"), running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)).alias("e")), lambda v: let(opened(v), lambda o: built(v, o)))
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), whole)).otherwise(text)
+
+
 def with_spans(docs: DataFrame, text: str = "text", base: str = "base", added: str = "added") -> DataFrame:
     """``docs`` and two arrays of spans (start, kind number, end): the base ones and those that the trees add."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    blank = lambda m: F.repeat(F.lit("█"), F.length(m))
     out = docs.withColumn(base, F.concat(*[base_spans(whole, k) for k in KINDS]))
     some = F.exists(F.array(*[whole.rlike(g) for g in GATE.values()]), lambda x: x)
-    out = out.withColumn("__silt_text", F.when(some, whole).otherwise(""))
-    for k in KINDS:
-        out = out.withColumn("__silt_text", F.when(F.size(base) > 0, replaced_base(F.col("__silt_text"), k, blank)).otherwise(F.col("__silt_text")))
+    out = out.withColumn("__silt_text", F.when(some, covered(whole, F.col(base), lambda _, n: F.repeat(F.lit("█"), n))).otherwise(""))
     for k in KINDS:
         out = out.withColumn(f"__silt_{k}", wide_step(F.col("__silt_text"), k)).withColumn("__silt_text", F.col(f"__silt_{k}.t"))
     return out.withColumn(added, F.concat(*[F.col(f"__silt_{k}.s") for k in KINDS])).drop("__silt_text", *[f"__silt_{k}" for k in KINDS])
@@ -304,18 +354,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return found.select(key, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
 
 
-def _replaced_wide(text: Column, kind: str, put: Callable[[Column], Column]) -> Column:
-    step = let(pieces(text, WIDE[kind]), lambda v: rebuilt(v, lambda i: chosen(kind, v, i), put))
-    return F.when(text.rlike(GATE[kind]), step).otherwise(text)
-
-
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with [EMAIL], [IP], [CARD] or [PHONE] in place of each span, kind after kind, widest kinds before those they may hold."""
-    order = ["email", "phone", "card", "ip"]
-    put = {k: (lambda _, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS}
-    out = docs.withColumn("__silt_text", F.col(text))
-    for k in order:
-        out = out.withColumn("__silt_text", replaced_base(F.col("__silt_text"), k, put[k]))
-    for k in KINDS:
-        out = out.withColumn("__silt_text", _replaced_wide(F.col("__silt_text"), k, put[k]))
-    return out.withColumn(text, F.col("__silt_text")).drop("__silt_text").select(*docs.columns)
+    """``docs`` with [EMAIL], [IP], [CARD] or [PHONE] in place of each span that ``report`` finds; spans that overlap share the first one's."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    found = with_spans(docs, text, "__silt_base", "__silt_added")
+    return found.withColumn(text, covered(F.col(text), F.concat("__silt_base", "__silt_added"), lambda k, _: F.get(names, k))).select(*docs.columns)
