@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silt.functions.exprs import average, percentage, truncated
@@ -31,16 +31,17 @@ def communication(facts: DataFrame) -> DataFrame:
     has more than two slices' people.
     """
     own = facts.select("entity", "author").distinct()
-    large = own.groupBy("entity").count().where(F.col("count") > SLICE).select("entity", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
-    sliced = own.join(large, "entity", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("author"), F.col("slices")).cast("int"), F.lit(0)))
-    others = F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)
-    met = sliced.select("entity", "author", "slice", F.explode(F.transform(others, lambda j: F.struct(F.least(j, F.col("slice")).alias("i"), F.greatest(j, F.col("slice")).alias("j")))).alias("m")).select("entity", "author", "slice", "m.i", "m.j")
+    sized = own.withColumn("slices", F.ceil(F.count("*").over(Window.partitionBy("entity")) / SLICE).cast("int"))
+    sliced = sized.withColumn("slice", F.when(F.col("slices") == 1, 0).otherwise(F.pmod(F.xxhash64("author"), F.col("slices")).cast("int")))
+    others = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least(k, F.col("slice")).alias("i"), F.greatest(k, F.col("slice")).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    met = sliced.select("entity", "author", "slice", F.inline(F.when(F.col("slices") == 1, alone).otherwise(others)))
     x, y = met.alias("x"), met.alias("y")
-    mixed = (F.col("x.i") == F.col("x.j")) | (F.col("x.slice") != F.col("y.slice"))
-    pairs = x.join(y, ["entity", "i", "j"]).where((F.col("x.author") < F.col("y.author")) & mixed).groupBy(F.col("x.author").alias("a"), F.col("y.author").alias("b")).agg(F.count("*").alias("shared"))
+    apart = (F.col("i") == F.col("j")) | (F.col("x.slice") != F.col("y.slice"))
+    pairs = x.join(y, ["entity", "i", "j"]).where((F.col("x.author") < F.col("y.author")) & apart).groupBy(F.col("x.author").alias("a"), F.col("y.author").alias("b")).agg(F.count("*").alias("shared"))
     touched = own.groupBy("author").agg(F.count("*").alias("n"))
-    both = pairs.join(touched.withColumnsRenamed({"author": "a", "n": "na"}), "a").join(touched.withColumnsRenamed({"author": "b", "n": "nb"}), "b")
+    counted = pairs.join(touched.withColumnsRenamed({"author": "a", "n": "na"}), "a").join(touched.withColumnsRenamed({"author": "b", "n": "nb"}), "b")
     mean = F.ceil(average(F.col("na"), F.col("nb")))
     ways = F.array(F.struct(F.col("a").alias("author"), F.col("b").alias("peer")), F.struct(F.col("b").alias("author"), F.col("a").alias("peer")))
-    out = both.select(F.explode(ways).alias("w"), "shared", mean.alias("average"))
+    out = counted.select(F.explode(ways).alias("w"), "shared", mean.alias("average"))
     return out.select("w.author", "w.peer", "shared", "average", truncated(percentage(F.col("shared") / F.col("average"))).alias("strength"))

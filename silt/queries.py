@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.operators import second as S
+from silt.operators.coupling import all_filtered
 from silt.operators.transforms import Transforms, filter_paths, group_layers, layer, map_teams, temporal_windows
 from silt.plans.batch import GENERATED, trailing
 from silt.plans.result import run, store
 from silt.registry import lookup
 from silt.shared import shared_dir
 from silt.sources.adapters import nation_teams, order_history
+from silt.sources.definitions import parse_layers, parse_teams
 from silt.sources.gitlog import numbered, parsed, preludes, read_lines, read_log, write_log
 from silt.sources.results import read_envelope, read_structure
+from silt.streaming import history as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,3 +418,53 @@ def stored_result(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "result")
     store("entity-ownership", order_history(spark, d), path)
     return spark.read.parquet(f"{path}/rows")
+
+
+@query("$FACTS SELECT entity, count(*) AS n_revs FROM facts GROUP BY entity ORDER BY count(DISTINCT author) DESC, n_revs DESC, entity LIMIT 25")
+def fields_source(spark: SparkSession, d: str) -> DataFrame:
+    """A limited result projected to two fields as JSON, written and read back."""
+    path = scratch(spark, "fields")
+    spark.createDataFrame([(run("authors", order_history(spark, d), rows=25).json("rows.entity,rows.n_revs"),)], "value string").coalesce(1).write.text(path)
+    return read_envelope(spark, path, lookup("authors").table(order_history(spark, d).limit(0)).select("entity", "n_revs").schema)
+
+
+query(
+    f"""$FACTS, {coupling_sql(30, 5, 5, 30)} SELECT (SELECT count(*) FROM g) AS candidate_pairs, max(CAST(floor(deg) AS BIGINT)) AS max_degree, max(shared) AS max_shared_revs, max(CAST(floor(avg) AS BIGINT)) AS max_average_revs,
+    concat_ws(',', CASE WHEN max(floor(avg)) < 5 THEN 'min-revs' END, CASE WHEN max(shared) < 5 THEN 'min-shared-revs' END, CASE WHEN max(floor(deg)) < 30 THEN 'min-coupling' END) AS blocking FROM g""",
+    "coupling_all_filtered",
+)(lambda spark, d: filtered_row(spark, all_filtered(order_history(spark, d))))
+
+
+def filtered_row(spark: SparkSession, why: dict) -> DataFrame:
+    """The numbers of the warning that no pair reached the thresholds."""
+    seen = why["observed"]
+    return spark.createDataFrame([(why["candidate_pairs"], seen["max_degree"], seen["max_shared_revs"], seen["max_average_revs"], ",".join(why["blocking"]))], "candidate_pairs long, max_degree long, max_shared_revs long, max_average_revs long, blocking string")
+
+
+LAYER_FILE = "\n".join(f"{p} => {n}" for p, n in LAYERS)
+query(f"$FACTS, {LAYERED} SELECT entity, count(DISTINCT rev) AS n_revs FROM grouped GROUP BY entity", "layers_file")(
+    lambda spark, d: table("revisions", group_layers(order_history(spark, d), parse_layers(LAYER_FILE)))
+)
+
+
+@query(
+    f"""$FACTS, {TEAMS}, regions AS (SELECT t.entity, r_name AS author, t.loc_added, t.loc_deleted, t.rev FROM teams t JOIN nation ON n_name = t.author JOIN region ON n_regionkey = r_regionkey)
+    SELECT author, CAST(sum(loc_added) AS BIGINT) AS added, CAST(sum(loc_deleted) AS BIGINT) AS deleted, count(DISTINCT rev) AS commits FROM regions GROUP BY author"""
+)
+def teams_file(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as authors, and their regions as teams in a definition file: 25 lines at any size."""
+    nations, regions = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
+    pairs = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").collect()
+    teams = parse_teams("\n".join(["Author, Team", *(f'"{a}",{t}' for a, t in pairs)]))
+    return table("author-churn", map_teams(team_facts(spark, d), teams))
+
+
+@query("$FACTS SELECT entity, author, CAST(sum(loc_added) AS BIGINT) AS added, CAST(sum(loc_deleted) AS BIGINT) AS deleted FROM facts GROUP BY entity, author")
+def stream_ownership(spark: SparkSession, d: str) -> DataFrame:
+    """The history as files that arrive one by one, and sums kept as state; each batch's table replaces the one before."""
+    source, out = scratch(spark, "stream"), scratch(spark, "stream-result")
+    order_history(spark, d).withColumn("ord", F.monotonically_increasing_id()).repartition(3).write.parquet(source)
+    sums = streams.ownership(streams.read_facts(spark, source, 1))
+    query_ = sums.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.parquet(out)
