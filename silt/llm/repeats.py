@@ -33,19 +33,38 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xD1342543DE82EF95)
 
 
+_CACHED = 1 << 16  # powers that a worker keeps
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_table(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i for i up to ``n``, modulo 2 ** 64."""
+    found = _powers.get(int(base))
+    if found is None or len(found[0]) <= n:
+        size = max(n, _CACHED) + 1
+        found = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, np.uint64(pow(int(base), -1, 1 << 64))))
+        if size == _CACHED + 1:
+            _powers[int(base)] = found
+    return found
+
+
 class Rolling:
     """Hashes of runs of words from prefix sums, modulo 2 ** 64."""
 
     def __init__(self, words: np.ndarray, base: np.uint64):
         n = len(words)
-        with np.errstate(over="ignore"):
-            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(int(base), -1, 1 << 64), np.uint64)])
-            powers = np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), base, np.uint64)])[:n]
-            self.sums = np.r_[np.uint64(0), np.cumsum(words * powers, dtype=np.uint64)]
+        powers, self.inverse = _power_table(base, n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * powers[:n], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
 
+    def every(self, size: int) -> np.ndarray:
+        """Of all runs of ``size`` words."""
+        n = len(self.sums) - size
+        return mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n] + np.uint64(size))
+
 
 class Windows:
     """The windows of one text, the half-windows that stand for them, and their runs."""
@@ -53,21 +72,27 @@ class Windows:
     def __init__(self, words: np.ndarray, window: int = WINDOW):
         half = window // 2
         self.n, self.window = len(words), window
-        self.first, self.second = Rolling(words, _M), None
+        self.first, self.second = None, None
         self._words = words
         if self.n < window:
             self.starts = self.stops = np.empty(0, np.int64)
             return
-        at = np.arange(self.n - half + 1)
-        self.half = self.first.of(at, at + half)
-        span = np.lib.stride_tricks.sliding_window_view(self.half, window - half + 1)
-        pick = np.concatenate([span[i : i + 65536].argmin(1) for i in range(0, len(span), 65536)]) + np.arange(len(span))
-        self.starts = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]])  # first window of each run
-        self.stops = np.r_[self.starts[1:], len(pick)]  # one past its last window
-        self.halves = self.half[pick[self.starts]]
+        self.first = Rolling(words, _M)
+        halves = self.first.every(half)
+        wide = window - half + 1
+        count, step = len(halves) - wide + 1, halves.strides[0]
+        span = np.lib.stride_tricks.as_strided(halves, (count, wide), (step, step))
+        pick = span.argmin(1) if count <= 65536 else np.concatenate([span[i : i + 65536].argmin(1) for i in range(0, count, 65536)])
+        pick += np.arange(count)
+        turns = np.flatnonzero(pick[1:] != pick[:-1]) + 1
+        self.starts = np.concatenate([[0], turns])  # first window of each run
+        self.stops = np.concatenate([turns, [count]])  # one past its last window
+        self.halves = halves[pick[self.starts]]
 
     def keys(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96-bit keys of runs of words: a long and an int each."""
+        if not len(start):
+            return np.empty(0, np.int64), np.empty(0, np.int32)
         if self.second is None:
             self.second = Rolling(mixed(self._words + _M2), _M2)
         return self.first.of(start, stop).view(np.int64), (self.second.of(start, stop) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -147,7 +172,7 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         F.collect_list(F.when(F.col("key") > F.col("least"), F.struct("h", "g"))).alias("decided"), F.collect_list(F.when(F.col("key") == F.col("least"), F.struct("h", "g"))).alias("open")
     )
     lists = saved(lists.select(F.col("key").alias("k"), "decided", "open"), "repeats-lists")
-    # The same two shuffles of the texts and the lists serve both uses.
+    # The last step joins texts and lists once more: the windows in between come from a table, so no work on texts is done twice.
     joined = own.join(lists, F.col("key") == F.col("k"), "left").select("key", "text", "decided", "open")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +190,7 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 gs.append(g[once])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(gs)), b.column(0).take(pa.array(np.concatenate(ids)))], names=["h", "g", "key"])
 
-    fine = map_arrow(joined, windows, f"h long, g int, key {kind}")
+    fine = saved(map_arrow(joined, windows, f"h long, g int, key {kind}"), "repeats-windows")
     first = fine.groupBy("h", "g").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h", "g", "least")
     found = _met(fine, first, "h", "g").where(F.col("key") > F.col("least")).groupBy("key").agg(F.collect_list(F.struct("h", "g")).alias("found"))
     found = found.withColumnRenamed("key", "k2")
