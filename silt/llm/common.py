@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -22,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silt.shared import shared_dir
+
 CHUNK = 1 << 20
 BLOCK = 4 << 20  # bytes of text whose words a worker holds at once
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 PARTITION_BYTES = 64 << 20  # stored bytes of input that a shuffle by key deals to one partition
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -34,30 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Where none is set, a local session takes a temporary one; a cluster has none to take."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='silt-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
 def made_here() -> Iterator[list[str]]:
-    """The paths that this thread's ``saved`` and ``new_folder`` make inside, for ``delete`` once nothing reads them."""
+    """The paths that this thread's ``saved`` and ``new_folder`` make inside, for ``delete`` once nothing reads them; what is left in the list also counts for who called."""
     paths: list[str] = []
+    outer = _made.get()
     token = _made.set(paths)
     try:
         yield paths
     finally:
         _made.reset(token)
+        if outer is not None:
+            outer.extend(paths)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -75,9 +67,10 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders and takes them off the list."""
     jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

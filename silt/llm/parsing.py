@@ -11,7 +11,7 @@ For the edited texts, documents are dealt by ranges of keys whose limits are key
 document meets its successor without a global sort, and a task holds two batches.
 
 Defined cases: null texts are empty, and empty texts have the fingerprint of no names, alike with itself alone; of documents with equal keys the order is by text;
-null keys come last; a single document is its own next one; an empty table gives an empty result; extra columns are left alone.
+null keys come last; rows of one key (null too) are one range, which streams through one task; a single document is its own next one; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations

@@ -109,8 +109,6 @@ def _within(fp: np.ndarray, tab: np.ndarray, i: np.ndarray, j: np.ndarray, max_b
     for c in range(0, tab.shape[1], 4):
         near = np.abs(tab[i[keep], c : c + 4] - tab[j[keep], c : c + 4]).max(1, initial=0) <= max_bits
         keep = keep[near]
-        if len(keep) < 256:
-            break
     return keep[np.bitwise_count(fp[i[keep]] ^ fp[j[keep]]) <= max_bits]
 
 
@@ -206,9 +204,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest; of rows that share it, and where it is null, all."""
-    keep = near_duplicates(docs, key, text).where("key <=> component").select(F.col("key").alias("__kept")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["__kept"]), "left_semi")
+    """The rows of ``docs`` whose key is their component's smallest; of rows that share it, and where it is null, all.
+
+    The keys that go are written first: they are the fewer ones, and Spark broadcasts them as long as their stored size is under its threshold, so texts stay where they lie.
+    """
+    own = F.col("key").eqNullSafe(F.col("component"))
+    gone = near_duplicates(docs, key, text).groupBy("key").agg(F.max(own).alias("stays")).where("not stays").select(F.col("key").alias("__gone"))
+    gone = saved(gone, "simhash-gone")
+    return docs.join(gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:
