@@ -57,6 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return stage(spark, docs, sf_dir)
         with made_here() as made:
             docs = saved(stage(spark, docs, sf_dir), name)
-        delete(spark, [*read, *made[:-1]])
-        read = made[-1:]
+        done, read = [*read, *made[:-1]], made[-1:]
+        delete(spark, done)
     return docs
