@@ -12,6 +12,7 @@ from silt.errors import SiltError
 from silt.plans.describe import META, command_list, command_schema
 from silt.plans.result import encode, run
 from silt.registry import analyses
+from silt.shared import is_local
 from silt.sources.definitions import parse_layers, parse_teams, read_text
 from silt.sources.gitlog import log_command, read_log
 
@@ -76,20 +77,22 @@ def main(argv: list[str] | None = None, spark=None, stdin=None, out=None, err=No
 def _analyse(args, spark, stdin, out, err) -> None:
     from silt.operators.transforms import Transforms
 
-    spooled = None
-    if args.log in ("", "-"):
-        with tempfile.NamedTemporaryFile("w", suffix=".log", delete=False, encoding="utf-8", errors="surrogateescape", newline="") as f:
-            shutil.copyfileobj(stdin, f)
-        spooled = args.log = f.name
-    elif not os.path.isfile(args.log):
+    spooled, piped = None, args.log in ("", "-")
+    if not piped and "://" not in args.log and not os.path.isfile(args.log):
         raise SiltError("log_open_failed", f"{args.log} can't be opened", {"path": args.log})
     if spark is None:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("silt").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
+    if piped:
+        if not is_local(spark):
+            raise SiltError("log_open_failed", "a cluster can't read this machine's standard input; pass --log with a path that it can read", {"path": args.log})
+        with tempfile.NamedTemporaryFile("w", suffix=".log", delete=False, encoding="utf-8", errors="surrogateescape", newline="") as f:
+            shutil.copyfileobj(stdin, f)
+        spooled = args.log = f.name
     try:
-        facts = read_log(spark, f"file://{os.path.abspath(args.log)}")
+        facts = read_log(spark, args.log if "://" in args.log else f"file://{os.path.abspath(args.log)}")
         a = next(x for x in analyses() if x.name == args.name)
         if args.temporal_period < 0:
             raise SiltError("invalid_temporal_period", "a period is positive", {"period": args.temporal_period})

@@ -338,6 +338,10 @@ def test_command_line(spark, log, tmp_path):
     ):
         code, _, err = call(*args)
         assert (code, json.loads(err)["error"]["code"]) == want
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+        assert json.loads(call("summary", stdin=LOG)[2])["error"]["code"] == "log_open_failed"
+    assert json.loads(call("summary", "--log", f"file://{log}")[1])["rows"][0]["value"] == 5
     assert call("print-log-command", "--after", "2024-02-01", "--all")[1].strip() == log_command("2024-02-01", True)
     assert json.loads(call("schema")[1])["ok"] and json.loads(call("schema", "--command", "soc")[1])["command"] == "sum-of-coupling"
 
