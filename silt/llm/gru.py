@@ -60,10 +60,10 @@ class Gru:
             at += p.size
         return Gru(self.size, *out[:4], out[4:])
 
-    def step(self, x: np.ndarray, h: np.ndarray, a: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
-        """Writes to ``out`` the states after words that add ``x`` to states ``h``; ``a`` then holds the gates and what the second one scales, ``n`` the candidate."""
+    @staticmethod
+    def step(x: np.ndarray, h: np.ndarray, a: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+        """Writes to ``out`` the states after words that add ``x`` to states ``h``; ``a``: ``wh`` @ h, then the gates and what the second one scales, ``n``: the candidate."""
         H = HIDDEN
-        np.matmul(self.wh, h, out=a)
         g = a[: 2 * H]
         g += x[: 2 * H]
         np.exp(g, out=g)
@@ -88,7 +88,7 @@ class Gru:
             logits -= logits.max(0)
             own = logits[pick, at[: len(pick)]]
             np.exp(logits, out=logits)
-            total = logits.sum(0)
+            total = logits.sum(0) if logits.shape[1] > 1 else logits.cumsum(0)[-1]  # in the same order for one column
             if grads is not None:
                 logits /= total
                 logits[pick, at[: len(pick)]] -= 1
@@ -151,6 +151,7 @@ class Gru:
         s[0, :H] = h
         a, c = np.empty((T, 3 * H, B), np.float32), np.empty((T, H, B), np.float32)
         for t in range(T):
+            np.matmul(self.wh, s[t, :H], out=a[t])
             self.step(xs[:, t], s[t, :H], a[t], c[t], s[t + 1, :H])
         states = in_rows(s[:T])
         grads = [np.empty_like(p) for p in params]
@@ -197,7 +198,10 @@ class Gru:
         return s[T, :H].copy(), n
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 of each document's probability: lanes of documents, one after the other, with the state carried across windows and cleared between documents."""
+        """log10 of each document's probability: lanes of documents, one after the other, with the state carried across windows and cleared between documents.
+
+        Products are in single precision, whose last bit depends on a lane's place: of what else is scored, a score shows less than a thousandth.
+        """
         H = HIDDEN
         out = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
@@ -233,6 +237,7 @@ class Gru:
                 for k in lives:
                     h = h[:, :k] * ~fresh[p : p + k]
                     s[:H, p : p + k] = h
+                    np.matmul(self.wh, h, out=a[:, :k])
                     self.step(xs[:, p : p + k], h, a[:, :k], n[:, :k], h)
                     p += k
                 by = np.argsort(now, kind="stable")

@@ -3,7 +3,7 @@
 Tokens are words in ASCII lower case and one end.  Counts cover all training tokens; tasks sum them first.  The model knows the ``KNOWN`` most frequent tokens; another token's
 probability is that of "another token" times its own add-one share among those.  It is trained in tasks, once on every training token: texts are cut into stretches
 of ``STRETCH`` tokens, which are dealt to ``ROUNDS`` rounds and, in each, to slots by a hash of key, place and tokens, and sorted inside a slot.  Their number follows from the number of training tokens
-alone (its power 2/3), so neither scores nor the model depend on how the input is partitioned or on which task ran again.  Slots start from one model; theirs are averaged, weighted by tokens, in a tree of tasks.
+alone (its power 2/3), so neither the model nor, in hundredths, to which they are rounded, scores depend on how the input is partitioned or on which task ran again (but for a score within a millionth of a rounding edge).  Slots start from one model; theirs are averaged, weighted by tokens, in a tree of tasks.
 
 The most frequent tokens, about ``HOT``, go to the executors; what is rarer meets its counts in a join.  Nothing else leaves the executors but sums.
 
@@ -216,5 +216,5 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_logs") + logs - F.col("n_tokens") * base).alias("base_score"),
-        F.round(F.col("model") + F.col("other_logs") + logs - F.col("n_other") * other, 4).alias("score"),
+        F.round(F.col("model") + F.col("other_logs") + logs - F.col("n_other") * other, 2).alias("score"),
     )

@@ -249,7 +249,7 @@ def test_scoring_by_a_loop(spark, docs, monkeypatch):
     got = {r[0]: r[6] for r in one if r[0] is not None}
     for k, t in rows:
         if k is not None and (k % 5 == 0 or k > 400) and len(t or "") < 20000 and k != 7:
-            assert abs(got[k] - score(t)) < 2e-3 + 1e-5 * abs(got[k])
+            assert abs(got[k] - score(t)) < 1e-2 + 1e-5 * abs(got[k])
 
 
 def test_most_frequent_when_all_counts_are_equal(spark, monkeypatch):
