@@ -183,5 +183,15 @@ def sha2_hex(col) -> F.Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
+# DuckDB has no crc32: a CTE with its table, and the checksum of a column's decimal or text form.
+CRC_SQL = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def crc32_sql(column: str) -> str:
+    """SQL for the checksum of ``column`` (ASCII), beside a join with ``crc``."""
+    codes = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
+
+
 def on_cluster_path(path: str) -> str:
     return path if re.match(r"\w+:", path) else f"file://{os.path.abspath(path)}"
