@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silt.llm import archives, chat, decontaminate, parsing, pieces, pii, quality, repeats, scoring, simhash
+from silt.llm import archives, chat, decontaminate, manifest, mixing, parsing, periods, pieces, pii, quality, repeats, scoring, simhash
 from silt.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark, table(spark, sf_dir, "conversations"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_repeats": op2_repeats,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
+    "op11_runs": op11_runs,
+    "op12_manifest": op12_manifest,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -68,4 +83,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op7_warc": archives.ORACLE_SQL,
     "op10_chat": chat.ORACLE_SQL,
+    "op11_runs": periods.ORACLE_SQL,
+    "op12_manifest": manifest.ORACLE_SQL,
 }
