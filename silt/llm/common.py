@@ -179,6 +179,15 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    end = ""
+    while any((s + end).lower() in taken for s in stems):
+        end += "_"
+    return [s + end for s in stems]
+
+
 def sha2_hex(col) -> F.Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 

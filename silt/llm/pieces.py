@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import map_arrow, partitions, saved, text_bytes
+from silt.llm.common import map_arrow, partitions, saved, text_bytes, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK_CHARS = 1 << 16, 1 << 14
@@ -378,13 +378,14 @@ def codec(proto: bytes) -> Codec:
     return _codecs[key]
 
 
-def _ids(docs: DataFrame, text: str, model: str, giant: int, size: int) -> tuple[DataFrame, DataFrame, object]:
-    """The short documents, the giant ones with their ids, and the model's bytes."""
+def _ids(docs: DataFrame, text: str, ids: str, model: str, giant: int, size: int) -> tuple[DataFrame, DataFrame, object]:
+    """The short documents, the giant ones with a new column ``ids``, and the model's bytes."""
     spark = docs.sparkSession
     with open(model, "rb") as f:
         proto = spark.sparkContext.broadcast(f.read())
     long_ = F.length(F.coalesce(F.col(text), F.lit(""))) > giant
-    short, giants = docs.where(~long_), docs.where(long_).withColumn("__k", F.sha2(F.col(text), 256))
+    (name,) = unused(docs, "k")
+    short, giants = docs.where(~long_), docs.where(long_).withColumn(name, F.sha2(F.col(text), 256))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(proto.value)
@@ -393,7 +394,7 @@ def _ids(docs: DataFrame, text: str, model: str, giant: int, size: int) -> tuple
                 parts = c.chunked(c.normal(t), size)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(parts)), pa.array(range(len(parts)), pa.int32()), *(pa.array([p[i] for p in parts], pa.string()) for i in range(3))], names=["k", "c", "before", "body", "after"])
 
-    texts = giants.groupBy("__k").agg(F.first(text).alias("t"))
+    texts = giants.groupBy(F.col(name).alias("k")).agg(F.first(text).alias("t"))
     parts = saved(map_arrow(texts, split, "k string, c int, before string, body string, after string").repartition(partitions(giants), "k", "c"), "piece-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,31 +415,33 @@ def _ids(docs: DataFrame, text: str, model: str, giant: int, size: int) -> tuple
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["k", "c", "ids"])
 
     dealt = parts.join(routes, ["k", "c"]).select("k", "c", "before", "body", "after", "way").repartition(partitions(giants), "k", "c")
-    ids = map_arrow(dealt, traced, "k string, c int, ids array<int>")
-    whole = ids.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("p")).select(F.col("k").alias("__k"), F.flatten("p.ids").alias("ids"))
-    return short, giants.join(whole, "__k").drop("__k"), proto
+    found = map_arrow(dealt, traced, "k string, c int, ids array<int>")
+    whole = found.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("p")).select(F.col("k").alias(name), F.flatten("p.ids").alias(ids))
+    return short, giants.join(whole, name).drop(name), proto
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, giant: int = GIANT, size: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` with the ids of each whole text instead of the text, under the name ``ids``; another column of that name goes."""
     docs = docs.drop(ids) if ids != text else docs
-    short, giants, proto = _ids(docs.withColumnRenamed(text, "__text"), "__text", model, giant, size)
+    (found,) = unused(docs, "found")
+    short, giants, proto = _ids(docs, text, found, model, giant, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(proto.value)
         for b in batches:
-            yield b.set_column(at, "ids", pa.array([c.encode(t) for t in b.column(at).to_pylist()], pa.list_(pa.int32())))
+            yield b.set_column(at, ids, pa.array([c.encode(t) for t in b.column(at).to_pylist()], pa.list_(pa.int32())))
 
     at = docs.columns.index(text)
     names = [ids if c == text else c for c in docs.columns]
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
     schema = StructType([StructField(ids, ArrayType(IntegerType())) if f.name == text else f for f in docs.schema])
-    return map_arrow(short, run, schema).toDF(*names).unionByName(giants.select(*[F.col("ids").alias(ids) if n == text else F.col(n) for n in docs.columns]))
+    return map_arrow(short, run, schema).toDF(*names).unionByName(giants.select(*[F.col(found).alias(ids) if n == text else F.col(n) for n in docs.columns]))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
-    """``encoded`` with the text of each array of ids instead of it; null ids give an empty text."""
+    """``encoded`` with the text of each array of ids instead of it, under the name ``text``; another column of that name goes.  Null ids give an empty text."""
+    encoded = encoded.drop(text) if text != ids else encoded
     with open(model, "rb") as f:
         proto = encoded.sparkSession.sparkContext.broadcast(f.read())
     from pyspark.sql.types import StringType, StructField, StructType
@@ -455,7 +458,7 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "text", model: str
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, giant: int = GIANT, size: int = CHUNK_CHARS) -> DataFrame:
     """(key, n_chars, n_pieces, n_bytes: those that stand for single bytes, ids_sha256 over little-endian int32, decoded_sha256, round_trip)."""
-    short, giants, proto = _ids(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", model, giant, size)
+    short, giants, proto = _ids(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "ids", model, giant, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(proto.value)

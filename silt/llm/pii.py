@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silt.llm.boost import Boosted, Node, boosted, isotonic
+from silt.llm.common import unused
 
 KINDS = ["email", "ip", "card", "phone"]
 # The contract's patterns, written so that no start inside a run is tried again and nothing is given back.
@@ -331,14 +332,15 @@ def covered(text: Column, spans: Column, put: Callable[[Column, Column], Column]
 
 
 def with_spans(docs: DataFrame, text: str = "text", base: str = "base", added: str = "added") -> DataFrame:
-    """``docs`` and two arrays of spans (start, kind number, end): the base ones and those that the trees add."""
+    """``docs`` and two arrays of spans (start, kind number, end), under names that ``docs`` doesn't have: the base ones and those that the trees add."""
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn(base, F.concat(*[base_spans(whole, k) for k in KINDS]))
     some = F.exists(F.array(*[whole.rlike(g) for g in GATE.values()]), lambda x: x)
-    out = out.withColumn("__silt_text", F.when(some, covered(whole, F.col(base), lambda _, n: F.repeat(F.lit("█"), n))).otherwise(""))
-    for k in KINDS:
-        out = out.withColumn(f"__silt_{k}", wide_step(F.col("__silt_text"), k)).withColumn("__silt_text", F.col(f"__silt_{k}.t"))
-    return out.withColumn(added, F.concat(*[F.col(f"__silt_{k}.s") for k in KINDS])).drop("__silt_text", *[f"__silt_{k}" for k in KINDS])
+    left, *steps = unused(out, "left", *KINDS)
+    out = out.withColumn(left, F.when(some, covered(whole, F.col(base), lambda _, n: F.repeat(F.lit("█"), n))).otherwise(""))
+    for k, step in zip(KINDS, steps):
+        out = out.withColumn(step, wide_step(F.col(left), k)).withColumn(left, F.col(f"{step}.t"))
+    return out.withColumn(added, F.concat(*[F.col(f"{step}.s") for step in steps])).drop(left, *steps)
 
 
 def written(spans: Column) -> Column:
@@ -348,14 +350,15 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    found = with_spans(docs.select(key, text), text)
+    found = with_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     of = lambda j: F.filter("base", lambda s: s["kind"] == j)
     counts = [F.size(of(j)).cast("long").alias(f"n_{k}") for j, k in enumerate(KINDS)]
-    return found.select(key, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
+    return found.select(F.col("key").alias(key), *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with [EMAIL], [IP], [CARD] or [PHONE] in place of each span that ``report`` finds; spans that overlap share the first one's."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = with_spans(docs, text, "__silt_base", "__silt_added")
-    return found.withColumn(text, covered(F.col(text), F.concat("__silt_base", "__silt_added"), lambda k, _: F.get(names, k))).select(*docs.columns)
+    base, added = unused(docs, "base", "added")
+    found = with_spans(docs, text, base, added)
+    return found.withColumn(text, covered(F.col(text), F.concat(base, added), lambda k, _: F.get(names, k))).select(*docs.columns)
