@@ -5,8 +5,8 @@ Sources, in the order of their names, have weights; together they get ``share``
 
 The cube method decides who is taken once more: probabilities move at random through the null space of the constraints, which keep a source's words and number
 of documents, until they reach 0 or 1.  Three probabilities always have such a direction, so a flight over a block of documents leaves at most two open.  Flights
-run in blocks of ``BLOCK`` documents of one source, dealt by hash; what they leave open meets in as many fewer blocks in the next round.  A source's last block keeps ``POOL`` documents of graded
-sizes out of its flight; they and what stays open are the landing problem, at most 2 ** (POOL + 2) roundings, of which the one nearest to the source's words and number of documents is taken.
+run in blocks of about ``BLOCK`` documents of one source, dealt by hash, and keep up to ``POOL`` documents of graded sizes out; what they leave open and keep out meets in as many fewer blocks in the next round.  In a source's last
+block these are the landing problem: of at most 2 ** (POOL + 2) roundings the one nearest to the source's words and number of documents is taken.
 
 Documents of one key, source and size are interchangeable: they are counted before anything is dealt, the whole part of their expected number is taken, and one
 stands for the rest.  Numbers at random follow from keys, sizes and ``SEED``, so results don't depend on how the table is partitioned.
@@ -29,7 +29,7 @@ from silt.llm.common import partitions, saved
 from silt.llm.ranks import ranked
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK, POOL, SEED = 1024, 12, 13
+BLOCK, POOL, SEED = 1024, 14, 13
 NEAR = 1e-4  # of a source's target: roundings that near are compared by their number of documents
 COPIES = 4096  # equal rows that one row becomes at once
 EPS = 1e-9
@@ -77,12 +77,12 @@ def flight(sizes: list[float], rest: list[float], draws: Iterator[float]) -> Non
 
 
 def graded(sizes: list[float], pool: int) -> list[int]:
-    """Up to ``pool`` rows whose sizes halve from one to the next, as far as there are such."""
-    order, out, limit = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [], float("inf")
-    for i in order:
-        if len(out) < pool and sizes[i] <= limit:
+    """Up to ``pool`` rows of graded sizes: the largest, then such of at most half of what those after it must make up, so that parts of them sum to about anything."""
+    out, short = [], float("inf")
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        if len(out) < pool and 0 < sizes[i] <= short / 2:
             out.append(i)
-            limit = sizes[i] / 2
+            short = max(short - sizes[i], sizes[i]) if len(out) > 1 else sizes[i]
     return out
 
 
@@ -105,7 +105,7 @@ def _flown(number: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         rng = np.random.default_rng([SEED, number, zlib.crc32(first["g"].encode()), int(first["block"])])
         last = int(first["blocks"]) == 1
         sizes, rest = t["size"].astype(float).tolist(), t["rest"].tolist()
-        held = set(graded(sizes, POOL) if last else ())
+        held = set(graded(sizes, POOL))
         flying = [i for i in range(len(rest)) if i not in held]
         moved = [rest[i] for i in flying]
         flight([sizes[i] for i in flying], moved, iter(rng.random, None))
@@ -139,7 +139,7 @@ def decide(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         dealt = open_.withColumn("block", F.pmod(F.xxhash64("draw", F.lit(number)), "blocks"))
         flown = saved(dealt.groupBy("g", "block").applyInPandas(_flown(number), dealt.schema).drop("block"), "mix-flown")
         decided.append(flown.where("rest in (0, 1)"))
-        open_ = flown.where("rest > 0 and rest < 1").withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK))  # a block leaves two at most
+        open_ = flown.where("rest > 0 and rest < 1").withColumn("blocks", F.ceil(F.col("blocks") * (POOL + 2) / BLOCK))  # what a block leaves at most
     else:
         raise RuntimeError("the flights didn't end")
     out = decided[0]

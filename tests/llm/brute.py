@@ -1,5 +1,6 @@
 """Definitions of the text operators in plain Python, for tests."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -123,3 +124,91 @@ def shared(a, b):
         return 1.0
     j = sum(x == y for x, y in some) / len(some)
     return 2 * j / (1 + j)
+
+
+def plain_runs(w, least=12):
+    """Runs (start, length, period): all stretches of equal words at all distances, those of one extent by their smallest distance."""
+    n, found = len(w), {}
+    for p in range(1, n // 2 + 1):
+        i = 0
+        while i + p < n:
+            start = i
+            while i + p < n and w[i] == w[i + p]:
+                i += 1
+            length = i - start + p
+            if i > start and length >= max(least, 2 * p):
+                found.setdefault((start, length), p)
+            i += 1
+    return sorted(((s, length, p) for (s, length), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def plain_runs_row(key, text):
+    w = words(text)
+    n, h = len(w), zlib.crc32(str(key).encode()) if key is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = plain_runs(w)
+    dropped = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else None
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    return [
+        key, len(found), *(best or (None, None, None)), 1000 * best[1] // best[2] if best else None,
+        digest("".join(f"{s},{length},{q}\n" for s, length, q in found).encode()), digest(b" ".join(x for i, x in enumerate(w) if i not in dropped)),
+    ]
+
+
+def plain_manifest(rows):
+    """Rows of the manifest for rows (doc_id, source, lang, n_chars, text), by whole lists of levels."""
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf = lambda r, t: h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (*r[:4], t)))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h("".join(out[-1][i : i + 16])) for i in range(0, len(out[-1]), 16)])
+        return out
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for s in order:
+        groups[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[4])))
+    trees = {s: levels([leaf(r, r[4]) for r in groups[s]]) for s in order}
+    top = levels([trees[s][-1][0] for s in order])
+    out = []
+    for at, s in enumerate(order):
+        for i, r in enumerate(groups[s]):
+            own = leaf(r, r[4])
+            lower = None if r[4] is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in r[4])
+            now = leaf(r, lower) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 else own
+            proof = ""
+            for tree, k in ((trees[s], i), (top, at)):
+                for nodes in tree[:-1]:
+                    a = k // 16 * 16
+                    left, right = "".join(nodes[a:k]), "".join(nodes[k + 1 : a + 16])
+                    proof, now, k = proof + left + right, h(left + now + right), k // 16
+            out.append((r[0], own, trees[s][-1][0], top[-1][0], h(proof), now, now == top[-1][0]))
+    return sorted(out, key=str)
+
+
+def plain_targets(rows, weights, share, most):
+    """source: (words, target as a fraction) for rows (source, size), sharing what is above until none is."""
+    from fractions import Fraction
+
+    sizes = {}
+    for s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: Fraction(weights[i % len(weights)]) for i, s in enumerate(order)}
+    capped, left = {}, share * sum(sizes.values())
+    while True:
+        free = [s for s in order if s not in capped]
+        part = {s: (left - sum(capped.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = [s for s in free if part[s] > most * sizes[s]]
+        if not above:
+            return {s: (sizes[s], capped.get(s, part.get(s))) for s in order}
+        capped.update((s, Fraction(most) * sizes[s]) for s in above)
