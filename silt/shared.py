@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -22,3 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='silt-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows doesn't compute it again, and a lost executor takes nothing with it."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI (local, hdfs, s3, gs), for code in tasks that Spark's readers don't serve, and the path there."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if re.match(r"\w+:/", path) else f"file://{os.path.abspath(path)}")
