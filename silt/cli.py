@@ -10,7 +10,8 @@ import tempfile
 
 from silt.errors import SiltError
 from silt.plans.describe import META, command_list, command_schema
-from silt.plans.result import encode, run
+from silt.plans.encoding import encode
+from silt.plans.result import emit, run
 from silt.registry import analyses
 from silt.shared import is_local
 from silt.sources.definitions import parse_layers, parse_teams, read_text
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--log", default="")
         p.add_argument("--rows", type=int, default=0)
         p.add_argument("--fields", default="")
+        p.add_argument("--out", default="", help="a folder for the rows, which tasks write, and the envelope, in place of standard output")
         p.add_argument("--include", action="append", default=[])
         p.add_argument("--exclude", action="append", default=[])
         p.add_argument("--group", default="")
@@ -103,10 +105,15 @@ def _analyse(args, spark, stdin, out, err) -> None:
             args.temporal_period,
             parse_teams(read_text(args.team_map, "team-map"), args.team_map_format) if args.team_map else None,
         )
-        r = run(args.name, facts, transforms, args.rows, **{f.arg: getattr(args, f.arg) for f in a.flags})
+        flags = {f.arg: getattr(args, f.arg) for f in a.flags}
+        if args.out:
+            r = emit(args.name, facts, args.out if "://" in args.out else f"file://{os.path.abspath(args.out)}", transforms, args.rows, args.fields, **flags)
+        else:
+            r = run(args.name, facts, transforms, args.rows, **flags)
         for w in r.warnings:
             print(encode(w), file=err)
-        print(r.json(args.fields), file=out)
+        if not args.out:
+            print(r.json(args.fields), file=out)
     finally:
         if spooled:
             os.unlink(spooled)

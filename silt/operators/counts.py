@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from silt.functions.exprs import centi
 from silt.registry import analysis
 from silt.schema import Column
 
@@ -42,9 +43,16 @@ def summary(facts: DataFrame) -> DataFrame:
     ["entity", "-author_revs", "author"],
 )
 def entity_effort(facts: DataFrame) -> DataFrame:
+    """One shuffle of the facts, one of the sums; a window's task holds an entity's people, not its changes, and spills."""
     own = facts.groupBy("entity", "author").agg(F.count("*").alias("author_revs"))
-    total = own.groupBy("entity").agg(F.sum("author_revs").alias("total_revs"))
-    return own.join(total, "entity")
+    return own.withColumn("total_revs", F.sum("author_revs").over(Window.partitionBy("entity")))
+
+
+def squares(own: DataFrame) -> DataFrame:
+    """(entity, fractal_value, total_revs) of rows (entity, author, n): one less the squares of shares, added in the order of authors, since the last bit of a sum of doubles depends on it."""
+    each = own.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("author", "n"))).alias("a"), F.sum("n").alias("total_revs"))
+    share = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + (x["n"].cast("double") / F.col("total_revs")) * (x["n"].cast("double") / F.col("total_revs")))
+    return each.select("entity", centi(F.lit(1.0) - share).alias("fractal_value"), "total_revs")
 
 
 @analysis(
@@ -54,10 +62,4 @@ def entity_effort(facts: DataFrame) -> DataFrame:
     ["-fractal_value", "-total_revs", "entity"],
 )
 def fragmentation(facts: DataFrame) -> DataFrame:
-    """Squares are added in the order of authors: the last bit of a sum of doubles depends on it."""
-    from silt.functions.exprs import centi
-
-    own = facts.groupBy("entity", "author").agg(F.count("*").alias("n"))
-    each = own.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("author", "n"))).alias("a"), F.sum("n").alias("total_revs"))
-    share = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + (x["n"].cast("double") / F.col("total_revs")) * (x["n"].cast("double") / F.col("total_revs")))
-    return each.select("entity", centi(F.lit(1.0) - share).alias("fractal_value"), "total_revs")
+    return squares(facts.groupBy("entity", "author").agg(F.count("*").alias("n")))

@@ -17,8 +17,13 @@ OWNERSHIP = Column("ownership", "float", "ratio", "their share")
 
 
 def main_developer(facts: DataFrame, measure: C, part: str, whole: str) -> DataFrame:
-    """By a two-level sum; the largest part with the smallest author is the smallest pair (-part, author)."""
-    own = facts.groupBy("entity", "author").agg(measure.alias("v"))
+    """By a two-level sum."""
+    return best_of(facts.groupBy("entity", "author").agg(measure.alias("v")), F.col("v"), part, whole)
+
+
+def best_of(own: DataFrame, measure: C, part: str, whole: str) -> DataFrame:
+    """Of rows (entity, author) with a measure the largest of each entity; with the smallest author it is the smallest pair (-part, author)."""
+    own = own.select("entity", "author", measure.alias("v"))
     best = own.groupBy("entity").agg(F.min(F.struct((-F.col("v")).alias("low"), "author")).alias("m"), F.sum("v").alias(whole))
     out = best.select("entity", F.col("m.author").alias("main_dev"), (-F.col("m.low")).alias(part), whole)
     return out.withColumn("ownership", centi_ratio(F.col(part), F.col(whole)))

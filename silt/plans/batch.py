@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silt.functions.exprs import DAY
+from silt.operators.counts import squares
 from silt.operators.transforms import filter_paths
-from silt.registry import analyses
+from silt.operators.ownership import best_of
+from silt.registry import analyses, lookup
+from silt.shared import kept
 
 # Generated or vendored files that say nothing about people's work.
 GENERATED = [
@@ -40,3 +43,49 @@ def run_all(facts: DataFrame, months: int = 12, exclude: list[str] = (), **optio
             source = recent if a.name in WHOLE else full if a.name in FULL_HISTORY else authored
             out[a.name] = a.run(source, **options.get(a.name.replace("-", "_"), {}))
     return out
+
+
+# What the analyses below need of a history: for each set of keys the distinct combinations, with the rows and lines of each.
+LEVELS = [("entity", "author"), ("entity", "rev"), ("author", "rev"), ("date", "rev")]
+
+
+def lattice(facts: DataFrame) -> DataFrame:
+    """(level, entity, author, rev, date, n, added, deleted), written: one row for each combination of keys in each of ``LEVELS``, numbered from 0.
+
+    The facts are read and shuffled once, into (entity, author, rev, date) with map-side sums; grouping sets over these, again with map-side sums, are the second and last
+    shuffle of anything as long as the history.  Keys may be null.
+    """
+    keys = ["entity", "author", "rev", "date"]
+    finest = facts.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("loc_added").alias("added"), F.sum("loc_deleted").alias("deleted"))
+    copies = F.array(*[F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in level else F.lit(None).cast("string")).alias(k) for k in keys]) for i, level in enumerate(LEVELS)])
+    spread = finest.select(F.explode(copies).alias("k"), "n", "added", "deleted").select("k.*", "n", "added", "deleted")
+    return kept(spread.groupBy("level", *keys).agg(*[F.sum(c).alias(c) for c in ("n", "added", "deleted")]), "lattice")
+
+
+def counted(facts: DataFrame) -> dict[str, DataFrame]:
+    """The tables, unsorted, of the analyses that count rows, commits, people and lines, all from one ``lattice``."""
+    cells = lattice(facts)
+    owned, touched, wrote, dated = (cells.where(F.col("level") == i) for i in range(len(LEVELS)))
+    count = lambda what, name: F.count(what).alias(name)
+    sums = [F.sum("added").alias("added"), F.sum("deleted").alias("deleted")]
+    of_entity = owned.groupBy("entity").agg(count("author", "n_authors"), F.sum("n").alias("n_revs"), *sums)
+    commits = touched.groupBy("entity").agg(count("rev", "commits"))
+    churn = lambda rows, key: rows.groupBy(key).agg(*sums, count("rev", "commits"))
+    # One row each: how many entities and rows, commits, people there are.
+    whole = of_entity.agg(count("entity", "e"), F.sum("n_revs").alias("m")).crossJoin(churn(wrote, "author").agg(count("author", "a"))).crossJoin(wrote.agg(F.countDistinct("rev").alias("c")))
+    total = F.sum("n").over(Window.partitionBy("entity"))
+    tables = {
+        "authors": of_entity,
+        "revisions": commits.withColumnRenamed("commits", "n_revs"),
+        "summary": whole.selectExpr("stack(4, 'number-of-commits', c, 'number-of-entities', e, 'number-of-entities-changed', coalesce(m, 0), 'number-of-authors', a) as (statistic, value)"),
+        "absolute-churn": churn(dated, "date"),
+        "author-churn": churn(wrote, "author"),
+        "entity-churn": churn(touched, "entity"),
+        "entity-ownership": owned,
+        "main-developer": best_of(owned, F.col("added"), "added", "total_added"),
+        "refactoring-main-developer": best_of(owned, F.col("deleted"), "removed", "total_removed"),
+        "main-developer-by-revisions": best_of(owned, F.col("n"), "added", "total_added"),
+        "entity-effort": owned.select("entity", "author", F.col("n").alias("author_revs"), total.alias("total_revs")),
+        "fragmentation": squares(owned.select("entity", "author", "n")),
+    }
+    return {n: t.select(*[F.col(c.name).cast(c.field().dataType).alias(c.name, metadata=c.field().metadata) for c in lookup(n).columns]) for n, t in tables.items()}

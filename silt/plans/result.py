@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -16,6 +15,7 @@ from silt.errors import SiltError
 from silt.operators.coupling import all_filtered
 from silt.operators.messages import linear_regex
 from silt.operators.transforms import Transforms
+from silt.plans.encoding import encode
 from silt.registry import Analysis, lookup
 from silt.schema import ROLES
 
@@ -104,6 +104,33 @@ def store(name: str, facts: DataFrame, path: str, transforms: Transforms | None
     return out
 
 
+def emit(name: str, facts: DataFrame, path: str, transforms: Transforms | None = None, rows: int = 0, fields: str = "", **given: Any) -> Result:
+    """``run`` with its limit and projection for results of any size: tasks write the rows, the commit of the write the envelope (``sources.emitted``)."""
+    from silt.sources.emitted import register
+
+    a, transforms = lookup(name), transforms or Transforms()
+    options = a.options(given)
+    register(facts.sparkSession)
+    with _kept(transforms.apply(facts)) as facts:
+        warnings = _checked(a, facts, options, transforms)
+        seen = Observation()
+        table = a.run(facts, rows, **given).observe(seen, F.count(F.lit(1)).alias("n"))
+        total = a.table(facts, **given).count() if rows > 0 else 0
+        out = Result(a, options, [], total, semantics_of(a, options, transforms), transforms.record(), warnings)
+        head = {k: v for k, v in out.envelope().items() if k != "rows"}
+        paths = checked_fields(fields, head | {"rows": []}, [c.name for c in a.columns])
+        chosen = [p.removeprefix("rows.") for p in paths if p.startswith("rows.")]
+        if paths:
+            head = {k: v for k, v in projected(head | {"rows": []}, paths).items() if k != "rows"}
+            if "rows" not in paths and WILD not in chosen:
+                table = table.select(*[c for c in table.columns if c in chosen])
+        table.write.format("siltresult").mode("overwrite").option("head", encode(head)).save(path)
+        out.total = max(total, seen.get["n"])
+        if a.name == "coupling" and not out.total and (why := all_filtered(facts, **options)):
+            out.warnings.append(warning("coupling_all_filtered", "no pair reached the thresholds", why))
+    return out
+
+
 @contextmanager
 def _kept(facts: DataFrame) -> Iterator[DataFrame]:
     """``facts`` kept while guards, result and totals read it, unless the caller keeps it already."""
@@ -130,22 +157,6 @@ def warning(code: str, message: str, details: dict[str, Any]) -> dict[str, Any]:
     return {"schema_version": VERSION, "level": "warning", "code": code, "message": message, "details": details}
 
 
-def encode(x: Any) -> str:
-    """Compact JSON: whole floats without a fraction; <, >, & and line separators escaped."""
-    text = json.dumps(_plain(x), separators=(",", ":"), ensure_ascii=False)
-    for c in "<>&\u2028\u2029":
-        text = text.replace(c, f"\\u{ord(c):04x}")
-    return text
-
-
-def _plain(x: Any) -> Any:
-    if isinstance(x, float) and x.is_integer() and abs(x) < 1e21:
-        return int(x)
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    return [_plain(v) for v in x] if isinstance(x, (list, tuple)) else x
-
-
 def _paths(x: Any, at: str = "") -> set[str]:
     if isinstance(x, dict):
         return {p for k, v in x.items() for p in {f"{at}.{k}" if at else k} | _paths(v, f"{at}.{k}" if at else k)}

@@ -7,31 +7,45 @@ order, and serves the command line, the data source and the tests.
 from __future__ import annotations
 
 import datetime as dt
+import io
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from operator import eq, ge, gt, le, lt
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from silt.errors import SiltError
 from silt.schema import FACT
+from silt.shared import opened
 
 MAX_LINE = 1 << 20
-_CONTROL = re.compile(r"[\x00-\x08\x0a-\x1f\x7f]")
+CONTROL = r"[\x00-\x08\x0a-\x1f\x7f]"
+_CONTROL = re.compile(CONTROL)
+# What counts as white space in a blank line, beside control characters, which are errors wherever they stand.
+BLANKS = "\t \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _REV, _DATE, _INT = re.compile(r"[0-9a-f]+\Z"), re.compile(r"\d{4}-\d{2}-\d{2}\Z", re.A), re.compile(r"[+-]?[0-9]+\Z")
 
 
+def checked(line: str, size: int) -> str:
+    """A line without its terminator; ``size``: its bytes, terminator included or not."""
+    if size >= MAX_LINE and len(line.removesuffix("\n").removesuffix("\r").encode("utf-8", "surrogateescape")) >= MAX_LINE:
+        raise SiltError("internal_error", f"a line is longer than {MAX_LINE} bytes")
+    line = line.removesuffix("\n").removesuffix("\r")
+    if _CONTROL.search(line):
+        raise SiltError("invalid_control_char", "the log holds a control character")
+    return line
+
+
 def entries(lines: Iterable[str]) -> Iterator[list[str]]:
     """Runs of lines that aren't blank; a line keeps no terminator."""
     entry: list[str] = []
     for line in lines:
-        line = line.removesuffix("\n").removesuffix("\r")
-        if len(line.encode("utf-8", "surrogateescape")) >= MAX_LINE:
-            raise SiltError("internal_error", f"a line is longer than {MAX_LINE} bytes")
-        if _CONTROL.search(line):
-            raise SiltError("invalid_control_char", "the log holds a control character")
-        if line.strip():
+        line = checked(line, 4 * len(line))
+        if line.strip(BLANKS):
             entry.append(line)
         elif entry:
             yield entry
@@ -55,7 +69,8 @@ def _bad(n: int, line: str, why: str) -> SiltError:
     return SiltError("parse_error", f"entry {n}, line {line!r}: {why}", {"entry": n, "line": line})
 
 
-def _entry_rows(n: int, entry: list[str]) -> Iterator[tuple]:
+def _head(n: int, entry: list[str]) -> tuple[int, list[str]]:
+    """How many preludes an entry starts with, and the fields of the last one, which is the one that counts."""
     leading = 0
     while leading < len(entry) and entry[leading].startswith("--"):
         leading += 1
@@ -65,6 +80,11 @@ def _entry_rows(n: int, entry: list[str]) -> Iterator[tuple]:
     fields = head.split("--")
     if len(fields) < 4 or not _REV.match(fields[1]) or not _DATE.match(fields[2]):
         raise _bad(n, head, "a prelude is --<commit>--<date>--<author>[--<subject>]")
+    return leading, fields
+
+
+def _entry_rows(n: int, entry: list[str]) -> Iterator[tuple]:
+    leading, fields = _head(n, entry)
     message = "--".join(fields[4:]) if len(fields) > 4 else "-"
     for line in entry[leading:]:
         parts = line.split("\t", 2)
@@ -81,7 +101,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, file, at, n): the lines of the log and their order."""
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(
-        F.regexp_replace("value", "\r$", "").alias("value"),
+        F.regexp_replace("value", "\r\\z", "").alias("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("n"),
@@ -95,7 +115,9 @@ def numbered(lines: DataFrame) -> DataFrame:
     """
     block = Window.partitionBy("file", "at")
     full = F.col("full")
-    marked = lines.withColumn("full", F.trim(F.translate("value", "\t\x0b\x0c\r\x85\xa0", "      ")) != "")
+    # A line that is an error by itself is never blank: it stays, and ``parsed`` names it.
+    broken = F.col("value").rlike(CONTROL) | (F.octet_length("value") >= MAX_LINE)
+    marked = lines.withColumn("full", broken | (F.trim(F.translate("value", BLANKS, " " * len(BLANKS))) != ""))
     opens = full & ~F.coalesce(F.lag("full").over(block.orderBy("n")), F.lit(False))
     marked = marked.withColumn("opens", opens.cast("long"))
     blocks = marked.groupBy("file", "at").agg(F.sum("opens").alias("opened"), F.min_by("full", "n").alias("first"), F.max_by("full", "n").alias("last"))
@@ -126,7 +148,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     number = lambda c: F.when(c.rlike(r"^[+-]?[0-9]+\z"), F.regexp_replace(c, r"^\+", "").try_cast("bigint"))
     good = (F.size(p) == 3) & (binary | (number(added).isNotNull() & number(deleted).isNotNull()))
     error = (
-        F.when(F.col("value").rlike(r"[\x00-\x08\x0a-\x1f\x7f]"), "invalid_control_char")
+        F.when(F.col("value").rlike(CONTROL), "invalid_control_char")
         .when(F.octet_length("value") >= MAX_LINE, "internal_error")
         .when(F.col("head").isNull() | ~good_head, "parse_error")
         .when(~F.col("leading") & ~good, "parse_error")
@@ -183,7 +205,11 @@ def write_log(facts: DataFrame, path: str, commits: DataFrame | None = None) ->
 
 
 class GitLogSource(DataSource):
-    """spark.read.format("gitlog").load(path): one reader that stops at the first error, for logs of any encoding."""
+    """After ``register(spark)``, spark.read.format("gitlog").load(path): logs of any encoding, read by ranges of bytes.
+
+    Options: ``encoding`` (utf-8), ``range_bytes`` (64 MB), ``ranges`` (a number of ranges a file, in place of a size).  ``path`` is a file or a folder, local or of any store that Arrow opens (hdfs, s3, gs).
+    Conditions on date, author and rev are applied to an entry's head, before its lines are read; entries they leave out aren't checked further.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -196,16 +222,123 @@ class GitLogSource(DataSource):
         return GitLogReader(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, and has Spark hand it its filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GitLogSource)
+
+
+@dataclass
+class Range(InputPartition):
+    """The entries whose last blank line before them starts in [start, stop) of a file; a file's first entry belongs to its first range."""
+
+    file: str
+    number: int
+    start: int
+    stop: int
+
+
+RANGE_BYTES = 64 << 20
+FILE_BITS = 43  # ord: the file's number, then the byte at which a line starts
+FIELD = {"rev": 1, "date": 2, "author": 3}
+TESTS = {EqualTo: eq, GreaterThan: gt, GreaterThanOrEqual: ge, LessThan: lt, LessThanOrEqual: le, StringStartsWith: str.startswith}
+
+
+def wide(encoding: str) -> bool:
+    """Whether lines can't be told apart in the bytes: such a file is one range."""
+    return "\n".encode(encoding) != b"\n"
+
+
+def _lines(f, start: int, encoding: str) -> Iterator[tuple[int, str, int]]:
+    """(place, line, bytes) of the lines that start at ``start`` or later."""
+    if start:
+        f.seek(start - 1)
+    at = max(start - 1, 0)
+    rest, skip = b"", start > 0  # up to the first line end from the byte before on, nothing is a whole line
+    if wide(encoding):
+        for line in io.TextIOWrapper(f, encoding, "surrogateescape", newline="\n"):
+            yield at, line, 4 * len(line)
+            at += len(line)
+        return
+    while block := f.read(1 << 20):
+        rest += block
+        if len(rest) > 2 * MAX_LINE and b"\n" not in rest:
+            raise SiltError("internal_error", f"a line is longer than {MAX_LINE} bytes")
+        *lines, rest = rest.split(b"\n")
+        for line in lines:
+            if not skip:
+                yield at, line.decode(encoding, "surrogateescape"), len(line)
+            skip = False
+            at += len(line) + 1
+    if rest and not skip:
+        yield at, rest.decode(encoding, "surrogateescape"), len(rest)
+
+
+def _entries_of(f, part: Range, encoding: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+    """(place, [(place, line)]) of a range's entries."""
+    mine, entry = part.start == 0, []
+    for at, line, size in _lines(f, part.start, encoding):
+        if not mine and at >= part.stop:
+            return  # an entry that goes on through the whole range
+        blank = not line.strip(BLANKS + "\r\n")
+        if mine:
+            line = checked(line, size)
+        if not blank:
+            if mine:
+                entry.append((at, line))
+            continue
+        if entry:
+            yield entry[0][0], entry
+            entry = []
+        mine = at < part.stop
+        if not mine:
+            return
+    if entry:
+        yield entry[0][0], entry
+
+
 class GitLogReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.encoding = options["path"], options.get("encoding", "utf-8")
+        self.size, self.ranges = int(options.get("range_bytes", RANGE_BYTES)), int(options.get("ranges", 0))
+        self.conditions: list[tuple[int, Callable, object]] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column in FIELD and type(f) in TESTS:
+                self.conditions.append((FIELD[column], TESTS[type(f)], f.value))
+            elif column in FIELD and isinstance(f, In):
+                self.conditions.append((FIELD[column], lambda x, values: x in values, set(f.value)))
+            elif column in FIELD and isinstance(f, IsNotNull):
+                continue  # an entry has all three
+            else:
+                yield f
 
     def partitions(self):
-        return [InputPartition(0)]
+        store, path = opened(self.path)
+        found = store.get_file_info(path)
+        if found.type == pafs.FileType.NotFound:
+            raise SiltError("log_open_failed", f"{self.path} can't be opened", {"path": self.path})
+        listed = [found] if found.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(path, recursive=True))
+        files = sorted((f for f in listed if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
+        if not any(f.size for f in files):
+            raise SiltError("empty_log", "the log has no entries")
+        out = []
+        for i, f in enumerate(files):
+            n = 1 if wide(self.encoding) else min(self.ranges or -(-f.size // self.size), f.size) or 1
+            out += [Range(f.path, i, f.size * k // n, f.size * (k + 1) // n) for k in range(n)]
+        return out
 
     def read(self, partition):
-        with open(self.path, encoding=self.encoding, errors="surrogateescape", newline="\n") as f:
-            yield from parse_lines(f)
+        store, _ = opened(self.path)
+        with store.open_input_file(partition.file) as f:
+            for at, entry in _entries_of(f, partition, self.encoding):
+                leading, fields = _head(at, [line for _, line in entry])
+                if all(test(fields[i], value) for i, test, value in self.conditions):
+                    rows = _entry_rows(at, [line for _, line in entry])
+                    for (place, _), row in zip(entry[leading:], rows):
+                        yield (*row, partition.number << FILE_BITS | place)
 
 
 # Fixed value: the command whose output this module reads.
