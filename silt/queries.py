@@ -8,16 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silt.operators import renames as R
 from silt.operators import second as S
 from silt.operators.coupling import all_filtered
 from silt.operators.transforms import Transforms, filter_paths, group_layers, layer, map_teams, temporal_windows
-from silt.plans.batch import GENERATED, trailing
-from silt.plans.result import run, store
+from silt.plans.batch import GENERATED, counted, trailing
+from silt.plans.result import emit, run, store
 from silt.registry import lookup
 from silt.shared import shared_dir
 from silt.sources.adapters import nation_teams, order_history
 from silt.sources.definitions import parse_layers, parse_teams
-from silt.sources.gitlog import numbered, parsed, preludes, read_lines, read_log, write_log
+from silt.sources.emitted import read_result
+from silt.sources.gitlog import numbered, parsed, preludes, read_lines, read_log, register, write_log
 from silt.sources.results import read_envelope, read_structure
 from silt.streaming import history as streams
 
@@ -468,3 +470,91 @@ def stream_ownership(spark: SparkSession, d: str) -> DataFrame:
     query_ = sums.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
     query_.awaitTermination()
     return spark.read.parquet(out)
+
+
+PARTS = "parts AS (SELECT 'part' || l_partkey AS entity, lower(hex(l_orderkey)) AS rev, strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(hex(l_orderkey), 16, '0') AS ord, l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(
+    f"""WITH RECURSIVE {PARTS},
+    n AS (SELECT count(*) AS n FROM part),
+    renames AS (SELECT 'part' || min(l_partkey) AS old, 'part' || ((min(l_partkey) * 7 + 3) % any_value(n) + 1) AS new, ord AS place FROM parts, n WHERE l_orderkey % 3 = 0 GROUP BY ord),
+    links AS (SELECT a.place, min(b.place) AS nxt FROM renames a LEFT JOIN renames b ON b.old = a.new AND b.place > a.place GROUP BY a.place),
+    walks AS (SELECT place AS start, place AS here FROM renames UNION ALL SELECT start, nxt FROM walks JOIN links ON links.place = walks.here WHERE nxt IS NOT NULL),
+    ends AS (SELECT start, arg_max(new, here) AS final FROM walks JOIN renames ON renames.place = walks.here GROUP BY start),
+    met AS (SELECT p.entity AS path, p.rev, min(r.place) AS place FROM parts p LEFT JOIN renames r ON r.old = p.entity AND r.place >= p.ord GROUP BY p.entity, p.rev, p.ord)
+    SELECT coalesce(final, path) AS entity, count(DISTINCT rev) AS n_revs, count(DISTINCT path) AS n_names FROM met LEFT JOIN ends ON ends.start = met.place GROUP BY 1"""
+)
+def renamed_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files; each third order gives its first part the name of another, so names end, come back and chain."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    at = F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.hex("l_orderkey"), 16, "0"))
+    facts = lines.select(F.concat(F.lit("part"), F.col("l_partkey")).alias("entity"), F.lower(F.hex("l_orderkey")).alias("rev"), at.alias("ord"))
+    n = t("part").count()
+    first = lines.where("l_orderkey % 3 = 0").groupBy(at.alias("at")).agg(F.min("l_partkey").alias("p"))
+    changes = first.select(F.concat(F.lit("part"), F.col("p")).alias("old"), F.concat(F.lit("part"), (F.col("p") * 7 + 3) % n + 1).alias("new"), "at")
+    return R.renamed(facts, changes).groupBy("entity").agg(F.countDistinct("rev").alias("n_revs"), F.countDistinct("path").alias("n_names"))
+
+
+@query("$FACTS SELECT author, count(DISTINCT rev) AS commits, count(*) AS files, CAST(sum(loc_added) AS BIGINT) AS added FROM facts WHERE date >= '1996-01-01' AND date < '1997-01-01' GROUP BY author")
+def log_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A year of the log, read by ranges of bytes: the dates are looked at in the entries' heads."""
+    path = scratch(spark, "ranged-log")
+    write_log(order_history(spark, d), path, order_commits(spark, d))
+    register(spark)
+    year = spark.read.format("gitlog").option("range_bytes", 1 << 20).load(path).where("date >= '1996-01-01' AND date < '1997-01-01'")
+    return year.groupBy("author").agg(F.countDistinct("rev").alias("commits"), F.count("*").alias("files"), F.sum("loc_added").alias("added"))
+
+
+@query("$FACTS SELECT entity, count(*) AS n_revs FROM facts GROUP BY entity ORDER BY count(DISTINCT author) DESC, n_revs DESC, entity LIMIT 200")
+def emitted_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A limited and projected result whose rows tasks write and whose envelope the commit writes."""
+    path = scratch(spark, "emitted")
+    emit("authors", order_history(spark, d), path, rows=200, fields="rows.entity,rows.n_revs")
+    return read_result(spark, path)
+
+
+@query("$FACTS SELECT entity, author, count(*) AS author_revs, CAST(sum(count(*)) OVER (PARTITION BY entity) AS BIGINT) AS total_revs FROM facts GROUP BY entity, author")
+def emitted_effort(spark: SparkSession, d: str) -> DataFrame:
+    """A result of as many rows as entities and their people, written alike and read by the columns that its envelope names."""
+    path = scratch(spark, "emitted")
+    emit("entity-effort", order_history(spark, d), path)
+    return read_result(spark, path)
+
+
+# Of every analysis that counts: its table as (analysis, first key, second key, three numbers).
+TALL = {
+    "authors": ("entity", None, "n_authors", "n_revs", None),
+    "revisions": ("entity", None, "n_revs", None, None),
+    "summary": ("statistic", None, "value", None, None),
+    "absolute-churn": ("date", None, "added", "deleted", "commits"),
+    "author-churn": ("author", None, "added", "deleted", "commits"),
+    "entity-churn": ("entity", None, "added", "deleted", "commits"),
+    "entity-ownership": ("entity", "author", "added", "deleted", None),
+    "main-developer": ("entity", "main_dev", "added", "total_added", "ownership"),
+    "refactoring-main-developer": ("entity", "main_dev", "removed", "total_removed", "ownership"),
+    "main-developer-by-revisions": ("entity", "main_dev", "added", "total_added", "ownership"),
+    "entity-effort": ("entity", "author", "author_revs", "total_revs", None),
+    "fragmentation": ("entity", None, "fractal_value", "total_revs", None),
+}
+
+
+def tall_sql() -> str:
+    """One statement over the analyses' own SQL."""
+    parts = []
+    for name, columns in TALL.items():
+        picked = ", ".join(f"CAST({c or 'NULL'} AS {'VARCHAR' if i < 2 else 'DOUBLE'}) AS {n}" for i, (c, n) in enumerate(zip(columns, ("k1", "k2", "x1", "x2", "x3"))))
+        parts.append(f"SELECT '{name}' AS analysis, {picked} FROM ({ORACLE_SQL[name.replace('-', '_')]})")
+    return " UNION ALL ".join(parts)
+
+
+@query(tall_sql())
+def batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve analyses from one lattice of counts, which shuffles the history twice."""
+    out = None
+    for name, table_ in counted(order_history(spark, d)).items():
+        picked = [(F.col(c) if c else F.lit(None)).cast("string" if i < 2 else "double").alias(n) for i, (c, n) in enumerate(zip(TALL[name], ("k1", "k2", "x1", "x2", "x3")))]
+        rows = table_.select(F.lit(name).alias("analysis"), *picked)
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -24,7 +24,7 @@ from silt.schema import FACT, ROLES, roles_of
 from silt.shared import shared_dir
 from silt.sources.adapters import as_facts
 from silt.sources.definitions import parse_layers, parse_teams
-from silt.sources.gitlog import GitLogSource, log_command, parse_lines, preludes, read_log, write_log
+from silt.sources.gitlog import log_command, parse_lines, preludes, read_log, register, write_log
 from silt.sources.results import read_envelope, read_structure
 
 from history import LOG, coupling, rows_of, windows
@@ -117,19 +117,20 @@ def errors_of(spark, tmp_path, text):
     [
         ("", "empty_log"), ("  \n\t\n", "empty_log"), ("--a1--2024-01-01--X\nbad\n", "parse_error"), ("1\t2\tf\n", "parse_error"), ("--a1--2024-1-1--X\n1\t2\tf\n", "parse_error"),
         ("--G1--2024-01-01--X\n1\t2\tf\n", "parse_error"), ("--a1--2024-01-01--X\n1\t2\tf\n--a2--2024-01-01--Y\n", "parse_error"), ("--a1--2024-01-01--X\n1\t2\t\x00f\n", "invalid_control_char"),
-        ("--a1--2024-01-01--X\n1\rx\t2\tf\n", "invalid_control_char"), ("--a1--2024-01-01--X\n1\t99999999999999999999\tf\n", "parse_error"),
+        ("--a1--2024-01-01--X\n1\rx\t2\tf\n", "invalid_control_char"), ("--a1--2024-01-01--X\n1\t2\tf\n\x0c\n", "invalid_control_char"), ("\x0b\n", "invalid_control_char"),
+        ("--a1--2024-01-01--X\n1\t2\tf\n\r\r\n", "invalid_control_char"), ("--a1--2024-01-01--X\n\n" + " " * (1 << 20) + "\n", "internal_error"), ("\u200b\n", "parse_error"), ("--a1--2024-01-01--X\n1\t99999999999999999999\tf\n", "parse_error"),
     ],
 )
 def test_log_errors(spark, tmp_path, text, code):
     a, b = errors_of(spark, tmp_path, text)
-    assert a == b and a[0] == code and a[1] == CODES[code][0]
+    assert a == b and a[0] == code and a[1] == (70 if code == "internal_error" else CODES[code][0])
 
 
 @pytest.mark.parametrize(
     "text",
     [
         LOG, LOG.replace("\n", "\r\n"), "\n\n \n" + LOG + "\n\n\n", "--a1--2024-01-01--X\n", "--a1--2024-01-01--X--\n+1\t-2\tp\twith\ttabs \n-\t5\tb\n", "--a1--2024-01-01--A--B--C\n0\t0\té x\n",
-        "--bad\n--a1--9999-99-99--X--m\n1\t1\tf",
+        "--bad\n--a1--9999-99-99--X--m\n1\t1\tf", "--a1--2024-01-01--X\n1\t2\tf\n\u3000\u2003\n--a2--2024-01-02--Y\n1\t2\tg\n\x85\xa0\n", "--a1--2024-01-01--X\n1\t2\tf\n\u1680\r\n\n",
     ],
 )
 def test_log_parsers_agree(spark, tmp_path, text):
@@ -137,10 +138,40 @@ def test_log_parsers_agree(spark, tmp_path, text):
     p.write_text(text, newline="")
     a = [r[:9] for r in parse_lines(io.StringIO(text, newline="\n"))]
     assert [tuple(r)[:9] for r in read_log(spark, str(p)).orderBy("ord").collect()] == a
-    spark.dataSource.register(GitLogSource)
+    register(spark)
     assert [tuple(r)[:9] for r in spark.read.format("gitlog").load(str(p)).orderBy("ord").collect()] == a
 
 
+def test_log_source_in_ranges(spark, tmp_path):
+    """The same rows and places with 1 and 64 ranges; conditions go down to the entries' heads."""
+    register(spark)
+    r = random.Random(4)
+    text = "".join("\n" * r.randint(0, 3) + f"--{i:06x}--2024-01-{1 + i % 28:02d}--P{i % 7}é\n" * r.randint(1, 2) + "".join(f"{r.randint(0, 9)}\t1\tf{r.randint(0, 50)}\n" for _ in range(r.randint(0, 30))) + " \r\n" for i in range(600))
+    (tmp_path / "logs").mkdir()
+    for i, part in enumerate((text, "\n\n", text[len(text) // 2 :].split(" \r\n", 1)[1])):
+        (tmp_path / "logs" / f"{i}.log").write_text(part, newline="")
+    read = lambda n, path="logs/0.log": spark.read.format("gitlog").option("ranges", n).load(str(tmp_path / path))
+    want = [tuple(x)[:9] for x in parse_lines(io.StringIO(text, newline="\n"))]
+    one = [tuple(x) for x in read(1).orderBy("ord").collect()]
+    assert [x[:9] for x in one] == want
+    for n in (7, 64):
+        assert [tuple(x) for x in read(n).orderBy("ord").collect()] == one, n
+    assert read(64).rdd.getNumPartitions() == 64
+    every = [tuple(x)[:9] for x in read(9, "logs").orderBy("ord").collect()]
+    assert every[: len(want)] == want and len(every) > len(want)
+    some = read(64).where("date >= '2024-01-10' and date < '2024-01-12' and author in ('P1é', 'P2é')")
+    assert sorted(tuple(x)[:9] for x in some.collect()) == sorted(x for x in want if "2024-01-10" <= x[2] < "2024-01-12" and x[3] in ("P1é", "P2é")) != []
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan and "Filter [" not in plan.replace("RuntimeFilters: [", ""), plan
+    # What a condition leaves out isn't parsed: a broken line in such an entry goes unseen.
+    (tmp_path / "broken.log").write_text("--a1--2024-01-01--X\nbroken\n\n--a2--2024-01-02--X\n1\t2\tf\n")
+    assert [x["rev"] for x in read(1, "broken.log").where("date = '2024-01-02'").collect()] == ["a2"]
+    with pytest.raises(Exception, match="expected counts"):
+        read(1, "broken.log").collect()
+    (tmp_path / "wide.log").write_text(LOG, encoding="utf-16")
+    assert [tuple(x)[:9] for x in spark.read.format("gitlog").options(encoding="utf-16", ranges=5).load(str(tmp_path / "wide.log")).orderBy("ord").collect()] == [x[:9] for x in parse_lines(LOG.splitlines())]
+
+
 def test_large_log_in_blocks(spark, tmp_path):
     r = random.Random(3)
     text = "".join("\n" * r.randint(0, 2) + f"--{i:06x}--2024-01-{1 + i % 28:02d}--P{i % 7}\n" * r.randint(1, 2) + "".join(f"{r.randint(0, 9)}\t1\tf{r.randint(0, 50)}\n" for _ in range(r.randint(0, 4))) + "\n" for i in range(4000))
