@@ -32,40 +32,49 @@ from silt.llm.common import chunks, gram_hashes, map_arrow, saved, text_bytes, w
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 BLOCK_BYTES = 16 << 20
+REMEMBERED = 4096  # items whose shingles a worker keeps
 
 
 class ItemIndex:
-    """Sketches of one block of items, in classes of size, and their exact shingles."""
+    """Sketches of one block of items, in classes of size, as arrays of hashes, and the items' texts: at most four times the texts' size."""
 
     def __init__(self, items: list[tuple[object, str | None]], threshold: Fraction = THRESHOLD):
-        self.items: list[tuple[object, int, frozenset]] = []  # key, words in a shingle, shingles
-        sketch: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        every: dict[int, set[int]] = defaultdict(set)
+        self.threshold = threshold
+        self.keys: list[object] = []
+        self.texts: list[bytes] = []  # lower case, words joined by single spaces
+        self.sizes: list[tuple[int, int]] = []  # words in a shingle, shingles
+        self._sets: dict[int, frozenset] = {}
+        every: dict[int, list[np.ndarray]] = defaultdict(list)
+        sketch: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for key, text in items:
             words = text_bytes(text).lower().split()
             if not words:
                 continue
             k = min(SHINGLE, len(words))
-            grams = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+            n = len({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
             hashes = np.unique(gram_hashes(word_hashes(words), k))
-            largest = 1 << (len(grams) - 1).bit_length()
-            least = hashes[: floor((1 - threshold) * largest) + 1].tolist()
-            for h in least:
-                sketch[k][h].append(len(self.items))
-            every[k].update(hashes.tolist())
-            self.items.append((key, k, frozenset(grams)))
-        self.sketch = {k: dict(v) for k, v in sketch.items()}
-        self.every = {k: np.array(sorted(v), np.uint64) for k, v in every.items()}
-        self.filters = {k: self._filter(v) for k, v in self.every.items()}
-        self.threshold = threshold
-
-    @staticmethod
-    def _filter(hashes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
-        """One flag for each value of the low bits: most shingles of a document end here."""
-        bits = max(16, int(len(hashes) * 64).bit_length())
-        flags = np.zeros(1 << bits, bool)
-        flags[hashes & np.uint64((1 << bits) - 1)] = True
-        return flags, np.uint64((1 << bits) - 1)
+            largest = 1 << (n - 1).bit_length()
+            sketch[k].append((hashes[: floor((1 - threshold) * largest) + 1], len(self.keys)))
+            every[k].append(hashes)
+            self.keys.append(key)
+            self.texts.append(b" ".join(words))
+            self.sizes.append((k, n))
+        self.every = {k: np.unique(np.concatenate(v)) for k, v in every.items()}
+        self.filters = {k: _bits(v) for k, v in self.every.items()}
+        self.sketch: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # hashes, and the item of each
+        for k, v in sketch.items():
+            hashes, owner = np.concatenate([h for h, _ in v]), np.repeat(np.array([i for _, i in v], np.int32), [len(h) for h, _ in v])
+            order = np.argsort(hashes, kind="stable")
+            self.sketch[k] = hashes[order], owner[order]
+
+    def shingles(self, i: int) -> frozenset:
+        """An item's shingles; those of items met lately are kept."""
+        if i not in self._sets:
+            if len(self._sets) >= REMEMBERED:
+                self._sets.clear()
+            words, k = self.texts[i].split(b" "), self.sizes[i][0]
+            self._sets[i] = frozenset(tuple(words[j : j + k]) for j in range(len(words) - k + 1))
+        return self._sets[i]
 
     def held(self, text: str | None) -> Iterator[tuple[object, int, int]]:
         """(item key, its shingles, those in the text) of each item of which the text holds the threshold's share."""
@@ -75,22 +84,45 @@ class ItemIndex:
         for part in chunks(text_bytes(text)):
             words = tail + part.lower().split()
             h = word_hashes(words)
-            for k, (flags, mask) in self.filters.items():
+            for k, bits in self.filters.items():
                 grams = gram_hashes(h, k)
-                at = np.flatnonzero(flags[grams & mask])
+                at = np.flatnonzero(_set(bits, grams))
                 if not len(at):
                     continue
                 spot = np.minimum(np.searchsorted(self.every[k], grams[at]), len(self.every[k]) - 1)
                 at = at[self.every[k][spot] == grams[at]]
                 for i in at.tolist():
                     met[k].add(tuple(words[i : i + k]))
-                    seen.update(self.sketch[k].get(int(grams[i]), ()))
+                hashes, owner = self.sketch[k]
+                low, high = np.searchsorted(hashes, grams[at], "left"), np.searchsorted(hashes, grams[at], "right")
+                for a, b in zip(low[high > low].tolist(), high[high > low].tolist()):
+                    seen.update(owner[a:b].tolist())
             tail = words[-(SHINGLE - 1) :]
         for i in sorted(seen):
-            key, k, grams = self.items[i]
-            n = len(grams & met[k])
-            if Fraction(n, len(grams)) >= self.threshold:
-                yield key, len(grams), n
+            k, whole = self.sizes[i]
+            n = len(self.shingles(i) & met[k])
+            if Fraction(n, whole) >= self.threshold:
+                yield self.keys[i], whole, n
+
+
+def _places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each hash, of ``size`` bytes (a power of two)."""
+    mask = np.uint64(8 * size - 1)
+    return hashes & mask, (hashes >> np.uint64(32)) & mask
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """A filter of one to two bytes a hash: most shingles of a document end here."""
+    out = np.zeros(1 << max(10, int(len(hashes) - 1).bit_length()), np.uint8)
+    for bit in _places(hashes, len(out)):
+        np.bitwise_or.at(out, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+    return out
+
+
+def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have both bits."""
+    first, second = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) for bit in _places(hashes, len(bits)))
+    return (first & second & 1).astype(bool)
 
 
 def indexes(items: DataFrame, key: str, text: str) -> Iterator[tuple[object, bool]]:
@@ -98,9 +130,9 @@ def indexes(items: DataFrame, key: str, text: str) -> Iterator[tuple[object, boo
     spark = items.sparkSession
     total = items.select(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0))).first()[0]
     n = total // BLOCK_BYTES + 1
-    dealt = items.select(key, text, F.pmod(F.xxhash64(text, key), F.lit(n)).alias("__block"))
+    dealt = items.select(F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(text, key), F.lit(n)).alias("block"))
     for i in range(n):
-        index = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in dealt.where(F.col("__block") == i).select(key, text).collect()]))
+        index = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in dealt.where(F.col("block") == i).select("key", "text").collect()]))
         yield index, i == n - 1
         if i < n - 1:
             index.destroy()
