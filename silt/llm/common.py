@@ -26,7 +26,8 @@ from silt.shared import shared_dir
 CHUNK = 1 << 20
 BLOCK = 4 << 20  # bytes of text whose words a worker holds at once
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
-PARTITION_BYTES = 64 << 20  # stored bytes of input that a shuffle by key deals to one partition
+PARTITION_BYTES = 64 << 20  # stored bytes of input that a shuffle by key deals to one partition,
+MAX_PARTITIONS = 20_000  # or more of them where that would make more partitions than this: map tasks times partitions are blocks to keep track of
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,11 +173,11 @@ def hash_arrays(text: str | None, lower: bool, seed: int = 0) -> np.ndarray:
 
 
 def partitions(df: DataFrame) -> int:
-    """How many partitions to deal ``df`` to: the session's number, or more where its sources hold more than PARTITION_BYTES for each of those."""
+    """How many partitions to deal ``df`` to: the session's number, or up to MAX_PARTITIONS where its sources hold more than PARTITION_BYTES for each of those."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     stored = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     known = stored if stored < 1 << 60 else 0  # a leaf of unknown size counts as endless
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // PARTITION_BYTES), MAX_PARTITIONS))
 
 
 def unused(df: DataFrame, *stems: str) -> list[str]:

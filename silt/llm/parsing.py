@@ -17,6 +17,7 @@ null keys come last; rows of one key (null too) are one range, which streams thr
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from silt.llm.common import map_arrow, mixed, partitions
 
 SLOTS, LEVELS = 64, (2, 3)
 BATCH_CHARS = 1 << 20
+SAMPLE = 32  # keys looked at for each range
 EMPTY = 0xFFFF
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,31 +113,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def range_limits(keys: DataFrame, n: int) -> tuple[list, object]:
+    """(up to n - 1 keys, ascending, that cut all keys into ranges of about equal numbers of different keys, the largest key).
+
+    They come from about ``SAMPLE`` keys a range, by hash: some hundred thousand on the driver at most, since ``partitions`` has a limit.
+    """
+    rows, top = keys.agg(F.count("key"), F.max("key")).first()
+    share = min(1 << 32, (1 << 32) * SAMPLE * n // max(rows, 1))
+    found = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < share).distinct().collect()) if n > 1 else []
+    return sorted({found[len(found) * i // n] for i in range(1, n)} - {top}) if found else [], top
+
+
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(range, main, key, text): each range of keys, descending, then the document that follows its last."""
-    n = partitions(docs)
+    """(part, main, key, text): each range of keys, descending, then the document that follows its last."""
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    probs = [i / n for i in range(1, n)] or [0.5]
-    found = own.agg(F.percentile_approx("key", F.array(*map(F.lit, probs)), F.lit(100 * n)).alias("p"), F.max("key").alias("top")).first()
-    limits = sorted({x for x in found["p"] or [] if x != found["top"]}) if n > 1 else []
-    size = max(1, int(len(limits) ** 0.5))
-    blocks = [limits[i : i + size] for i in range(0, len(limits), size)] or [[]]
-    if limits:
-        tops = F.array(*[F.lit(b[-1]) for b in blocks])
-        block = F.size(F.filter(tops, lambda t: t < F.col("key")))
-        inner = F.coalesce(F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), block), F.array().cast(f"array<{own.schema['key'].dataType.simpleString()}>"))
-        part = F.coalesce(F.least(block * size, F.lit(len(limits))) + F.size(F.filter(inner, lambda t: t < F.col("key"))), F.lit(0))
-        limit = F.array_contains(inner, F.col("key"))
-    else:
-        part, limit = F.lit(0), F.lit(False)
-    dealt = own.withColumn("part", F.when(F.col("key").isNull(), 0).otherwise(part).cast("int")).withColumn("limit", F.coalesce(limit, F.lit(False)))
-    to = F.array(
-        F.struct(F.col("part").alias("part"), F.lit(True).alias("main")),
-        F.when(F.col("limit"), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("main"))),
-        F.when(F.col("key").eqNullSafe(F.lit(found["top"])), F.struct(F.lit(0).alias("part"), F.lit(False).alias("main"))),
-    )
-    rows = dealt.select(F.explode(F.filter(to, lambda x: x.isNotNull())).alias("to"), "key", "text").select("to.part", "to.main", "key", "text")
-    return rows.repartitionById(len(limits) + 1, "part").sortWithinPartitions(F.desc("main"), F.desc_nulls_last("key"), F.asc_nulls_first("text"))
+    found, top = range_limits(own.select("key").where("key is not null"), partitions(docs))
+    held = docs.sparkSession.sparkContext.broadcast((found, top))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits, top = held.value
+        for b in batches:
+            part, again = np.zeros(b.num_rows, np.int32), []
+            for i, k in enumerate(b.column(0).to_pylist()):
+                if k is not None:
+                    part[i] = bisect_left(limits, k)
+                    if part[i] < len(limits) and limits[part[i]] == k:
+                        again.append((i, part[i] + 1))  # it follows the last one of the range above
+                if k == top:
+                    again.append((i, 0))  # it follows the last one of all
+            rows = np.concatenate([np.arange(b.num_rows), np.array([i for i, _ in again], np.int64)])
+            parts = np.concatenate([part, np.array([p for _, p in again], np.int32)])
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.arange(len(rows)) < b.num_rows), b.column(0).take(at), b.column(1).take(at)], names=["part", "main", "key", "text"])
+
+    rows = map_arrow(own, run, f"part int, main boolean, key {own.schema['key'].dataType.simpleString()}, text string")
+    return rows.repartitionById(len(found) + 1, "part").sortWithinPartitions(F.desc("main"), F.desc_nulls_last("key"), F.asc_nulls_first("text"))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
