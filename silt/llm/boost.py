@@ -64,15 +64,16 @@ def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, shrin
     return Boosted(start, out)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (x, share); shares are drawn towards the mean by two imagined rows."""
-    at, place, n_at = np.unique(x, return_inverse=True, return_counts=True)
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots (x, share); shares are drawn towards the mean by two imagined rows.  A row of weight n counts as n rows."""
+    weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    at, place = np.unique(x, return_inverse=True)
     blocks: list[list[float]] = []  # sum, rows, sum of x
-    for a, b, n in zip(at.tolist(), np.bincount(place, y).tolist(), n_at.tolist()):
+    for a, b, n in zip(at.tolist(), np.bincount(place, y * weight).tolist(), np.bincount(place, weight).tolist()):
         blocks.append([b, n, a * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, t = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + t]
-    mean = y.mean()
+    mean = np.average(y, weights=weight)
     share = np.maximum.accumulate([(s + 2 * mean) / (n + 2) for s, n, _ in blocks])
     return np.array([t / n for _, n, t in blocks]), share

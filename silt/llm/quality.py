@@ -107,20 +107,26 @@ def fourier(z: np.ndarray) -> np.ndarray:
 
 
 def chosen(labels: DataFrame, label: str = "quality", label_key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(known, y, fold): the labels that are learned from, about ``max_labelled`` at most."""
+    """(known, y, fold, n): the labels that are learned from, and how often each occurs; about ``max_labelled`` rows at most, however often labels are repeated."""
     crc = F.crc32(F.col(label_key).cast("string"))
     usable = labels.where(F.col(label).isNotNull() & (crc % 4 != 2)).select(F.col(label_key).alias("known"), F.col(label).cast("double").alias("y"), (F.floor(crc / 16) % FOLDS).cast("int").alias("fold"))
-    n = usable.count()
-    share = min(1 << 32, (1 << 32) * max_labelled // max(n, 1))
-    return usable.where(F.pmod(F.xxhash64("known", "y"), F.lit(1 << 32)) < share)
+    distinct = saved(usable.groupBy("known", "y", "fold").agg(F.count("*").alias("n")), "quality-labels")
+    return bounded(distinct, max_labelled, "known", "y")
+
+
+def bounded(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About ``most`` of the rows, which differ in ``keys``, by a hash of these; all where they are no more."""
+    share = (1 << 32) * most // max(rows.count(), 1)
+    return rows if share >= 1 << 32 else rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < share)
 
 
 def fit(rows: DataFrame) -> Model:
-    """A model from measured rows (stats, y, fold)."""
-    rows = saved(rows.select("stats", "y", "fold").repartition(FIT_PARTITIONS), "quality-labelled")
+    """A model from measured rows (stats, y, fold, n), each of which counts n times; of more than MAX_LABELLED different ones (documents may share a key) a share by hash."""
+    alike = saved(rows.groupBy("stats", "y", "fold").agg(F.sum("n").cast("double").alias("n")).repartition(FIT_PARTITIONS), "quality-labelled")
+    rows = bounded(alike, MAX_LABELLED, "stats", "y", "fold")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _summed(batches, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0), [y.sum()]]), 2 * N_STATS + 2)
+        yield from _summed(batches, lambda x, y, n: np.concatenate([[n.sum()], n @ x, n @ (x * x), [n @ y]]), 2 * N_STATS + 2)
 
     m = sum((np.frombuffer(r[1]) for r in rows.mapInArrow(moments, "fold int, sums binary").collect()), start=np.zeros(2 * N_STATS + 2))
     n = float(m[0])
@@ -133,9 +139,9 @@ def fit(rows: DataFrame) -> Model:
     share = m[-1] / n
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def part(x, y):
+        def part(x, y, n):
             z = fourier((x - mean) / spread)
-            w = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share))[:, None]  # both labels weigh the same
+            w = (n * np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)))[:, None]  # both labels weigh the same
             return np.concatenate([(z.T @ (w * z)).ravel(), z.T @ (w[:, 0] * y)])
 
         yield from _summed(batches, part, d * d + d)
@@ -150,19 +156,21 @@ def fit(rows: DataFrame) -> Model:
         for b in batches:
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
             z = fourier((x - mean) / spread)
-            yield pa.RecordBatch.from_arrays([pa.array((z * without[b.column(2).to_numpy(zero_copy_only=False)]).sum(1)), b.column(1)], names=["raw", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array((z * without[b.column(2).to_numpy(zero_copy_only=False)]).sum(1)), b.column(1), b.column(3)], names=["raw", "y", "n"])
 
-    seen = rows.mapInArrow(raw, "raw double, y double").toPandas()
-    return Model(mean, spread, solve(sums.sum(0)), *isotonic(seen["raw"].to_numpy(), seen["y"].to_numpy()))
+    seen = rows.mapInArrow(raw, "raw double, y double, n double").toPandas()
+    return Model(mean, spread, solve(sums.sum(0)), *isotonic(seen["raw"].to_numpy(), seen["y"].to_numpy(), seen["n"].to_numpy()))
 
 
 def _summed(batches, part, size: int) -> Iterator[pa.RecordBatch]:
     """One row for each fold in a partition: its number and the sum of ``part`` over its rows."""
     totals: dict[int, np.ndarray] = {}
     for b in batches:
-        x, y, fold = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
+        y, fold, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
         for k in np.unique(fold).tolist():
-            totals[k] = totals.get(k, np.zeros(size)) + part(x[fold == k], y[fold == k])
+            own = fold == k
+            totals[k] = totals.get(k, np.zeros(size)) + part(x[own], y[own], n[own])
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["fold", "sums"])
 
 
@@ -189,7 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows of ``docs`` that the classifier accepts, scored where they lie: texts are not shuffled, and for the fit only labelled ones are measured."""
     known = F.broadcast(chosen(labels))
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, F.col("key") == F.col("known"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(measured(own, others=("y", "fold"))))
+    model = docs.sparkSession.sparkContext.broadcast(fit(measured(own, others=("y", "fold", "n"))))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
