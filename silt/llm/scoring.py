@@ -216,5 +216,5 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_logs") + logs - F.col("n_tokens") * base).alias("base_score"),
-        F.round(F.col("model") + F.col("other_logs") + logs - F.col("n_other") * other, 2).alias("score"),
+        (F.col("model") + F.col("other_logs") + logs - F.col("n_other") * other).alias("score"),
     )
