@@ -1,17 +1,19 @@
 """Near duplicates, repeated passages, benchmark passages and fingerprints, against brute force."""
 
 import hashlib
+import pickle
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
-from silt.llm import decontaminate, parsing, repeats, simhash
+from silt.llm import common, decontaminate, parsing, repeats, simhash
 from silt.llm.components import components
 from silt.llm.common import CHUNK, chunks
 
-from brute import near_groups, parsed_print, shared, simple_print, words
+from brute import holds, near_groups, parsed_print, shared, simple_print, words
 
 
 def test_chunks_keep_words():
@@ -144,13 +146,44 @@ def test_contained(spark, docs, pairs, prose):
         assert Counter(map(str, decontaminate.drop_contaminated(docs, items).collect())) == Counter(map(str, clean.collect()))
         seen = []
         for index, last in decontaminate.indexes(items, "item_id", "text"):
-            seen += [k for k, _, _ in index.value.items]
+            seen += index.value.keys
             assert last == (len(seen) == sum(bool(words(r["text"], True)) for r in items.collect()))
     finally:
         decontaminate.BLOCK_BYTES = old
     assert decontaminate.contained(docs, items.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs, items.limit(0)).count() == len(pairs)
 
 
+def test_an_index_is_bounded_by_its_text(prose):
+    """Pickled, as it is broadcast: at most four times the items' text, for long items and for short ones."""
+    for size in (40, 400):
+        texts = [prose(i, size) for i in range(60_000 // size)]
+        index = decontaminate.ItemIndex(list(enumerate(texts)))
+        assert len(pickle.dumps(index, protocol=5)) <= 4 * sum(len(t.encode()) + 16 for t in texts)
+        assert all((i, *holds(t, t)) in list(index.held("before " + t + " after")) for i, t in enumerate(texts[:20]))
+
+
+def test_ranges_don_t_grow_the_plan(spark):
+    """Limits are data, not literals; and there are no more ranges than MAX_PARTITIONS."""
+    keys = spark.range(40_000).select((F.col("id") * 3 % 40_000).alias("key"))
+    limits, top = parsing.range_limits(keys, 2_000)
+    assert top == 39_999 and 1_500 < len(limits) < 2_000 and limits == sorted(limits)
+    sizes = np.diff([0, *limits, 40_000])
+    assert sizes.max() < 40_000 / 2_000 * 4
+    assert common.MAX_PARTITIONS <= 20_000
+
+
+def test_neighbours_over_many_ranges(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(i * 7 % 500, f"text {i * 7 % 500} " * 3) for i in range(500)] + [(None, "null key"), (499, "another")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = Counter(map(tuple, parsing.report(df).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        assert Counter(map(tuple, parsing.report(df).collect())) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_fingerprints(docs, pairs):
     """Against a parser that goes symbol by symbol; the longest text is left to ``test_equal_parts_share_names``."""
     docs, pairs = docs.where("text IS NULL OR length(text) < 20000"), [p for p in pairs if len(p[1] or "") < 20000]
