@@ -66,6 +66,19 @@ def glob_to_regex(glob: str) -> str:
     return "(?s)^(?:" + "".join(out) + r")\z"
 
 
+def literal_prefix(glob: str) -> str:
+    """What every path that a glob matches starts with."""
+    at = re.search(r"[*?\[{\\]", glob)
+    if at is None:
+        return glob
+    return glob[: at.start()].removesuffix("/") if glob[at.start() :].startswith("**") else glob[: at.start()]  # a/** holds a itself
+
+
+def is_plain(pattern: str) -> bool:
+    """Whether an expression matches nothing but its own text."""
+    return not re.search(r"[\\.^$|?*+()\[\]{}]", pattern)
+
+
 # What backtracking engines take and linear-time ones refuse, or read otherwise.
 _REFUSED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\[kGXR]|[*+?}]\+|&&")
 # POSIX classes.

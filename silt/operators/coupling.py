@@ -37,7 +37,11 @@ def pair_counts(sets: DataFrame) -> DataFrame:
 
 def candidates(facts: DataFrame, largest: int) -> DataFrame:
     """Every pair with its numbers, before any threshold; the pairs are shuffled once and serve all three uses."""
-    pairs = pair_counts(change_sets(facts, largest))
+    return numbers(pair_counts(change_sets(facts, largest)))
+
+
+def numbers(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, shared), those with a = b among them, with the commits of each and the degree."""
     own = pairs.where("a = b")
     first = own.select("a", F.col("shared").alias("first_entity_revisions"))
     second = own.select("b", F.col("shared").alias("second_entity_revisions"))
@@ -63,7 +67,12 @@ def candidates(facts: DataFrame, largest: int) -> DataFrame:
     change_sets=True,
 )
 def coupling(facts: DataFrame, min_revs: int, min_shared_revs: int, min_coupling: int, max_coupling: int, max_changeset_size: int, verbose: bool) -> DataFrame:
-    kept = candidates(facts, max_changeset_size).where(
+    return chosen(candidates(facts, max_changeset_size), min_revs, min_shared_revs, min_coupling, max_coupling)
+
+
+def chosen(pairs: DataFrame, min_revs: int = 5, min_shared_revs: int = 5, min_coupling: int = 30, max_coupling: int = 100) -> DataFrame:
+    """The pairs that reach all thresholds."""
+    kept = pairs.where(
         (truncated(F.col("avg")) >= min_revs) & (F.col("shared") >= min_shared_revs) & (F.col("degree_f") >= min_coupling) & (F.floor("degree_f") <= max_coupling)
     )
     return kept.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silt.functions.exprs import average, percentage, truncated
@@ -31,7 +31,8 @@ def communication(facts: DataFrame) -> DataFrame:
     has more than two slices' people.
     """
     own = facts.select("entity", "author").distinct()
-    sized = own.withColumn("slices", F.ceil(F.count("*").over(Window.partitionBy("entity")) / SLICE).cast("int"))
+    wide = own.groupBy("entity").count().where(F.col("count") > SLICE).select("entity", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
+    sized = own.join(wide, "entity", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     sliced = sized.withColumn("slice", F.when(F.col("slices") == 1, 0).otherwise(F.pmod(F.xxhash64("author"), F.col("slices")).cast("int")))
     others = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least(k, F.col("slice")).alias("i"), F.greatest(k, F.col("slice")).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))

@@ -1,17 +1,21 @@
 """Histories that keep arriving: fact rows from a growing folder, and analyses that follow them.
 
-Sums are kept as state.  Distinct counts are not defined on streams, so rows are deduplicated by their key first, with a watermark that bounds what is remembered; a
-row that comes later than the watermark isn't counted.  ``follow`` is exact for every analysis: it stores each batch and evaluates the whole history again.
+Sums are kept as state.  Distinct counts are not defined on streams, so what is counted is deduplicated first: ``distinct_counts`` keeps each combination that it has seen, exactly and for good, so
+files may come in any order; ``revisions`` forgets by a watermark, and a row that comes later isn't counted.  ``pair_changes`` follows the pairs of change sets, and takes back those of a commit that
+outgrows the limit.  ``follow`` is exact for every analysis: it stores each batch and evaluates the whole history again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
+from silt.operators.coupling import chosen, numbers
 from silt.registry import lookup
 from silt.schema import FACT
 
@@ -41,6 +45,56 @@ def revisions(facts: DataFrame, delay: str = "30 days") -> DataFrame:
     return timed(facts, delay).dropDuplicatesWithinWatermark(["entity", "rev"]).groupBy("entity").agg(F.count("*").alias("n_revs"))
 
 
+def distinct_counts(facts: DataFrame, key: str, **counted: str) -> DataFrame:
+    """(key, one column for each of ``counted``: name=column) so far: distinct values of each column for each value of ``key``, exact whatever the order of arrival.
+
+    Each row is taken apart into one (key, name, value) for each column; the state has one entry for each that differs, spread by all three, so a hot key isn't one task's.  Rows
+    themselves are counted by a column that tells them apart, such as ``ord``.
+    """
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in counted.items()])
+    seen = facts.select(F.col(key), F.explode(parts).alias("x")).select(key, "x.name", "x.value").where("value is not null").dropDuplicates([key, "name", "value"])
+    return seen.groupBy(key).agg(*[F.count(F.when(F.col("name") == n, 1)).alias(n) for n in counted])
+
+
+def authors(facts: DataFrame) -> DataFrame:
+    """(entity, n_authors, n_revs) so far, as the analysis of the same name has them; rows are told apart by ``ord``, so one that comes twice counts once."""
+    return distinct_counts(facts, "entity", n_authors="author", n_revs="ord")
+
+
+def pair_changes(facts: DataFrame, largest: int = 30) -> DataFrame:
+    """(a, b, change) of pairs a <= b of entities of a commit, to be summed over all batches; append mode.
+
+    The state of a commit is its entities, ``largest`` at most: with one more its pairs are taken back and only that it is too wide is kept.
+    """
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old, wide = state.get if state.exists else ([], False)
+        if wide:
+            return
+        before, now = set(old), set(old)
+        for part in rows:
+            now.update(part["entity"].dropna())
+            if len(now) > largest:
+                break
+        if len(now) > largest:
+            state.update(([], True))
+            changed = [(a, b, -1) for a in before for b in before if a <= b]
+        else:
+            state.update((sorted(now), False))
+            changed = [(min(a, b), max(a, b), 1) for a in now - before for b in now if b in before or a <= b]
+        if changed:
+            yield pd.DataFrame(changed, columns=["a", "b", "change"])
+
+    own = facts.where("rev is not null").select("rev", "entity")
+    return own.groupBy("rev").applyInPandasWithState(step, "a string, b string, change long", "entities array<string>, wide boolean", "append", "NoTimeout")
+
+
+def coupled(changes: DataFrame, **thresholds: int) -> DataFrame:
+    """The coupling analysis, all its columns, from the stored changes of pairs."""
+    pairs = changes.groupBy("a", "b").agg(F.sum("change").alias("shared")).where("shared > 0")
+    return chosen(numbers(pairs), **thresholds)
+
+
 def sliding_churn(facts: DataFrame, days: int, delay: str = "30 days") -> DataFrame:
     """(start, end, added, deleted) of windows of days that move by a day; in append mode a window comes out when the watermark passes it."""
     w = timed(facts, delay).groupBy(F.window("ts", f"{days} days", "1 day").alias("w"))
