@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from silt.operators import renames as R
 from silt.operators import second as S
 from silt.operators.coupling import all_filtered
-from silt.operators.transforms import Transforms, filter_paths, group_layers, layer, map_teams, temporal_windows
+from silt.operators.transforms import Transforms, filter_paths, group_layers, in_folders, layer, map_teams, temporal_windows
 from silt.plans.batch import GENERATED, counted, trailing
 from silt.plans.result import emit, run, store
 from silt.registry import lookup
@@ -558,3 +558,65 @@ def batch_counts(spark: SparkSession, d: str) -> DataFrame:
         rows = table_.select(F.lit(name).alias("analysis"), *picked)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def arrived(spark: SparkSession, d: str) -> DataFrame:
+    """The history as a stream of files, in no order: rows are dealt to them by a hash."""
+    source = scratch(spark, "stream")
+    facts = order_history(spark, d).withColumn("ord", F.xxhash64("ord"))
+    files = max(3, -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 1_000_000))
+    facts.repartition(files, "ord").write.parquet(source)
+    return streams.read_facts(spark, source, 1)
+
+
+def ended(df: DataFrame, mode: str, out: str) -> DataFrame:
+    """What a stream has written when all that is there has been read; in complete mode each batch's table takes the place of the one before."""
+    spark = df.sparkSession
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(out).awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query("$FACTS SELECT entity, count(DISTINCT author) AS n_authors, count(DISTINCT (date, rev, author, message, loc_added, loc_deleted, \"binary\")) AS n_revs FROM facts GROUP BY entity")
+def stream_authors(spark: SparkSession, d: str) -> DataFrame:
+    """Exact distinct counts over files that arrive in any order; rows that are alike in everything count once."""
+    return ended(streams.authors(arrived(spark, d)), "complete", scratch(spark, "stream-result"))
+
+
+@query(f"$FACTS, {coupling_sql(4, 1, 2, 5)} SELECT * FROM coupling")
+def stream_coupling(spark: SparkSession, d: str) -> DataFrame:
+    """Coupling over files that arrive in any order: commits grow over the limit of four after their pairs were counted."""
+    changes = ended(streams.pair_changes(arrived(spark, d), 4), "append", scratch(spark, "stream-pairs"))
+    return streams.coupled(changes, min_revs=1, min_shared_revs=2, min_coupling=5)
+
+
+BY_PEOPLE = "people AS (SELECT f.* REPLACE ('home/' || lower(replace(author, '#', '/')) || '/' || regexp_replace(f.entity, '^src/', '') AS entity) FROM facts f)"
+
+
+@query(
+    f"""$FACTS, {BY_PEOPLE}, rules AS (SELECT c_custkey AS place, 'home/' || lower(replace(c_name, '#', '/')) AS folder, c_mktsegment AS name FROM customer WHERE c_custkey % 3 > 0
+      UNION ALL SELECT 1000000000 + c_custkey, 'home/' || lower(replace(c_name, '#', '/')) || '/brand13', 'late' FROM customer WHERE c_custkey % 2 = 0),
+    folders AS (SELECT entity, rev, array_to_string(parts[1:d], '/') AS folder FROM (SELECT entity, rev, parts, unnest(range(1, len(parts))) AS d FROM (SELECT entity, rev, string_split(entity, '/') AS parts FROM people))),
+    hits AS (SELECT entity, rev, arg_min(name, place) AS layer FROM folders JOIN rules USING (folder) GROUP BY entity, rev)
+    SELECT layer AS entity, count(DISTINCT rev) AS n_revs FROM hits GROUP BY layer"""
+)
+def group_many_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A rule for two of three people and one more for each second, as a table: their number grows with the people's."""
+    facts = order_history(spark, d)
+    home = lambda c: F.concat(F.lit("home/"), F.lower(F.replace(c, F.lit("#"), F.lit("/"))))
+    people = facts.withColumn("entity", F.concat_ws("/", home(F.col("author")), F.regexp_replace("entity", "^src/", "")))
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    own = customers.where("c_custkey % 3 > 0").select(F.col("c_custkey").cast("long").alias("place"), home(F.col("c_name")).alias("folder"), F.col("c_mktsegment").alias("name"))
+    late = customers.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 1_000_000_000).cast("long").alias("place"), F.concat(home(F.col("c_name")), F.lit("/brand13")).alias("folder"), F.lit("late").alias("name"))
+    return table("revisions", in_folders(people, own.unionByName(late)))
+
+
+@query("$FACTS SELECT entity, count(DISTINCT rev) AS n_revs FROM facts WHERE regexp_matches(entity, '^src/brand2[^/]/part[^/]*$') OR regexp_matches(entity, '^src/brand55(/.*)?$') GROUP BY entity")
+def filter_pushed(spark: SparkSession, d: str) -> DataFrame:
+    """A stored history, sorted by path: the globs' plain starts reach the scan."""
+    path = scratch(spark, "sorted-facts")
+    order_history(spark, d).drop("ord").repartitionByRange("entity").sortWithinPartitions("entity").write.parquet(path)
+    return table("revisions", filter_paths(spark.read.parquet(path), ["src/brand2?/part*", "src/brand55/**"]))
