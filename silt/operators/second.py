@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silt.functions.exprs import base_name, first_segment, indentation, is_code, min_max
+from silt.functions.places import placed
 from silt.functions.patterns import linear_regex
 from silt.schema import roles_of
 
@@ -104,18 +105,34 @@ def hierarchy(leaves: DataFrame, size: str = "size") -> DataFrame:
     return levels.groupBy("x.path", "x.depth").agg(F.count("*").alias("files"), F.sum("s").alias("size"))
 
 
+def intervals(leaves: DataFrame, size: str = "size") -> DataFrame:
+    """(path, depth, left, right, files, size): every folder and file with the numbers of the first and last node inside it, itself the first, when all are counted folder before content, siblings by name.
+
+    A node lies in a folder if its ``left`` is between the folder's ``left`` and ``right``: enclosure without paths, at any depth.
+    """
+    parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/"))
+    nodes = hierarchy(leaves, size)
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    inside = nodes.where("path <> ''").select(F.explode(above).alias("path")).groupBy("path").agg(F.count("*").alias("inside"))
+    whole = placed(nodes.join(inside, "path", "left").withColumn("parts", parts), "left", F.col("parts"))
+    return whole.select("path", "depth", "left", (F.col("left") + F.coalesce("inside", F.lit(0))).alias("right"), "files", "size")
+
+
 def nested(leaves: list[dict], root: str = "root") -> dict:
     """Collected leaves as one nested tree, children sorted by path: a driver-side shape for drawing."""
     top: dict = {"name": root, "children": []}
+    folders = {"": top}
+
+    def folder(path: str) -> dict:
+        if path not in folders:
+            above, _, name = path.rpartition("/")
+            folders[path] = {"name": name, "children": []}
+            folder(above)["children"].append(folders[path])
+        return folders[path]
+
     for leaf in sorted(leaves, key=lambda x: x["entity"]):
-        at, parts = top, leaf["entity"].split("/")
-        for p in parts[:-1]:
-            found = next((c for c in at["children"] if c["name"] == p and "children" in c), None)
-            if found is None:
-                found = {"name": p, "children": []}
-                at["children"].append(found)
-            at = found
-        at["children"].append({"name": parts[-1]} | {k: v for k, v in leaf.items() if k != "entity"})
+        above, _, name = leaf["entity"].rpartition("/")
+        folder(above)["children"].append({"name": name} | {k: v for k, v in leaf.items() if k != "entity"})
     return top
 
 

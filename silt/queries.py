@@ -13,6 +13,7 @@ from silt.operators import second as S
 from silt.operators.coupling import all_filtered
 from silt.operators.transforms import Transforms, filter_paths, group_layers, in_folders, layer, map_teams, temporal_windows
 from silt.plans.batch import GENERATED, counted, trailing
+from silt.plans.encoding import encode
 from silt.plans.result import emit, run, store
 from silt.registry import lookup
 from silt.shared import shared_dir
@@ -397,12 +398,13 @@ def log_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {STRUCTURE} SELECT entity, loc FROM structure")
 def structure_source(spark: SparkSession, d: str) -> DataFrame:
-    """The parts written as documents of languages with their files, one for each brand, and read as a structure."""
-    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand"), F.concat(F.lit("./src/"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("/part"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") * F.col("p_size")).cast("bigint").alias("code"))
-    reports = parts.groupBy("p_brand").agg(F.collect_list(F.struct("name", F.struct("code").alias("stats"))).alias("reports"))
+    """The parts written as documents of languages with their files, of a brand's some thousand at most each, and read as a structure."""
+    slices = F.pmod(F.xxhash64("p_partkey"), F.lit(max(1, spark.read.parquet(f"{d}/part.parquet").count() // 100_000)))
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand"), slices.alias("slice"), F.concat(F.lit("./src/"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("/part"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") * F.col("p_size")).cast("bigint").alias("code"))
+    reports = parts.groupBy("p_brand", "slice").agg(F.collect_list(F.struct("name", F.struct("code").alias("stats"))).alias("reports"))
     path = scratch(spark, "structure")
     whole = F.create_map(F.col("p_brand"), F.struct("reports"), F.lit("Total"), F.struct("reports"))
-    reports.select(F.col("p_brand").alias("of"), F.to_json(whole).alias("value")).write.partitionBy("of").text(path)
+    reports.select(F.concat_ws("-", "p_brand", "slice").alias("of"), F.to_json(whole).alias("value")).write.partitionBy("of").text(path)
     return read_structure(spark, path)
 
 
@@ -465,7 +467,8 @@ def teams_file(spark: SparkSession, d: str) -> DataFrame:
 def stream_ownership(spark: SparkSession, d: str) -> DataFrame:
     """The history as files that arrive one by one, and sums kept as state; each batch's table replaces the one before."""
     source, out = scratch(spark, "stream"), scratch(spark, "stream-result")
-    order_history(spark, d).withColumn("ord", F.monotonically_increasing_id()).repartition(3).write.parquet(source)
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    order_history(spark, d).withColumn("ord", F.monotonically_increasing_id()).repartition(max(3, -(-rows // 1_000_000))).write.parquet(source)
     sums = streams.ownership(streams.read_facts(spark, source, 1))
     query_ = sums.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
     query_.awaitTermination()
@@ -620,3 +623,26 @@ def filter_pushed(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "sorted-facts")
     order_history(spark, d).drop("ord").repartitionByRange("entity").sortWithinPartitions("entity").write.parquet(path)
     return table("revisions", filter_paths(spark.read.parquet(path), ["src/brand2?/part*", "src/brand55/**"]))
+
+
+@query(
+    f"""WITH {STRUCTURE}, nodes AS (SELECT path, depth, count(*) AS files, CAST(sum(loc) AS BIGINT) AS size FROM (SELECT CASE WHEN d = 0 THEN '' ELSE array_to_string(parts[1:d], '/') END AS path, d AS depth, loc
+      FROM (SELECT string_split(entity, '/') AS parts, unnest(range(0, len(string_split(entity, '/')) + 1)) AS d, loc FROM structure)) GROUP BY path, depth),
+    places AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN path = '' THEN [] ELSE string_split(path, '/') END) - 1 AS "left" FROM nodes),
+    inside AS (SELECT above, count(*) AS n FROM (SELECT CASE WHEN d = 0 THEN '' ELSE array_to_string(string_split(path, '/')[1:d], '/') END AS above FROM (SELECT path, unnest(range(0, depth)) AS d FROM nodes)) GROUP BY above)
+    SELECT path, depth, "left", "left" + coalesce(n, 0) AS "right", files, size FROM places LEFT JOIN inside ON above = path"""
+)
+def tree_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return S.intervals(structure(spark, d), "loc")
+
+
+@query("$FACTS SELECT entity, author, count(*) AS author_revs, CAST(sum(count(*)) OVER (PARTITION BY entity) AS BIGINT) AS total_revs FROM facts GROUP BY entity, author")
+def envelope_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A result as JSON envelopes of some ten thousand rows each, read by ranges of bytes without a schema."""
+    path, facts = scratch(spark, "envelopes"), order_history(spark, d)
+    head = encode({k: v for k, v in run("entity-effort", facts.limit(0)).envelope().items() if k not in ("rows", "row_count")})
+    slices = max(1, spark.read.parquet(f"{d}/lineitem.parquet").count() // 10_000)
+    dealt = table("entity-effort", facts).groupBy(F.pmod(F.xxhash64("entity", "author"), F.lit(slices)).alias("of")).agg(F.collect_list(F.struct("entity", "author", "author_revs", "total_revs")).alias("rows"))
+    whole = F.concat(F.lit(head[:-1] + ',"row_count":'), F.size("rows").cast("string"), F.lit(',"rows":'), F.to_json("rows"), F.lit("}"))
+    dealt.select("of", whole.alias("value")).write.partitionBy("of").text(path)
+    return read_envelope(spark, path, ranges=4)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from silt import cli
 from silt.operators import renames as R
+from silt.operators import second as S
 from silt.plans.batch import counted, lattice
 from silt.plans.result import emit, run
 from silt.registry import lookup
 from silt.schema import FACT
 from silt.sources.emitted import columns_of, read_result, register
 from silt.sources.gitlog import parse_lines
+from silt.sources.results import read_envelope
 
 from history import LOG
 
@@ -139,3 +141,39 @@ def test_the_lattice_shuffles_facts_twice(spark, facts, monkeypatch):
     lattice(facts)
     assert seen[0].count("Exchange hashpartitioning") == 2
 
+
+
+# ---- envelopes and folders
+
+
+@pytest.mark.parametrize("fields", ["", "rows.*,row_count", "rows.entity,rows.author"])
+def test_envelopes_in_ranges(spark, tmp_path, fields, monkeypatch):
+    """Every cut of an envelope gives its rows, wherever the keys beside them stand, whatever the strings hold."""
+    monkeypatch.setattr("silt.sources.results.EDGE", 600)
+    names = ['a},{"entity":1', "b\\", 'c"}],"x', "d é", "[]", 'e},{"', "plain"]
+    rows = [(f"{n}{i}", f"r{i}", "2024-01-01", f'p"{i % 3}', "-", i, 1, False, True, i) for i, n in enumerate(names * 6)]
+    facts = spark.createDataFrame(rows, FACT)
+    (tmp_path / "e.json").write_text(run("entity-ownership", facts).json(fields))
+    columns = ["entity", "author"] if fields == "rows.entity,rows.author" else ["entity", "author", "added", "deleted"]
+    want = sorted(tuple(r) for r in lookup("entity-ownership").run(facts).select(*columns).collect())
+    for n in (1, 3, 40):
+        back = read_envelope(spark, str(tmp_path / "e.json"), ranges=n)
+        assert sorted(back.columns) == sorted(columns) and sorted(map(tuple, back.select(*columns).collect())) == want, n
+    (tmp_path / "list.json").write_text(json.dumps([{"a": 1, "b": "x"}, {"a": 2}]))
+    assert sorted(map(str, read_envelope(spark, str(tmp_path / "list.json")).collect())) == ["Row(a=1, b='x')", "Row(a=2, b=None)"]
+    (tmp_path / "none.json").write_text(run("entity-ownership", facts.limit(0)).json())
+    assert read_envelope(spark, str(tmp_path / "none.json")).collect() == []
+
+
+def test_intervals(spark):
+    leaves = spark.createDataFrame([("a/b/x", 1), ("a/b/y", 2), ("a-b/z", 3), ("a/c", 4), ("w", 5)], "entity string, size long")
+    got = {r["path"]: (r["left"], r["right"], r["files"], r["size"]) for r in S.intervals(leaves).collect()}
+    assert got == {"": (0, 8, 5, 15), "a": (1, 5, 3, 7), "a/b": (2, 4, 2, 3), "a/b/x": (3, 3, 1, 1), "a/b/y": (4, 4, 1, 2), "a/c": (5, 5, 1, 4), "a-b": (6, 7, 1, 3), "a-b/z": (7, 7, 1, 3), "w": (8, 8, 1, 5)}
+    for p, (left, right, _, _) in got.items():
+        inside = {q for q in got if q == p or p == "" or q.startswith(p + "/")}
+        assert inside == {q for q, (at, *_) in got.items() if left <= at <= right}
+
+
+def test_nested_is_as_before():
+    leaves = [{"entity": e, "size": i} for i, e in enumerate(["a/b/x", "a/c", "b", "a/b/y"])]
+    assert S.nested(leaves) == {"name": "root", "children": [{"name": "a", "children": [{"name": "b", "children": [{"name": "x", "size": 0}, {"name": "y", "size": 3}]}, {"name": "c", "size": 1}]}, {"name": "b", "size": 2}]}
