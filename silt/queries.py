@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silt.errors import SiltError
 from silt.operators import renames as R
 from silt.operators import second as S
 from silt.operators.coupling import all_filtered
 from silt.operators.transforms import Transforms, filter_paths, group_layers, in_folders, layer, map_teams, temporal_windows
 from silt.plans.batch import GENERATED, counted, trailing
 from silt.plans.encoding import encode
-from silt.plans.result import emit, run, store
+from silt.plans.describe import command_list, command_schema
+from silt.plans.result import Result, emit, run, store
 from silt.registry import lookup
+from silt.schema import roles_of
 from silt.shared import shared_dir
 from silt.sources.adapters import nation_teams, order_history
 from silt.sources.definitions import parse_layers, parse_teams
@@ -646,3 +649,85 @@ def envelope_ranges(spark: SparkSession, d: str) -> DataFrame:
     whole = F.concat(F.lit(head[:-1] + ',"row_count":'), F.size("rows").cast("string"), F.lit(',"rows":'), F.to_json("rows"), F.lit("}"))
     dealt.select("of", whole.alias("value")).write.partitionBy("of").text(path)
     return read_envelope(spark, path, ranges=4)
+
+
+def outcome(spark: SparkSession, d: str, name: str, fn: Callable[[], Result]) -> tuple:
+    """(run, code, exit_code, row_count, total_count, record) of one run: what it says of itself, or the error it ends with."""
+    try:
+        e = fn().envelope()
+        record = ";".join([*(f"{k}={encode(v)}" for k, v in e.get("transforms", {}).items()), *(f"{k}={encode(v)}" for k, v in e.get("params", {}).items())])
+        return name, "ok", 0, e["row_count"], e.get("total_count", e["row_count"]), record
+    except SiltError as e:
+        return name, e.code, e.exit_code, 0, 0, ""
+
+
+@query(
+    """$FACTS, n AS (SELECT count(DISTINCT entity) AS e, count(DISTINCT author) AS a FROM facts), m AS (SELECT count(*) AS e FROM (SELECT entity FROM facts WHERE entity LIKE 'src/brand1%' GROUP BY entity))
+    SELECT run, code, CAST(exit_code AS INT) AS exit_code, CAST(row_count AS BIGINT) AS row_count, CAST(total_count AS BIGINT) AS total_count, record FROM n, m, LATERAL (VALUES
+      ('all', 'ok', 0, n.e, n.e, ''), ('first ten', 'ok', 0, 10, n.e, ''), ('some', 'ok', 0, m.e, m.e, 'include=["src/brand1*/**"]'), ('layers and teams', 'ok', 0, 1, 1, 'group=true;team_map=true'),
+      ('no rows', 'ok', 0, 0, 0, ''), ('no log', 'empty_log', 65, 0, 0, ''),
+      ('no counts', 'missing_metrics', 65, 0, 0, ''), ('no subjects', 'missing_messages', 65, 0, 0, ''), ('no expression', 'missing_required_flag', 64, 0, 0, ''), ('bad expression', 'invalid_expression', 64, 0, 0, ''),
+      ('bad glob', 'invalid_glob', 64, 0, 0, ''), ('bad rule', 'invalid_group', 64, 0, 0, ''), ('bad period', 'invalid_temporal_period', 64, 0, 0, ''), ('bad dates', 'invalid_temporal_date', 65, 0, 0, ''),
+      ('bad day', 'invalid_time_now', 64, 0, 0, ''), ('bad field', 'invalid_field', 64, 0, 0, ''), ('bad name', 'unknown_command', 64, 0, 0, ''), ('bad flag', 'unknown_flag', 64, 0, 0, '')) AS v(run, code, exit_code, row_count, total_count, record)"""
+)
+def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Runs over the history and over broken forms of it: their codes, exit codes, counts and records of transforms."""
+    facts = order_history(spark, d).persist()
+    blank = scratch(spark, "blank-log")
+    facts.limit(0).select(F.lit("").alias("value")).write.text(blank)
+
+    def fields() -> Result:
+        r = run("authors", facts, rows=1)
+        r.json("rows.nothing")
+        return r
+
+    cases: dict[str, Callable[[], Result]] = {
+        "all": lambda: run("revisions", facts),
+        "first ten": lambda: run("authors", facts, rows=10),
+        "some": lambda: run("revisions", facts, Transforms(include=["src/brand1*/**"])),
+        "layers and teams": lambda: run("revisions", facts, Transforms(layers=[layer("src", "all")], teams=nation_teams(spark, d))),
+        "no rows": lambda: run("entity-churn", facts.limit(0)),
+        "no log": lambda: run("authors", read_log(spark, blank)),
+        "no counts": lambda: run("entity-churn", facts.withColumn("has_loc", F.lit(False))),
+        "no subjects": lambda: run("messages", facts.withColumn("message", F.lit("-")), expression="x"),
+        "no expression": lambda: run("messages", facts),
+        "bad expression": lambda: run("messages", facts, expression="(?=x)"),
+        "bad glob": lambda: run("authors", facts, Transforms(include=["src/{a"])),
+        "bad rule": lambda: run("authors", facts, Transforms(layers=[layer("^(", "x")])),
+        "bad period": lambda: run("authors", temporal_windows(facts, -1)),
+        "bad dates": lambda: run("authors", facts.withColumn("date", F.replace("date", F.lit("-01-"), F.lit("-13-"))), Transforms(period=2)),
+        "bad day": lambda: run("code-age", facts, time_now="2002-02-30"),
+        "bad field": fields,
+        "bad name": lambda: run("nothing", facts),
+        "bad flag": lambda: run("authors", facts, nothing=1),
+    }
+    try:
+        rows = [outcome(spark, d, name, fn) for name, fn in cases.items()]
+    finally:
+        facts.unpersist()
+    return spark.createDataFrame(rows, "run string, code string, exit_code int, row_count long, total_count long, record string")
+
+
+def roles_sql() -> str:
+    """Per analysis that ``batch_counts`` has: its columns' roles, stated here, and its rows, counted by its own SQL."""
+    roles = {
+        "authors": "dimension,additive,additive", "revisions": "dimension,additive", "summary": "dimension,additive", "absolute-churn": "dimension,additive,additive,additive", "author-churn": "dimension,additive,additive,additive",
+        "entity-churn": "dimension,additive,additive,additive", "entity-ownership": "dimension,dimension,additive,additive", "main-developer": "dimension,dimension,additive,additive,intensive",
+        "refactoring-main-developer": "dimension,dimension,additive,additive,intensive", "main-developer-by-revisions": "dimension,dimension,additive,additive,intensive", "entity-effort": "dimension,dimension,additive,additive",
+        "fragmentation": "dimension,intensive,additive",
+    }
+    return " UNION ALL ".join(f"SELECT '{n}' AS analysis, '{r}' AS roles, count(*) AS n FROM ({ORACLE_SQL[n.replace('-', '_')]})" for n, r in roles.items())
+
+
+@query(roles_sql())
+def schema_roles(spark: SparkSession, d: str) -> DataFrame:
+    """What the described schema says of results that were run: each column's role, from the columns' own metadata, and how many rows there are."""
+    out = None
+    for name, table_ in counted(order_history(spark, d)).items():
+        declared = {c["name"]: command_list()["aggregation_roles"][c["semantic"]] for c in command_schema(name)["row_schema"]}
+        found = roles_of(table_.schema)
+        if found != declared:
+            raise ValueError(f"{name} declares {declared} and gives {found}")
+        rows = table_.agg(F.lit(name).alias("analysis"), F.lit(",".join(found.values())).alias("roles"), F.count("*").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
