@@ -25,6 +25,7 @@ from silt.shared import shared_dir
 
 CHUNK = 1 << 20
 BLOCK = 4 << 20  # bytes of text whose words a worker holds at once
+SLICE = 1 << 16  # words written at once
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 PARTITION_BYTES = 64 << 20  # stored bytes of input that a shuffle by key deals to one partition,
 MAX_PARTITIONS = 20_000  # or more of them where that would make more partitions than this: map tasks times partitions are blocks to keep track of
@@ -139,6 +140,35 @@ def chunks(data: bytes, size: int = CHUNK) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
+def word_limits(data: bytes, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of all words, and the bytes behind their last ones."""
+    raw, turns, inside = np.frombuffer(data, np.uint8), [np.empty(0, np.int64)], False
+    for at in range(0, len(raw), block):
+        part = raw[at : at + block]
+        word = (part != 32) & (part - np.uint8(9) > 4)
+        turn = np.flatnonzero(word[1:] != word[:-1]) + 1 + at
+        turns.append(np.r_[[at] * int(word[0] != inside), turn].astype(np.int64))
+        inside = bool(word[-1])
+    every = np.concatenate([*turns, [len(raw)] * int(inside)]).astype(np.int32)
+    return every[::2], every[1::2]
+
+
+def written(data: bytes, at: np.ndarray | None) -> Iterator[bytes]:
+    """The words ``at`` (all, where None) joined by single spaces, in parts."""
+    between = b""
+    if at is None:
+        for c in chunks(data):
+            if words := c.split():
+                yield between + b" ".join(words)
+                between = b" "
+        return
+    starts, stops = word_limits(data)
+    for i in range(0, len(at), SLICE):
+        part = at[i : i + SLICE]
+        yield between + b" ".join([data[a:b] for a, b in zip(starts[part].tolist(), stops[part].tolist())])
+        between = b" "
+
+
 def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

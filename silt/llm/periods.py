@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import CRC_SQL, chunks, crc32_sql, map_arrow, text_bytes, word_hashes
+from silt.llm.common import CRC_SQL, SLICE, chunks, crc32_sql, map_arrow, text_bytes, word_hashes, written
 
 LEAST = 12
 APPEND = 1 << 16  # words appended at once
 TOGETHER = 1 << 15  # words of short texts that share catchers
-SLICE = 1 << 16  # words written at once
 _MARK = np.uint64(1 << 63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SHIFT = np.uint64(29)
@@ -256,35 +255,6 @@ def hashed(data: bytes) -> np.ndarray:
     return np.concatenate([word_hashes(c.split()) for c in chunks(data)])
 
 
-def limits(data: bytes, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of all words, and the bytes behind their last ones."""
-    raw, turns, inside = np.frombuffer(data, np.uint8), [np.empty(0, np.int64)], False
-    for at in range(0, len(raw), block):
-        part = raw[at : at + block]
-        word = (part != 32) & (part - np.uint8(9) > 4)
-        turn = np.flatnonzero(word[1:] != word[:-1]) + 1 + at
-        turns.append(np.r_[[at] * int(word[0] != inside), turn].astype(np.int64))
-        inside = bool(word[-1])
-    every = np.concatenate([*turns, [len(raw)] * int(inside)]).astype(np.int32)
-    return every[::2], every[1::2]
-
-
-def written(data: bytes, at: np.ndarray | None) -> Iterator[bytes]:
-    """The words ``at`` (all, where None) joined by single spaces, in parts."""
-    between = b""
-    if at is None:
-        for c in chunks(data):
-            if words := c.split():
-                yield between + b" ".join(words)
-                between = b" "
-        return
-    starts, stops = limits(data)
-    for i in range(0, len(at), SLICE):
-        part = at[i : i + SLICE]
-        yield between + b" ".join([data[a:b] for a, b in zip(starts[part].tolist(), stops[part].tolist())])
-        between = b" "
-
-
 def planted(key: int | None, n: int) -> tuple[int, int] | None:
     """(a, p): in a tenth of the documents, by key, the words from ``a`` on repeat with period ``p``."""
     if key is None or not n:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silt.llm.common import chunks, map_arrow, mixed, saved, text_bytes, word_hashes
+from silt.llm.common import chunks, map_arrow, mixed, saved, text_bytes, word_hashes, written
 
 WINDOW = 50
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -197,12 +197,12 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     return joined.join(found, F.col("key") == F.col("k2"), "left").select("key", "text", "decided", "found")
 
 
-def kept(text: str | None, decided: list[tuple[int, int]], found: list[tuple[int, int]], window: int = WINDOW) -> tuple[int, list[bytes]]:
-    """A text's number of words, and those that stay."""
-    words = text_bytes(text).split()
+def kept(text: str | None, decided: list[tuple[int, int]], found: list[tuple[int, int]], window: int = WINDOW) -> tuple[int, np.ndarray | None]:
+    """A text's number of words, and the numbers of those that stay; None for all."""
+    words = _hashes(text)
     if not decided and not found:
-        return len(words), words
-    w = Windows(word_hashes(words), window)
+        return len(words), None
+    w = Windows(words, window)
     h, g = w.run_keys()
     steps = np.zeros(len(words) + 1, np.int64)
     done = _members(h, g, decided)
@@ -213,35 +213,41 @@ def kept(text: str | None, decided: list[tuple[int, int]], found: list[tuple[int
         at = at[_members(*w.keys(at, at + window), found)]
         np.add.at(steps, at, 1)
         np.add.at(steps, at + window, -1)
-    stay = np.cumsum(steps[:-1]) == 0
-    return len(words), [words[i] for i in np.flatnonzero(stay)]
+    return len(words), np.flatnonzero(np.cumsum(steps[:-1]) == 0)
 
 
-def _applied(docs: DataFrame, key: str, text: str, window: int, out, schema: str) -> DataFrame:
+def _applied(docs: DataFrame, key: str, text: str, window: int, row, schema: str) -> DataFrame:
+    """``row(number of words, of those that stay, these in parts)`` gives a document's columns; a worker holds the words of one part, however long the text is."""
+    names, types = zip(*((s.split()[0], {"long": pa.int64(), "string": pa.string()}[s.split()[1]]) for s in schema.split(", ")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [kept(t, _pairs(d), _pairs(f), window) for t, d, f in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *out(rows)], names=[s.split()[0] for s in schema.split(", ")])
+            rows = []
+            for t, d, f in zip(b.column(1), *(b.column(i).to_pylist() for i in (2, 3))):
+                t = t.as_py()
+                n, stay = kept(t, _pairs(d), _pairs(f), window)
+                rows.append(row(n, n if stay is None else len(stay), written(text_bytes(t), stay)))
+            columns = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, types))], names=[key, *names])
 
-    return map_arrow(marked(docs, key, text, window), run, schema)
+    return map_arrow(marked(docs, key, text, window), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256)."""
 
-    def out(rows):
-        yield pa.array([n for n, _ in rows], pa.int64())
-        yield pa.array([n - len(w) for n, w in rows], pa.int64())
-        yield pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for _, w in rows], pa.string())
+    def row(n: int, left: int, parts: Iterator[bytes]) -> tuple[int, int, str]:
+        digest = hashlib.sha256()
+        for p in parts:
+            digest.update(p)
+        return n, n - left, digest.hexdigest()
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _applied(docs, key, text, window, out, f"{key} {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _applied(docs, key, text, window, row, "n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, text): the words that stay, joined by single spaces."""
-    kind = docs.schema[key].dataType.simpleString()
-    return _applied(docs, key, text, window, lambda rows: [pa.array([b" ".join(w).decode("utf-8", "replace") for _, w in rows], pa.string())], f"{key} {kind}, {text} string")
+    return _applied(docs, key, text, window, lambda n, left, parts: (b"".join(parts).decode("utf-8", "replace"),), f"{text} string")
 
 
 ORACLE_SQL = r"""

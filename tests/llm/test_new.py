@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silt.llm import manifest, mixing, periods
+from silt.llm import common, manifest, mixing, periods
 
 from brute import plain_manifest, plain_runs, plain_runs_row, plain_targets, words
 
@@ -86,12 +86,12 @@ def test_collapse(spark):
 
 
 def test_words_are_written_in_parts(monkeypatch):
-    monkeypatch.setattr(periods, "SLICE", 3)
+    monkeypatch.setattr(common, "SLICE", 3)
     data = "  a bb\tccc\n dd é ".encode()
-    starts, stops = periods.limits(data, 4)
+    starts, stops = common.word_limits(data, 4)
     assert [data[a:b] for a, b in zip(starts, stops)] == data.split()
-    assert b"".join(periods.written(data, np.array([4, 0, 1, 3, 2]))) == "é a bb dd ccc".encode()
-    assert b"".join(periods.written(data, None)) == b" ".join(data.split())
+    assert b"".join(common.written(data, np.array([4, 0, 1, 3, 2]))) == "é a bb dd ccc".encode()
+    assert b"".join(common.written(data, None)) == b" ".join(data.split())
 
 
 # ---- manifests

@@ -75,6 +75,50 @@ def test_added_spans_and_redaction(spark):
     assert out == {1: "mail me: [EMAIL] or call [PHONE] now", 2: rows[1][1], 3: "[EMAIL] and [IP]", 4: None} and pii.redact(df).columns == df.columns
 
 
+def added_plainly(text):
+    """Spans that the trees add to the base ones: patterns, features and trees one after the other, on the text with earlier spans blanked out."""
+    trees, cuts = pii.model()
+    left, out = list(text), []
+    for start, _, end in base_of(text):
+        left[start:end] = "█" * (end - start)
+    for j, kind in enumerate(pii.KINDS):
+        whole = "".join(left)
+        if not re.search(pii.GATE[kind], whole):
+            continue
+        found = list(re.finditer(pii.WIDE[kind], whole))
+        for i, m in enumerate(found):
+            before = whole[found[i - 1].end() if i else 0 : m.start()][-pii.CONTEXT :]
+            after = whole[m.end() : found[i + 1].start() if i + 1 < len(found) else None][:8]
+            margin, x = trees.start, dict(zip(pii.FEATURES, pii._python_features(kind, m[0], before, after)))
+            for t in trees.trees:
+                while t.feature >= 0:
+                    t = t.low if x[pii.FEATURES[t.feature]] <= t.cut else t.high
+                margin += t.value
+            if margin >= cuts[j]:
+                out.append((m.start(), j, m.end()))
+                left[m.start() : m.end()] = "█" * (m.end() - m.start())
+    return out
+
+
+def test_added_spans_by_a_plain_reading_of_the_trees(spark):
+    """Random texts of examples, right and wrong, among words and base spans."""
+    r = random.Random(11)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    parts = [
+        lambda: "mail ann [at] site [dot] org", lambda: "joe at host dot net", lambda: "write x.y@z.example.com", lambda: "server fe80::1:2", lambda: "::1 host", lambda: f"card {digits(4)}.{digits(4)}.{digits(4)}.{digits(4)}",
+        lambda: f"id {digits(16)}", lambda: f"call ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"tel {digits(3)} {digits(4)} {digits(4)}", lambda: f"at {digits(2)}:{digits(2)}:{digits(2)}", lambda: f"pages {digits(3)}-{digits(3)}",
+        lambda: "10.0.0.1", lambda: "4111 1111 1111 1111", lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", lambda: r.choice(["the", "order", "version 2.0", "é", "phone", "isbn", "."]),
+    ]
+    texts = [" ".join(r.choice(parts)() for _ in range(r.randint(1, 14))) for _ in range(300)]
+    got = {x["doc_id"]: x["spans"] for x in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    added = 0
+    for i, t in enumerate(texts):
+        more = added_plainly(t)
+        added += len(more)
+        assert got[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base_of(t) + more)), t
+    assert added > 50
+
+
 def test_redaction_covers_every_reported_span(spark, monkeypatch):
     """Overlaps share the first span's placeholder; texts are cut by blocks at any place."""
     monkeypatch.setattr(pii, "CUT", 7)
