@@ -15,6 +15,7 @@ from silt.operators.coupling import all_filtered
 from silt.operators.transforms import Transforms, filter_paths, group_layers, in_folders, layer, map_teams, temporal_windows
 from silt.plans.batch import GENERATED, counted, trailing
 from silt.plans.encoding import encode
+from silt.plans.charts import chart_spec, meanings_of
 from silt.plans.describe import command_list, command_schema
 from silt.plans.result import Result, emit, run, store
 from silt.registry import lookup
@@ -731,3 +732,36 @@ def schema_roles(spark: SparkSession, d: str) -> DataFrame:
         rows = table_.agg(F.lit(name).alias("analysis"), F.lit(",".join(found.values())).alias("roles"), F.count("*").alias("n"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# What each result is drawn as: library, template, channel=column.
+DRAWN = {
+    "authors": ("vegalite", "Scatter Plot", "x=n_revs y=n_authors"),
+    "revisions": ("vegalite", "Bar Chart", "x=entity y=n_revs"),
+    "summary": ("vegalite", "KPI Card", "metric=statistic value=value"),
+    "absolute-churn": ("vegalite", "Stacked Bar Chart", "x=date y=added,deleted"),
+    "author-churn": ("vegalite", "Bar Chart", "x=author y=added"),
+    "entity-churn": ("vegalite", "Bar Chart", "x=entity y=added"),
+    "entity-ownership": ("vegalite", "Bar Chart", "x=entity y=added color=author"),
+    "main-developer": ("vegalite", "Bar Chart", "x=entity y=ownership color=main_dev"),
+    "refactoring-main-developer": ("vegalite", "Bar Chart", "x=entity y=ownership color=main_dev"),
+    "main-developer-by-revisions": ("vegalite", "Bar Chart", "x=entity y=ownership color=main_dev"),
+    "entity-effort": ("vegalite", "Bar Chart", "x=entity y=author_revs color=author"),
+    "fragmentation": ("vegalite", "Bar Chart", "x=entity y=fractal_value"),
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS analysis, '{l}' AS library, '{t}' AS template, '{c}' AS channels, count(*) AS marks FROM ({ORACLE_SQL[n.replace('-', '_')]})" for n, (l, t, c) in DRAWN.items()
+    )
+)
+def chart_specs(spark: SparkSession, d: str) -> DataFrame:
+    """The chart of each result, from its columns' meanings, and how many marks it has."""
+    out = None
+    for name, table_ in counted(order_history(spark, d)).items():
+        spec = chart_spec(meanings_of(table_), name)
+        channels = " ".join(f"{k}={','.join(v) if isinstance(v, list) else v}" for k, v in spec["channels"].items())
+        rows = table_.agg(*[F.lit(x).alias(n) for n, x in (("analysis", name), ("library", spec["library"]), ("template", spec["template"]), ("channels", channels))], F.count("*").alias("marks"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from silt import cli
 from silt.operators import renames as R
 from silt.operators import second as S
+from silt.errors import SiltError
 from silt.plans.batch import counted, lattice
+from silt.plans.charts import CHANNELS, chart_spec
 from silt.plans.result import emit, run
 from silt.registry import lookup
 from silt.schema import FACT
@@ -177,3 +179,40 @@ def test_intervals(spark):
 def test_nested_is_as_before():
     leaves = [{"entity": e, "size": i} for i, e in enumerate(["a/b/x", "a/c", "b", "a/b/y"])]
     assert S.nested(leaves) == {"name": "root", "children": [{"name": "a", "children": [{"name": "b", "children": [{"name": "x", "size": 0}, {"name": "y", "size": 3}]}, {"name": "c", "size": 1}]}, {"name": "b", "size": 2}]}
+
+
+# ---- charts
+
+
+@pytest.mark.parametrize(
+    "meanings, more, want",
+    [
+        ({"a": "person", "b": "person", "n": "count"}, {}, ("echarts", "Network Graph", {"x": "a", "y": "b", "size": "n"})),
+        ({"a": "person", "b": "person", "n": "count"}, {"library": "vegalite"}, ("vegalite", "Heatmap", {"x": "a", "y": "b", "color": "n"})),
+        ({"e": "filepath", "d": "date", "n": "count", "r": "ratio"}, {}, ("vegalite", "Bar Chart", {"x": "d", "y": "r", "color": "e"})),
+        ({"n": "count", "l": "loc", "r": "ratio"}, {}, ("vegalite", "Scatter Plot", {"x": "r", "y": "l"})),
+        ({"e": "filepath", "n": "count", "r": "ratio", "l": "loc"}, {"template": "Scatter Plot"}, ("vegalite", "Scatter Plot", {"x": "e", "y": "r", "size": "l"})),
+        ({"m": "duration_months"}, {}, ("vegalite", "Histogram", {"x": "m"})),
+        ({"e": "filepath", "m": "duration_months"}, {"analysis": "code-age"}, None),
+        ({"entity": "filepath", "age_months": "duration_months"}, {"analysis": "code-age"}, ("vegalite", "Histogram", {"x": "age_months"})),
+        ({"entity": "filepath", "age_months": "duration_months"}, {"analysis": "code-age", "template": "Lollipop Chart"}, ("vegalite", "Lollipop Chart", {"x": "entity", "y": "age_months"})),
+        ({"e": "filepath", "n": "count"}, {"library": "echarts"}, None),
+        ({"e": "filepath", "n": "count"}, {"template": "Pie"}, None),
+        ({"e": "filepath", "n": "count"}, {"template": "Network Graph", "library": "vegalite"}, None),
+        ({"t": "text", "c": "commit_id"}, {}, None),
+        ({"t": "nonsense"}, {}, None),
+        ({"e": "filepath"}, {"template": "KPI Card"}, None),
+        ({"e": "filepath", "n": "count", "f": "person"}, {"template": "Network Graph"}, None),  # a channel that the template lacks isn't given
+    ],
+)
+def test_charts(meanings, more, want):
+    if want is None and more.get("template") != "Network Graph" or more.get("library") == "vegalite" and want is None:
+        with pytest.raises(SiltError):
+            chart_spec(meanings, **more)
+        return
+    spec = chart_spec(meanings, **more)
+    if want is None:
+        assert set(spec["channels"]) <= set(CHANNELS[spec["library"]][spec["template"]])
+    else:
+        assert (spec["library"], spec["template"], spec["channels"]) == want
+        assert set(spec["kinds"]) <= set(meanings)
