@@ -765,3 +765,27 @@ def chart_specs(spark: SparkSession, d: str) -> DataFrame:
         rows = table_.agg(*[F.lit(x).alias(n) for n, x in (("analysis", name), ("library", spec["library"]), ("template", spec["template"]), ("channels", channels))], F.count("*").alias("marks"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+DOCUMENT_TERMS = "t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')) AS term FROM documents)"
+
+
+def document_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as commits: whole texts in the place of subjects."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("string").alias("rev"), F.col("text").alias("message"), F.col("doc_id").alias("ord"))
+
+
+query(f"WITH {DOCUMENT_TERMS} SELECT term, count(*) AS n FROM t WHERE term NOT IN ({STOP_SQL}) GROUP BY term ORDER BY n DESC, term LIMIT 200", "text_vocabulary")(
+    lambda spark, d: S.vocabulary(document_subjects(spark, d), 200)
+)
+query(f"WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z''+-]+')) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE length(term) >= 3 AND term NOT IN ({STOP_SQL}) GROUP BY term", "text_cloud")(
+    lambda spark, d: S.word_cloud(document_subjects(spark, d))
+)
+query(
+    f"""$FACTS, {PAIRS}, {INVOLVED.format(a="entity", b="coupled", w="degree", s="coupling")}, best AS (SELECT k FROM inv ORDER BY t DESC, k LIMIT 40),
+    ways AS (SELECT entity AS "row", coupled AS "column", entity AS a, coupled AS b, degree AS w FROM coupling UNION ALL SELECT coupled, entity, entity, coupled, degree FROM coupling),
+    one AS (SELECT "row", "column", w, row_number() OVER (PARTITION BY "row", "column" ORDER BY a DESC, b DESC, w DESC) AS n FROM ways)
+    SELECT "row", "column", CAST(w AS DOUBLE) AS weight FROM one WHERE n = 1 AND "row" IN (FROM best) AND "column" IN (FROM best)""",
+    "pair_matrix_files",
+)(lambda spark, d: S.pair_matrix(table("coupling", order_history(spark, d), **LOW), "entity", "coupled", "degree", 40))
