@@ -32,14 +32,16 @@ def trailing(facts: DataFrame, months: int = 12) -> DataFrame:
 def run_all(facts: DataFrame, months: int = 12, exclude: list[str] = (), **options: dict) -> dict[str, DataFrame]:
     """A lazy sorted table for each analysis but ``messages``, which has no default expression; ``options`` has flags by analysis.
 
-    The two histories are kept for all of them; release them with ``unpersist``.
+    The analyses that count come from one ``lattice`` of the history, which is written at once; the two histories are kept for the others; release them with ``unpersist``.
     """
     facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
     recent = trailing(facts, months)
     authored, full = (filter_paths(x, exclude=[*GENERATED, *exclude]) for x in (recent, facts))
-    out = {}
+    out, tables = {}, counted(authored)
     for a in analyses():
-        if a.name != "messages":
+        if a.name in tables and a.name not in WHOLE:
+            out[a.name] = tables[a.name].orderBy(*a.order())
+        elif a.name != "messages":
             source = recent if a.name in WHOLE else full if a.name in FULL_HISTORY else authored
             out[a.name] = a.run(source, **options.get(a.name.replace("-", "_"), {}))
     return out
