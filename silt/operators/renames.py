@@ -23,12 +23,13 @@ def following(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame
     """
     at = [F.asc(key), F.asc(order)]
     dealt = kept(rows.withColumn("__v", value).repartitionByRange(*at).withColumn("__part", F.spark_partition_id()), "asof")
-    inside = Window.partitionBy(key, "__part").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    # From the last row back: a frame that only grows is read once, one that only shrinks is read again for each row.
+    inside = Window.partitionBy(key, "__part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.where(F.col("__v").isNotNull()).groupBy(key, "__part").agg(F.min_by("__v", order).alias("__f"))
     parts = dealt.select(key, "__part").distinct().join(first, [key, "__part"], "left")
-    beyond = Window.partitionBy(key).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
-    later = parts.select(key, "__part", F.first("__f", ignorenulls=True).over(beyond).alias("__later"))
-    near = dealt.withColumn("__near", F.first("__v", ignorenulls=True).over(inside))
+    beyond = Window.partitionBy(key).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = parts.select(key, "__part", F.last("__f", ignorenulls=True).over(beyond).alias("__later"))
+    near = dealt.withColumn("__near", F.last("__v", ignorenulls=True).over(inside))
     return near.join(later, [key, "__part"]).select(*rows.columns, F.coalesce("__near", "__later").alias("next"))
 
 
@@ -36,7 +37,7 @@ def endings(renames: DataFrame) -> DataFrame:
     """(id, old, new, at, final) of renames (id, old, new, at): ``final`` is the name that the file ends up with."""
     events = renames.select(F.col("old").alias("name"), "at", F.lit(0).alias("turn"), "id", F.col("id").alias("opens"))
     asks = renames.select(F.col("new").alias("name"), "at", F.lit(1).alias("turn"), "id", F.lit(None).cast(renames.schema["id"].dataType).alias("opens"))
-    both = events.unionByName(asks).withColumn("place", F.struct("at", "turn"))  # renames at one place don't follow each other
+    both = events.unionByName(asks).withColumn("place", F.struct("at", "turn", "id"))  # renames at one place don't follow each other
     links = following(both, "name", "place", F.col("opens")).where("turn = 1").select("id", F.col("next").alias("to"))
     state = kept(links.select("id", F.coalesce("to", "id").alias("to"), F.col("to").isNull().alias("done")), "renames")
     for _ in range(MAX_ROUNDS):
@@ -62,7 +63,7 @@ def renamed(facts: DataFrame, renames: DataFrame) -> DataFrame:
     ends = endings(ids)
     marks = ends.select(F.col("old").alias("entity"), F.col("at").alias("ord"), F.lit(1).alias("turn"), "final", F.lit(None).cast(facts.select(F.struct("*").alias("r")).schema["r"].dataType).alias("r"))
     own = facts.select("entity", "ord", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("final"), F.struct("*").alias("r"))
-    known = own.where("entity is not null and ord is not null").unionByName(marks).withColumn("place", F.struct("ord", "turn"))
+    known = own.where("entity is not null and ord is not null").unionByName(marks).withColumn("place", F.struct("ord", "turn", "final"))
     met = following(known, "entity", "place", F.col("final")).where("turn = 0")
     free = facts.where("entity is null or ord is null").select(*facts.columns, F.col("entity").alias("path"))
     columns = [F.coalesce("next", "entity").alias(c) if c == "entity" else F.col(f"r.{c}").alias(c) for c in facts.columns]
