@@ -171,3 +171,44 @@ def test_pairs_on_streams(spark, tmp_path):
     low = {"min_revs": 1, "min_shared_revs": 1, "min_coupling": 1, "max_coupling": 100}
     want = lookup("coupling").run(facts, **low, max_changeset_size=3, verbose=True)
     assert sorted(map(tuple, streams.coupled(changes, **low).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    """And the newest rows are the whole table."""
+    facts = history(spark, 8, n=400)
+    written(facts, str(tmp_path / "in"), 8, 3)
+    out = str(tmp_path / "out")
+    sums = streams.ownership(streams.read_facts(spark, str(tmp_path / "in"), 1))
+    with streams.state_on_disk(spark):
+        q = sums.writeStream.outputMode("update").foreachBatch(streams.keep_batch(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    stored = spark.read.parquet(out)
+    assert stored.select("batch").distinct().count() == 8 and stored.count() <= 400
+    want = lookup("entity-ownership").run(facts)
+    assert sorted(map(tuple, streams.newest(stored, "entity", "author").collect())) == sorted(map(tuple, want.collect()))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_commits_share_entries_of_state(spark, tmp_path, buckets):
+    facts = history(spark, 9, n=160)
+    written(facts, str(tmp_path / "in"), 5, 2)
+    changes = streams.pair_changes(streams.read_facts(spark, str(tmp_path / "in"), 1), 3, buckets)
+    w = changes.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    w.awaitTermination()
+    assert w.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= buckets
+    low = {"min_revs": 1, "min_shared_revs": 1, "min_coupling": 1, "max_coupling": 100}
+    want = lookup("coupling").run(facts, **low, max_changeset_size=3, verbose=True)
+    got = streams.coupled(spark.read.schema(changes.schema).parquet(str(tmp_path / "out")), **low)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["stream_authors", "stream_coupling", "stream_ownership"])
+def test_batches_do_not_grow_with_files(spark, monkeypatch, name):
+    from silt import queries
+
+    seen, kept = [], streams.read_facts
+    monkeypatch.setattr(queries, "FILE_ROWS", 300)  # 6,000 lines: 20 files
+    monkeypatch.setattr(streams, "read_facts", lambda s, path, n: seen.append((len(list(s.read.parquet(path).inputFiles())), n)) or kept(s, path, n))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 1 and seen[0][0] >= 20 and -(-seen[0][0] // seen[0][1]) <= 4
