@@ -469,14 +469,8 @@ def teams_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query("$FACTS SELECT entity, author, CAST(sum(loc_added) AS BIGINT) AS added, CAST(sum(loc_deleted) AS BIGINT) AS deleted FROM facts GROUP BY entity, author")
 def stream_ownership(spark: SparkSession, d: str) -> DataFrame:
-    """The history as files that arrive one by one, and sums kept as state; each batch's table replaces the one before."""
-    source, out = scratch(spark, "stream"), scratch(spark, "stream-result")
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
-    order_history(spark, d).withColumn("ord", F.monotonically_increasing_id()).repartition(max(3, -(-rows // 1_000_000))).write.parquet(source)
-    sums = streams.ownership(streams.read_facts(spark, source, 1))
-    query_ = sums.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.read.parquet(out)
+    """The history as files that arrive, and sums kept as state; a batch writes the rows that it changes."""
+    return ended(streams.ownership(arrived(spark, d)), "update", scratch(spark, "stream-result"), "entity", "author")
 
 
 PARTS = "parts AS (SELECT 'part' || l_partkey AS entity, lower(hex(l_orderkey)) AS rev, strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(hex(l_orderkey), 16, '0') AS ord, l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -567,30 +561,35 @@ def batch_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+FILE_ROWS = 1_000_000
+BATCHES = 4  # at least three files and batches; a batch's tasks share its files, so larger ones take no more memory, and each batch opens all of the state's parts
+
+
 def arrived(spark: SparkSession, d: str) -> DataFrame:
     """The history as a stream of files, in no order: rows are dealt to them by a hash."""
     source = scratch(spark, "stream")
     facts = order_history(spark, d).withColumn("ord", F.xxhash64("ord"))
-    files = max(3, -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 1_000_000))
+    files = max(3, -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // FILE_ROWS))
     facts.repartition(files, "ord").write.parquet(source)
-    return streams.read_facts(spark, source, 1)
+    return streams.read_facts(spark, source, -(-files // BATCHES))
 
 
-def ended(df: DataFrame, mode: str, out: str) -> DataFrame:
-    """What a stream has written when all that is there has been read; in complete mode each batch's table takes the place of the one before."""
+def ended(df: DataFrame, mode: str, out: str, *keys: str) -> DataFrame:
+    """What a stream has written when all that is there has been read; in update mode the last row of each of ``keys``."""
     spark = df.sparkSession
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True)
+    with streams.state_on_disk(spark):
+        running = writer.format("parquet").start(out) if mode == "append" else writer.foreachBatch(streams.keep_batch(out)).start()
+    running.awaitTermination()
     if mode == "append":
-        writer.format("parquet").start(out).awaitTermination()
-    else:
-        writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+        return spark.read.schema(df.schema).parquet(out)
+    return streams.newest(spark.read.schema(df.schema.add("batch", "long")).parquet(out), *keys)
 
 
 @query("$FACTS SELECT entity, count(DISTINCT author) AS n_authors, count(DISTINCT (date, rev, author, message, loc_added, loc_deleted, \"binary\")) AS n_revs FROM facts GROUP BY entity")
 def stream_authors(spark: SparkSession, d: str) -> DataFrame:
     """Exact distinct counts over files that arrive in any order; rows that are alike in everything count once."""
-    return ended(streams.authors(arrived(spark, d)), "complete", scratch(spark, "stream-result"))
+    return ended(streams.authors(arrived(spark, d)), "update", scratch(spark, "stream-result"), "entity")
 
 
 @query(f"$FACTS, {coupling_sql(4, 1, 2, 5)} SELECT * FROM coupling")
