@@ -212,3 +212,48 @@ def test_batches_do_not_grow_with_files(spark, monkeypatch, name):
     monkeypatch.setattr(streams, "read_facts", lambda s, path, n: seen.append((len(list(s.read.parquet(path).inputFiles())), n)) or kept(s, path, n))
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert len(seen) == 1 and seen[0][0] >= 20 and -(-seen[0][0] // seen[0][1]) <= 4
+
+
+# ---- people
+
+
+def shuffled(df):
+    """Rows written by each shuffle of a query that has run."""
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_pairs_of_people_are_counted_where_they_lie(spark):
+    """20 entities of 100 people: 99,000 pairs and 198,000 rows come from shuffles of 2,000 records and lists."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    facts = spark.createDataFrame([(f"e{i}", "r", "2024-01-01", f"p{i:02}-{j:02}", "-", 1, 1, False, True, i * 100 + j) for i in range(20) for j in range(100)], FACT)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = lookup("communication").table(facts)
+        assert len(out.collect()) == 198_000
+        assert max(shuffled(out)) <= 2000, shuffled(out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+@pytest.mark.parametrize("hot", [0, 3, 10_000])
+@pytest.mark.parametrize("slice_", [2, 1024])
+def test_hot_people_and_others(spark, monkeypatch, hot, slice_):
+    from silt.operators import network
+
+    facts = history(spark, 10, n=120, authors=9)
+    facts = facts.unionByName(facts.limit(9).withColumn("entity", F.lit(None).cast("string"))).unionByName(facts.limit(9).withColumn("author", F.lit(None).cast("string")))
+    own = {(r["entity"], r["author"]) for r in facts.collect() if r["author"]}
+    people = {a for _, a in own}
+    n = {a: sum(x == a for _, x in own) for a in people}
+    shared = {(a, b): len({e for e, x in own if x == a and e} & {e for e, x in own if x == b and e}) for a in people for b in people if a != b}
+    monkeypatch.setattr(network, "HOT", hot)
+    monkeypatch.setattr(network, "SLICE", slice_)
+    got = {(r["author"], r["peer"]): (r["shared"], r["average"]) for r in lookup("communication").run(facts).collect()}
+    assert got == {(a, b): (k, -(-(n[a] + n[b]) // 2)) for (a, b), k in shared.items() if k}
