@@ -9,6 +9,7 @@ from silt.functions.exprs import average, percentage, truncated
 from silt.operators.counts import ENTITY
 from silt.registry import Flag, analysis
 from silt.schema import Column
+from silt.shared import partitions
 
 FLAGS = (
     Flag("min-revs", "int", 5, "least average number of commits of a pair"),
@@ -20,12 +21,20 @@ FLAGS = (
 )
 
 
+SETS_BYTES = 2 << 20  # stored bytes of input for each partition of commits: their pairs are many times as many as records
+
+
+def touched(facts: DataFrame) -> DataFrame:
+    """(rev, entity), each once, dealt by commit: one shuffle serves the distinct rows, sizes and sets, and a task has about as many pairs at any size of the history."""
+    return facts.select("rev", "entity").repartition(partitions(facts, SETS_BYTES), "rev").distinct()
+
+
 def change_sets(facts: DataFrame, largest: int) -> DataFrame:
     """(rev, entities): the sorted distinct entities of each commit that has at most ``largest``.
 
     The size is counted by a window, which spills, before anything is collected, so an array has ``largest`` entries at most.
     """
-    sized = facts.select("rev", "entity").distinct().withColumn("n", F.count("*").over(Window.partitionBy("rev")))
+    sized = touched(facts).withColumn("n", F.count("*").over(Window.partitionBy("rev")))
     return sized.where(F.col("n") <= largest).groupBy("rev").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
 
 
@@ -113,5 +122,5 @@ def all_filtered(facts: DataFrame, min_revs: int = 5, min_shared_revs: int = 5,
     change_sets=True,
 )
 def sum_of_coupling(facts: DataFrame, min_revs: int) -> DataFrame:
-    sized = facts.select("rev", "entity").distinct().withColumn("n", F.count("*").over(Window.partitionBy("rev")) - 1)
+    sized = touched(facts).withColumn("n", F.count("*").over(Window.partitionBy("rev")) - 1)
     return sized.groupBy("entity").agg(F.sum("n").alias("soc")).where(F.col("soc") > min_revs)

@@ -257,3 +257,20 @@ def test_hot_people_and_others(spark, monkeypatch, hot, slice_):
     monkeypatch.setattr(network, "SLICE", slice_)
     got = {(r["author"], r["peer"]): (r["shared"], r["average"]) for r in lookup("communication").run(facts).collect()}
     assert got == {(a, b): (k, -(-(n[a] + n[b]) // 2)) for (a, b), k in shared.items() if k}
+
+
+# ---- change sets
+
+
+def test_partitions_of_commits_follow_the_input(spark, monkeypatch, tmp_path):
+    """One shuffle, by commit, of as many partitions as the input asks for."""
+    from silt.operators import coupling
+
+    history(spark, 11).write.parquet(str(tmp_path / "in"))
+    facts = spark.read.parquet(str(tmp_path / "in"))
+    want = sorted(map(str, coupling.change_sets(facts, 5).collect()))
+    monkeypatch.setattr(coupling, "SETS_BYTES", 1 << 10)
+    sets = coupling.change_sets(facts, 5)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and sets.rdd.getNumPartitions() > 4
+    assert sorted(map(str, sets.collect())) == want
