@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq, ge, gt, le, lt
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
@@ -98,51 +100,153 @@ def _entry_rows(n: int, entry: list[str]) -> Iterator[tuple]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, at, n): the lines of the log and their order."""
+    """(value, file, at, length, n): the lines of the log, the file block each was read in, and their order."""
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(
-        F.regexp_replace("value", "\r\\z", "").alias("value"),
+        F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")).alias("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("at"),
+        F.col("_metadata.file_block_length").alias("length"),
         F.monotonically_increasing_id().alias("n"),
     )
 
 
+LINE_BITS = 36  # ord: the block's number, then the line's in it
+
+
+@dataclass
+class Before:
+    """What a block finds in front of its first line: entries so far, and of an entry that goes on, whether lines other than preludes were met, and its last leading prelude."""
+
+    number: int
+    entries: int
+    full: bool
+    closed: bool
+    head: bytes | None
+    next_prelude: bool = False  # what the block's last line is followed by
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool | None]]:
+    """The stretches of a batch that are of one block, each with whether a prelude of the same block follows it; None at the block's end."""
+    filled = (b for b in batches if b.num_rows)
+    batch = next(filled, None)
+    while batch is not None:
+        ahead, block = next(filled, None), batch["block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for start, stop in zip(cuts, cuts[1:]):
+            inside = stop == len(block) and ahead is not None and ahead["block"][0].as_py() == block[-1]
+            yield batch.slice(start, stop - start), ahead["prelude"][0].as_py() if inside else None
+        batch = ahead
+
+
+class _Walk:
+    """The lines of a block, stretch by stretch: entries are counted and each line gets its entry's last leading prelude."""
+
+    def __init__(self, before: Before):
+        self.entries, self.full, self.closed, self.head = before.entries, before.full, before.closed, before.head
+
+    def go(self, full: np.ndarray, prelude: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(entry, leading, head) of each line; ``texts`` has at least the preludes'."""
+        i, other = np.arange(len(full)), full & ~prelude
+        opens = full & ~np.concatenate(([self.full], full[:-1]))
+        entry, start, met = self.entries + np.cumsum(opens), np.maximum.accumulate(np.where(opens, i, -1)), np.cumsum(other)
+        closed = np.where(start >= 0, met - met[start] + other[start] > 0, self.closed | (met > 0))
+        leading = prelude & ~closed
+        last = np.maximum.accumulate(np.where(leading, i, -1))
+        found = np.where((last >= start) & (last >= 0), last, np.where(start < 0, len(full), -1))  # behind the texts: the head from before
+        known = pa.concat_arrays([texts, pa.array([self.head], texts.type)])
+        heads = known.take(pa.array(found, mask=found < 0))
+        self.entries, self.full = int(entry[-1]), bool(full[-1])
+        self.closed, self.head = (bool(closed[-1]), heads[-1].as_py()) if self.full else (False, None)
+        return entry, leading, heads
+
+
+def _flags(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(run[c].to_numpy(zero_copy_only=False) for c in ("full", "prelude"))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: what is needed to place it and to know where the next one stands."""
+    walk, row = None, {}
+    for run, following in _runs(batches):
+        full, prelude = _flags(run)
+        if walk is None:
+            walk = _Walk(Before(0, 0, False, False, None))
+            row = {c: run[c][0].as_py() for c in ("block", "file", "at")} | {"first": bool(full[0]), "first_prelude": bool(prelude[0]), "whole": True}
+        walk.go(full, prelude, run["value"])
+        row["whole"] &= bool(full.all())
+        if following is None:
+            yield pa.RecordBatch.from_pylist([row | {"opened": walk.entries, "last": walk.full, "closed": walk.closed, "head": walk.head}], schema=_SUMS)
+            walk = None
+
+
+_SUMS = pa.schema([("block", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("first", pa.bool_()), ("first_prelude", pa.bool_()), ("whole", pa.bool_()), ("opened", pa.int64()), ("last", pa.bool_()), ("closed", pa.bool_()), ("head", pa.binary())])
+_SUMS_DDL = "block long, file string, at long, first boolean, first_prelude boolean, whole boolean, opened long, last boolean, closed boolean, head binary"
+
+
+def _placed(sums: list) -> dict[int, Before]:
+    """What each block finds before it, from the blocks' sums in order."""
+    out: dict[int, Before] = {}
+    entries, full, closed, head, last = 0, False, False, None, None
+    for i, s in enumerate(sorted(sums, key=lambda s: (s["file"], s["at"]))):
+        if last is None or last["file"] != s["file"]:
+            full, closed, head = False, False, None
+        else:
+            out[last["block"]].next_prelude = s["first_prelude"]
+        out[s["block"]] = Before(i, entries, full, closed, head)
+        goes_on = full and s["first"]
+        entries += s["opened"] - goes_on
+        if goes_on and s["whole"]:
+            closed, head = closed or s["closed"], head if closed else s["head"] or head
+        else:
+            closed, head = s["closed"], s["head"]
+        full, last = s["last"], s
+    if len(out) != len(sums):
+        raise RuntimeError("two blocks of the log have one number")
+    return out
+
+
 def numbered(lines: DataFrame) -> DataFrame:
-    """Lines with the number of their entry; each file's blocks count by themselves, and sums over blocks, of which there are few, place them.
+    """(value, entry, head, leading, ord): lines with the number of their entry and its last leading prelude; of the leading ones the last alone.
 
-    Only counts of blocks meet in one task; the lines of a block stay in one, as they were read.
+    ``lines`` are as ``read_lines`` reads them, their values changed or not: a block's lines lie in one task, in order, so no line is shuffled.  Blocks are read twice:
+    first for a row each, of which the driver holds as many as there are blocks, then with what lies before them.
     """
-    block = Window.partitionBy("file", "at")
-    full = F.col("full")
     # A line that is an error by itself is never blank: it stays, and ``parsed`` names it.
     broken = F.col("value").rlike(CONTROL) | (F.octet_length("value") >= MAX_LINE)
-    marked = lines.withColumn("full", broken | (F.trim(F.translate("value", BLANKS, " " * len(BLANKS))) != ""))
-    opens = full & ~F.coalesce(F.lag("full").over(block.orderBy("n")), F.lit(False))
-    marked = marked.withColumn("opens", opens.cast("long"))
-    blocks = marked.groupBy("file", "at").agg(F.sum("opens").alias("opened"), F.min_by("full", "n").alias("first"), F.max_by("full", "n").alias("last"))
-    order = Window.orderBy("file", "at")
-    joined = (F.col("first") & F.coalesce(F.lag("last").over(order), F.lit(False)) & (F.lag("file").over(order) == F.col("file"))).cast("long")
-    placed = blocks.withColumn("joined", F.coalesce(joined, F.lit(0)))
-    before = F.sum(F.col("opened")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = placed.select("file", "at", (F.coalesce(before, F.lit(0)) - F.sum("joined").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("offset"))
-    running = F.sum("opens").over(block.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("own", running).join(offsets, ["file", "at"]).where("full").select("value", "file", "at", "n", (F.col("own") + F.col("offset")).alias("entry"))
-
-
-def parsed(lines: DataFrame) -> DataFrame:
-    """Fact columns, ``entry`` and ``error`` (null, or the code of what is wrong) for each line that isn't a prelude, and for each broken entry's head."""
-    w = Window.partitionBy("entry").orderBy("file", "at", "n")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    prelude = F.col("value").startswith("--")
-    counts = F.sum(F.when(~prelude, 1).otherwise(0)).over(so_far)
-    leading = prelude & (counts == 0)
-    head = F.last(F.when(leading, F.col("value")), ignorenulls=True).over(so_far)
-    ends = leading & ~F.coalesce(F.lead("value").over(w).startswith("--"), F.lit(False))
-    rows = lines.withColumn("head", head).withColumn("leading", leading).withColumn("ends", ends).where("not leading or ends")
-    f = F.split("head", "--", -1)
+    full = broken | F.col("value").rlike(f"[^{BLANKS}]")  # found at a line's first character but for blank ones
+    marked = lines.withColumn("block", F.xxhash64("file", "at", "length")).withColumn("full", full).withColumn("prelude", full & F.col("value").startswith("--"))
+    heads = marked.select("block", "file", "at", "full", "prelude", F.when(F.col("prelude"), F.col("value")).cast("binary").alias("value"))
+    before = _placed(heads.mapInArrow(_sums, _SUMS_DDL).collect())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = None
+        for run, following in _runs(batches):
+            if walk is None:
+                at = before.get(run["block"][0].as_py())
+                if at is None:
+                    raise RuntimeError("the log was split in another way while it was read")
+                walk, n = _Walk(at), at.number << LINE_BITS
+            full, prelude = _flags(run)
+            entry, leading, found = walk.go(full, prelude, run["value"])
+            ends = leading & ~np.concatenate((prelude[1:], [at.next_prelude if following is None else following]))
+            keep = pa.array(full & (~leading | ends))
+            columns = {"value": run["value"], "entry": pa.array(entry), "head": found, "leading": pa.array(leading), "ord": pa.array(n + np.arange(len(full)))}
+            yield pa.RecordBatch.from_pydict(columns).filter(keep)
+            n += len(full)
+            if following is None:
+                walk = None
+
+    # As bytes: a log may hold what isn't UTF-8.
+    rows = marked.select("block", "full", "prelude", F.col("value").cast("binary").alias("value")).mapInArrow(place, "value binary, entry long, head binary, leading boolean, ord long")
+    return rows.select(*[F.col(c).cast("string").alias(c) if c in ("value", "head") else c for c in rows.columns])
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Fact columns, ``entry`` and ``error`` (null, or the code of what is wrong) for each line that isn't a prelude, and for each entry's head."""
+    rows = rows.withColumns({"f": F.split("head", "--", -1), "p": F.split("value", "\t", 3)})  # columns, so that each line is split once
+    f, p = F.col("f"), F.col("p")
     good_head = (F.size(f) >= 4) & F.get(f, F.lit(1)).rlike(r"^[0-9a-f]+\z") & F.get(f, F.lit(2)).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
-    p = F.split("value", "\t", 3)
     added, deleted = F.get(p, F.lit(0)), F.get(p, F.lit(1))
     binary = (added == "-") | (deleted == "-")
     number = lambda c: F.when(c.rlike(r"^[+-]?[0-9]+\z"), F.regexp_replace(c, r"^\+", "").try_cast("bigint"))
@@ -163,7 +267,7 @@ def parsed(lines: DataFrame) -> DataFrame:
         F.when(binary, 0).otherwise(number(deleted)).cast("bigint").alias("loc_deleted"),
         binary.alias("binary"),
         F.lit(True).alias("has_loc"),
-        F.struct("file", "at", "n").alias("ord"),
+        "ord",
         "entry",
         error.alias("error"),
         "value",

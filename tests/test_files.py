@@ -13,6 +13,7 @@ from silt.operators import renames as R
 from silt.operators import second as S
 from silt.errors import SiltError
 from silt.plans.batch import counted, lattice
+from silt.sources.gitlog import numbered, parse_lines, parsed, read_lines, read_log
 from silt.plans.charts import CHANNELS, chart_spec
 from silt.plans.result import emit, run
 from silt.registry import lookup
@@ -125,6 +126,29 @@ def test_columns_of_unknown_results():
     assert kinds == {"a": "string", "b": "bigint", "c": "double", "d": "boolean", "e": "bigint"}
 
 
+# ---- logs in blocks
+
+
+def test_no_line_of_a_log_is_shuffled(spark, tmp_path):
+    """Entries over many blocks, in two files, are as the plain parser has them; bytes that aren't UTF-8 pass."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    files = []
+    for k in range(2):
+        text = "".join(f"{' ' * (i % 3)}\n--{i:x}--2024-01-0{1 + i % 9}--A--{'x' * (i % 7)}\n" * (1 + (i % 4 == 0)) + "".join(f"{j}\t1\tf{k}/{j}\n--late\n"[: None if i % 50 == 49 else -7] for j in range(i % 6)) for i in range(48))
+        files.append("\n" + "\n".join(x for x in text.split("\n") if not x.startswith("--late")) + "\n")
+        (tmp_path / f"{k}.log").write_text(files[-1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "70")
+    try:
+        rows = parsed(numbered(read_lines(spark, str(tmp_path))))
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        got = read_log(spark, str(tmp_path)).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r)[:9] for r in got] == [x[:9] for f in files for x in parse_lines(f.split("\n"))]
+    (tmp_path / "latin.log").write_bytes("--a--2024-01-01--J\xe9r\xf4me\n1\t2\tx\n".encode("latin-1"))
+    assert read_log(spark, str(tmp_path / "latin.log")).count() == 1
+
+
 # ---- the lattice
 
 
