@@ -45,7 +45,8 @@ def read_envelope(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 EDGE = 1 << 20  # bytes at a file's ends in which an envelope keeps what isn't rows; and by which a range is read on
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 64 << 20  # also what a task reads of many small ranges
+TASKS = 64  # as many tasks at least, where there are as many ranges
 ROWS = b'"rows":['
 
 
@@ -92,12 +93,32 @@ class EnvelopeSource(DataSource):
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     file: str
     start: int
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: as many ranges as have ``RANGE_BYTES`` together, so that many small files don't become as many tasks."""
+
+    ranges: list[Range]
+
+
+def packed(ranges: list[Range], least: int) -> list[Ranges]:
+    """``ranges`` in order, in lists of up to ``RANGE_BYTES``, or of less where they would be fewer than ``least``."""
+    most = min(RANGE_BYTES, -(-sum(r.stop - r.start for r in ranges) // least))
+    out, size = [], 0
+    for r in ranges:
+        if not out or size + r.stop - r.start > most:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += r.stop - r.start
+    return out
+
+
 class EnvelopeReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.ranges, self.names = options["path"], int(options.get("ranges", 0)), schema.names
@@ -108,9 +129,13 @@ class EnvelopeReader(DataSourceReader):
         for f in files_of(self.path)[1]:
             n = min(self.ranges or -(-f.size // RANGE_BYTES), f.size)
             out += [Range(f.path, f.size * i // n, f.size * (i + 1) // n) for i in range(n)]
-        return out
+        return packed(out, TASKS)
 
     def read(self, part):
+        for r in part.ranges:
+            yield from self.rows_of(r)
+
+    def rows_of(self, part):
         store, _ = opened(self.path)
         opening = re.compile(rb'(?:\},|"rows":\[)(\{"(?:' + b"|".join(re.escape(json.dumps(n)[1:-1].encode()) for n in self.names) + rb')":)')
         with store.open_input_file(part.file) as f:

@@ -13,6 +13,7 @@ from silt.operators import renames as R
 from silt.operators import second as S
 from silt.errors import SiltError
 from silt.plans.batch import counted, lattice
+from silt.sources.results import Range, packed
 from silt.sources.gitlog import numbered, parse_lines, parsed, read_lines, read_log
 from silt.plans.charts import CHANNELS, chart_spec
 from silt.plans.result import emit, run
@@ -126,6 +127,13 @@ def test_columns_of_unknown_results():
     assert kinds == {"a": "string", "b": "bigint", "c": "double", "d": "boolean", "e": "bigint"}
 
 
+def test_many_small_envelopes_are_few_tasks():
+    ranges = [Range(f"f{i}", 1000 * k, 1000 * (k + 1)) for i in range(5000) for k in range(4)]
+    tasks = packed(ranges, 64)
+    assert 64 <= len(tasks) <= 65 and [r for t in tasks for r in t.ranges] == ranges
+    assert len(packed([Range("f", 0, 64 << 20), Range("f", 64 << 20, 100 << 20)], 1)) == 2 and packed([], 64) == []
+
+
 # ---- logs in blocks
 
 
