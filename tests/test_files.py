@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from silt.operators import renames as R
 from silt.operators import second as S
 from silt.errors import SiltError
 from silt.plans.batch import counted, lattice
+from silt.plans.encoding import encode
+from silt.sources.emitted import json_lines
 from silt.sources.results import Range, packed
 from silt.sources.gitlog import numbered, parse_lines, parsed, read_lines, read_log
 from silt.plans.charts import CHANNELS, chart_spec
@@ -127,6 +130,14 @@ def test_columns_of_unknown_results():
     assert kinds == {"a": "string", "b": "bigint", "c": "double", "d": "boolean", "e": "bigint"}
 
 
+def test_rows_are_encoded_by_columns():
+    """As row by row, whatever they hold; only what has something to escape is looked at by itself."""
+    rows = [{"a": a, "n\"<": n, "x": x, "b": b} for a, n, x, b in [("p", 1, 1.0, True), ('q"\\', None, 0.25, None), (None, -(1 << 63), None, False), ("<é&\u2028\u2029\n\x1f\x7f", 0, 1e22, True), (None, None, None, None), ("", 7, -0.5, False)]]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("a", pa.string()), ("n\"<", pa.int64()), ("x", pa.float64()), ("b", pa.bool_())]))
+    assert json_lines(batch).to_pylist() == [encode({k: v for k, v in r.items() if v is not None}) + "\n" for r in rows]
+    assert json_lines(batch.slice(0, 0)).to_pylist() == []
+
+
 def test_many_small_envelopes_are_few_tasks():
     ranges = [Range(f"f{i}", 1000 * k, 1000 * (k + 1)) for i in range(5000) for k in range(4)]
     tasks = packed(ranges, 64)
