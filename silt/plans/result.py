@@ -68,31 +68,34 @@ def semantics_of(a: Analysis, options: dict[str, Any], transforms: Transforms) -
     return {c.name: "label" if transforms.layers is not None and c.semantic == "filepath" else c.semantic for c in a.visible(options)}
 
 
-def run(name: str, facts: DataFrame, transforms: Transforms | None = None, rows: int = 0, **given: Any) -> Result:
-    """One analysis over a fact table, to the end: sorted, limited, collected.  The driver holds the rows; ``store`` is for results that it can't."""
+def run(name: str, facts: DataFrame, transforms: Transforms | None = None, rows: int = 0, keep: bool = True, **given: Any) -> Result:
+    """One analysis over a fact table, to the end: sorted, limited, collected.  The driver holds the rows; ``store`` is for results that it can't.
+
+    The facts are kept while they are read more than once; ``keep=False`` is for those that lie in files, which are as cheap to read again.
+    """
     a, transforms = lookup(name), transforms or Transforms()
     options = a.options(given)
-    with _kept(transforms.apply(facts)) as facts:
+    with _kept(transforms.apply(facts), keep) as facts:
         warnings = _checked(a, facts, options, transforms)
-        table = a.run(facts, **given)
         if rows > 0:
-            # One more row tells whether the limit cuts anything; only then are all of them counted.
-            got = [r.asDict() for r in table.limit(rows + 1).collect()]
-            total = a.table(facts, **given).count() if len(got) > rows else len(got)
-            got = got[:rows]
+            # The rows are counted on their way to the limit, so the facts aren't read again for the total.
+            seen = Observation()
+            table = a.table(facts, **given).observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*a.order()).limit(rows)
+            got = [r.asDict() for r in table.select(*[c.name for c in a.visible(options)]).collect()]
+            total = seen.get["n"]
         else:
-            got = [r.asDict() for r in table.collect()]
+            got = [r.asDict() for r in a.run(facts, **given).collect()]
             total = len(got)
         if a.name == "coupling" and not got and (why := all_filtered(facts, **options)):
             warnings.append(warning("coupling_all_filtered", "no pair reached the thresholds", why))
     return Result(a, options, [{k: v for k, v in r.items() if v is not None} for r in got], total, semantics_of(a, options, transforms), transforms.record(), warnings)
 
 
-def store(name: str, facts: DataFrame, path: str, transforms: Transforms | None = None, fmt: str = "parquet", **given: Any) -> Result:
-    """One analysis whose rows tasks write to ``path``/rows, sorted, and the envelope without rows to ``path``/envelope; none of the rows pass through the driver."""
+def store(name: str, facts: DataFrame, path: str, transforms: Transforms | None = None, fmt: str = "parquet", keep: bool = True, **given: Any) -> Result:
+    """One analysis whose rows tasks write to ``path``/rows, sorted, and the envelope without rows to ``path``/envelope; none of the rows pass through the driver.  ``keep`` as in ``run``."""
     a, transforms = lookup(name), transforms or Transforms()
     options, spark = a.options(given), facts.sparkSession
-    with _kept(transforms.apply(facts)) as facts:
+    with _kept(transforms.apply(facts), keep) as facts:
         warnings = _checked(a, facts, options, transforms)
         seen = Observation()
         a.run(facts, **given).observe(seen, F.count(F.lit(1)).alias("n")).write.format(fmt).save(f"{path}/rows")
@@ -132,9 +135,9 @@ def emit(name: str, facts: DataFrame, path: str, transforms: Transforms | None =
 
 
 @contextmanager
-def _kept(facts: DataFrame) -> Iterator[DataFrame]:
-    """``facts`` kept while guards, result and totals read it, unless the caller keeps it already."""
-    own = facts.storageLevel == StorageLevel.NONE
+def _kept(facts: DataFrame, keep: bool = True) -> Iterator[DataFrame]:
+    """``facts`` kept while guards, result and totals read it, unless the caller keeps it already or asks for none."""
+    own = keep and facts.storageLevel == StorageLevel.NONE
     try:
         yield facts.persist(StorageLevel.MEMORY_AND_DISK) if own else facts
     finally:

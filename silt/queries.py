@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ from silt.plans.describe import command_list, command_schema
 from silt.plans.result import Result, emit, run, store
 from silt.registry import lookup
 from silt.schema import roles_of
-from silt.shared import shared_dir
-from silt.sources.adapters import nation_teams, order_history
+from silt.shared import kept, shared_dir
+from silt.sources.adapters import nation_teams, order_history, order_key
 from silt.sources.definitions import parse_layers, parse_teams
 from silt.sources.emitted import read_result
 from silt.sources.gitlog import numbered, parsed, preludes, read_lines, read_log, register, write_log
@@ -651,10 +653,11 @@ def envelope_ranges(spark: SparkSession, d: str) -> DataFrame:
     return read_envelope(spark, path, ranges=4)
 
 
-def outcome(spark: SparkSession, d: str, name: str, fn: Callable[[], Result]) -> tuple:
+def outcome(spark: SparkSession, d: str, name: str, fn: Callable[[], Result | dict]) -> tuple:
     """(run, code, exit_code, row_count, total_count, record) of one run: what it says of itself, or the error it ends with."""
     try:
-        e = fn().envelope()
+        r = fn()
+        e = r if isinstance(r, dict) else r.envelope()
         record = ";".join([*(f"{k}={encode(v)}" for k, v in e.get("transforms", {}).items()), *(f"{k}={encode(v)}" for k, v in e.get("params", {}).items())])
         return name, "ok", 0, e["row_count"], e.get("total_count", e["row_count"]), record
     except SiltError as e:
@@ -671,40 +674,47 @@ def outcome(spark: SparkSession, d: str, name: str, fn: Callable[[], Result]) ->
       ('bad day', 'invalid_time_now', 64, 0, 0, ''), ('bad field', 'invalid_field', 64, 0, 0, ''), ('bad name', 'unknown_command', 64, 0, 0, ''), ('bad flag', 'unknown_flag', 64, 0, 0, '')) AS v(run, code, exit_code, row_count, total_count, record)"""
 )
 def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Runs over the history and over broken forms of it: their codes, exit codes, counts and records of transforms."""
-    facts = order_history(spark, d).persist()
+    """Runs over the history and over broken forms of it: their codes, exit codes, counts and records of transforms.
+
+    The history is written once and read again by the columns that each run needs.  Results of as many rows as entities are written by tasks, and what they say of themselves is read back.
+    """
+    facts = kept(order_history(spark, d).drop("ord"), "outcomes").withColumn("ord", order_key())
     blank = scratch(spark, "blank-log")
     facts.limit(0).select(F.lit("").alias("value")).write.text(blank)
 
+    once = partial(run, keep=False)  # the facts lie in files
+
+    def stored(*args) -> dict:
+        path = scratch(spark, "outcome")
+        store(args[0], args[1], path, *args[2:], keep=False)
+        return json.loads(spark.read.text(f"{path}/envelope").first()[0])
+
     def fields() -> Result:
-        r = run("authors", facts, rows=1)
+        r = once("authors", facts, rows=1)
         r.json("rows.nothing")
         return r
 
     cases: dict[str, Callable[[], Result]] = {
-        "all": lambda: run("revisions", facts),
-        "first ten": lambda: run("authors", facts, rows=10),
-        "some": lambda: run("revisions", facts, Transforms(include=["src/brand1*/**"])),
-        "layers and teams": lambda: run("revisions", facts, Transforms(layers=[layer("src", "all")], teams=nation_teams(spark, d))),
-        "no rows": lambda: run("entity-churn", facts.limit(0)),
-        "no log": lambda: run("authors", read_log(spark, blank)),
-        "no counts": lambda: run("entity-churn", facts.withColumn("has_loc", F.lit(False))),
-        "no subjects": lambda: run("messages", facts.withColumn("message", F.lit("-")), expression="x"),
-        "no expression": lambda: run("messages", facts),
-        "bad expression": lambda: run("messages", facts, expression="(?=x)"),
-        "bad glob": lambda: run("authors", facts, Transforms(include=["src/{a"])),
-        "bad rule": lambda: run("authors", facts, Transforms(layers=[layer("^(", "x")])),
-        "bad period": lambda: run("authors", temporal_windows(facts, -1)),
-        "bad dates": lambda: run("authors", facts.withColumn("date", F.replace("date", F.lit("-01-"), F.lit("-13-"))), Transforms(period=2)),
-        "bad day": lambda: run("code-age", facts, time_now="2002-02-30"),
+        "all": lambda: stored("revisions", facts),
+        "first ten": lambda: once("authors", facts, rows=10),
+        "some": lambda: stored("revisions", facts, Transforms(include=["src/brand1*/**"])),
+        "layers and teams": lambda: once("revisions", facts, Transforms(layers=[layer("src", "all")], teams=nation_teams(spark, d))),
+        "no rows": lambda: once("entity-churn", facts.limit(0)),
+        "no log": lambda: once("authors", read_log(spark, blank)),
+        "no counts": lambda: once("entity-churn", facts.withColumn("has_loc", F.lit(False))),
+        "no subjects": lambda: once("messages", facts.withColumn("message", F.lit("-")), expression="x"),
+        "no expression": lambda: once("messages", facts),
+        "bad expression": lambda: once("messages", facts, expression="(?=x)"),
+        "bad glob": lambda: once("authors", facts, Transforms(include=["src/{a"])),
+        "bad rule": lambda: once("authors", facts, Transforms(layers=[layer("^(", "x")])),
+        "bad period": lambda: once("authors", temporal_windows(facts, -1)),
+        "bad dates": lambda: once("authors", facts.withColumn("date", F.replace("date", F.lit("-01-"), F.lit("-13-"))), Transforms(period=2)),
+        "bad day": lambda: once("code-age", facts, time_now="2002-02-30"),
         "bad field": fields,
-        "bad name": lambda: run("nothing", facts),
-        "bad flag": lambda: run("authors", facts, nothing=1),
+        "bad name": lambda: once("nothing", facts),
+        "bad flag": lambda: once("authors", facts, nothing=1),
     }
-    try:
-        rows = [outcome(spark, d, name, fn) for name, fn in cases.items()]
-    finally:
-        facts.unpersist()
+    rows = [outcome(spark, d, name, fn) for name, fn in cases.items()]
     return spark.createDataFrame(rows, "run string, code string, exit_code int, row_count long, total_count long, record string")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silt.schema import FACT
@@ -42,10 +42,17 @@ def order_history(spark: SparkSession, sf_dir: str, ranked: bool = False) -> Dat
         binary.alias("binary"),
         F.lit(True).alias("has_loc"),
     )
-    key = ["date", "rev", "entity", "author", "message", "loc_added", "loc_deleted", "binary"]
     if ranked:
-        return facts.withColumn("ord", F.row_number().over(Window.orderBy(*key)).cast("bigint"))
-    return facts.withColumn("ord", F.struct(*key))
+        return facts.withColumn("ord", F.row_number().over(Window.orderBy(*KEY)).cast("bigint"))
+    return facts.withColumn("ord", order_key())
+
+
+KEY = ["date", "rev", "entity", "author", "message", "loc_added", "loc_deleted", "binary"]
+
+
+def order_key() -> Column:
+    """The tuple that orders the history's rows; made when it is read, so a written history needn't hold every column twice."""
+    return F.struct(*KEY)
 
 
 def nation_teams(spark: SparkSession, sf_dir: str) -> DataFrame:

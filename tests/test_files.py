@@ -19,7 +19,7 @@ from silt.sources.emitted import json_lines
 from silt.sources.results import Range, packed
 from silt.sources.gitlog import numbered, parse_lines, parsed, read_lines, read_log
 from silt.plans.charts import CHANNELS, chart_spec
-from silt.plans.result import emit, run
+from silt.plans.result import emit, run, store
 from silt.registry import lookup
 from silt.schema import FACT
 from silt.sources.emitted import columns_of, read_result, register
@@ -168,6 +168,24 @@ def test_no_line_of_a_log_is_shuffled(spark, tmp_path):
     assert read_log(spark, str(tmp_path / "latin.log")).count() == 1
 
 
+# ---- runs over facts that lie in files
+
+
+def test_facts_in_files_are_not_kept_again(spark, facts, tmp_path, monkeypatch):
+    """``keep=False`` persists nothing, and a limit's total comes from the one pass over the facts."""
+    facts.write.parquet(str(tmp_path / "facts"))
+    lie = spark.read.parquet(str(tmp_path / "facts"))
+    want = [run("authors", facts, rows=n).envelope() for n in (1, 2, 100)]
+    asked = []
+    monkeypatch.setattr(type(facts), "persist", lambda df, *a: asked.append(df) or df)
+    monkeypatch.setattr(type(facts), "count", lambda df: asked.append(df))
+    assert [run("authors", lie, rows=n, keep=False).envelope() for n in (1, 2, 100)] == want
+    store("entity-churn", lie, str(tmp_path / "out"), keep=False)
+    assert not asked
+    monkeypatch.undo()
+    assert json.loads((spark.read.text(str(tmp_path / "out/envelope")).first()[0]))["row_count"] == lookup("entity-churn").run(facts).count()
+
+
 # ---- the lattice
 
 
