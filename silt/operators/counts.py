@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +49,14 @@ def entity_effort(facts: DataFrame) -> DataFrame:
     return own.withColumn("total_revs", F.sum("author_revs").over(Window.partitionBy("entity")))
 
 
+def square(n: C, total: C) -> C:
+    return (n.cast("double") / total) * (n.cast("double") / total)
+
+
 def squares(own: DataFrame) -> DataFrame:
     """(entity, fractal_value, total_revs) of rows (entity, author, n): one less the squares of shares, added in the order of authors, since the last bit of a sum of doubles depends on it."""
     each = own.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("author", "n"))).alias("a"), F.sum("n").alias("total_revs"))
-    share = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + (x["n"].cast("double") / F.col("total_revs")) * (x["n"].cast("double") / F.col("total_revs")))
+    share = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + square(x["n"], F.col("total_revs")))
     return each.select("entity", centi(F.lit(1.0) - share).alias("fractal_value"), "total_revs")
 
 

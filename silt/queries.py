@@ -554,7 +554,7 @@ def tall_sql() -> str:
 
 @query(tall_sql())
 def batch_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve analyses from one lattice of counts, which shuffles the history twice."""
+    """Twelve analyses from one lattice of counts, which shuffles the history twice, and its people once more by entity."""
     out = None
     for name, table_ in counted(order_history(spark, d)).items():
         picked = [(F.col(c) if c else F.lit(None)).cast("string" if i < 2 else "double").alias(n) for i, (c, n) in enumerate(zip(TALL[name], ("k1", "k2", "x1", "x2", "x3")))]

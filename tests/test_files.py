@@ -206,6 +206,17 @@ def test_the_lattice_shuffles_facts_twice(spark, facts, monkeypatch):
 
 
 
+def test_tables_of_entities_are_not_shuffled_again(spark, facts):
+    """Commits of several people and days, and of none, count once; what follows the lattice only reads what is written."""
+    rows = [(f"e{i % 3}", None if i % 7 == 0 else f"r{i % 4}", f"2024-01-0{1 + i % 2}", f"p{i % 5}", "-", i, None if i % 2 else i, False, True, i) for i in range(60)]
+    tables = counted(spark.createDataFrame(rows, FACT))
+    for name, table in tables.items():
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert name in ("summary", "absolute-churn", "author-churn") or "Exchange" not in plan, name
+        want = lookup(name).table(spark.createDataFrame(rows, FACT)).select(*table.columns)
+        assert sorted(map(str, table.collect())) == sorted(map(str, want.collect())), name
+
+
 # ---- envelopes and folders
 
 
