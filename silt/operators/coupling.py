@@ -29,13 +29,17 @@ def touched(facts: DataFrame) -> DataFrame:
     return facts.select("rev", "entity").repartition(partitions(facts, SETS_BYTES), "rev").distinct()
 
 
+def sized(facts: DataFrame, largest: int) -> DataFrame:
+    """(rev, entity) of commits that touched at most ``largest`` entities."""
+    return touched(facts).withColumn("n", F.count("*").over(Window.partitionBy("rev"))).where(F.col("n") <= largest).drop("n")
+
+
 def change_sets(facts: DataFrame, largest: int) -> DataFrame:
     """(rev, entities): the sorted distinct entities of each commit that has at most ``largest``.
 
     The size is counted by a window, which spills, before anything is collected, so an array has ``largest`` entries at most.
     """
-    sized = touched(facts).withColumn("n", F.count("*").over(Window.partitionBy("rev")))
-    return sized.where(F.col("n") <= largest).groupBy("rev").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
+    return sized(facts, largest).groupBy("rev").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
 
 
 def pair_counts(sets: DataFrame) -> DataFrame:
@@ -45,8 +49,20 @@ def pair_counts(sets: DataFrame) -> DataFrame:
 
 
 def candidates(facts: DataFrame, largest: int) -> DataFrame:
-    """Every pair with its numbers, before any threshold; the pairs are shuffled once and serve all three uses."""
-    return numbers(pair_counts(change_sets(facts, largest)))
+    """Every pair with its numbers, before any threshold.
+
+    Each entity takes its number of commits along into the sets, so the pairs, many times as many as the records, are shuffled once, to be counted, and joined with nothing.
+    """
+    kept = sized(facts, largest).where("entity is not null")
+    own = kept.groupBy("entity").agg(F.count("*").alias("revs"))
+    dealt = kept.join(own, "entity").repartition(partitions(facts, SETS_BYTES), "rev")
+    sets = dealt.groupBy("rev").agg(F.sort_array(F.collect_list(F.struct("entity", "revs"))).alias("entities"))
+    both = lambda x, y: F.struct(x["entity"].alias("a"), y["entity"].alias("b"), x["revs"].alias(REVS[0]), y["revs"].alias(REVS[1]))
+    pairs = F.flatten(F.transform("entities", lambda x, i: F.transform(F.slice("entities", i + 2, F.size("entities")), lambda y: both(x, y))))
+    return degrees(sets.select(F.inline(pairs)).groupBy("a", "b", *REVS).agg(F.count("*").alias("shared")))
+
+
+REVS = ["first_entity_revisions", "second_entity_revisions"]
 
 
 def numbers(pairs: DataFrame) -> DataFrame:
@@ -54,7 +70,10 @@ def numbers(pairs: DataFrame) -> DataFrame:
     own = pairs.where("a = b")
     first = own.select("a", F.col("shared").alias("first_entity_revisions"))
     second = own.select("b", F.col("shared").alias("second_entity_revisions"))
-    out = pairs.where("a < b").join(first, "a").join(second, "b")
+    return degrees(pairs.where("a < b").join(first, "a").join(second, "b"))
+
+
+def degrees(out: DataFrame) -> DataFrame:
     avg = average(F.col("first_entity_revisions"), F.col("second_entity_revisions"))
     return out.withColumn("avg", avg).withColumn("degree_f", percentage(F.col("shared") / F.col("avg")))
 

@@ -274,3 +274,21 @@ def test_partitions_of_commits_follow_the_input(spark, monkeypatch, tmp_path):
     plan = sets._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and sets.rdd.getNumPartitions() > 4
     assert sorted(map(str, sets.collect())) == want
+
+
+def test_pairs_are_shuffled_once(spark, tmp_path):
+    """Pairs are counted and joined with nothing: their names are exchanged only where they are grouped."""
+    from silt.operators import coupling
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = history(spark, 12)
+        out = coupling.candidates(facts, 5)
+        pairs = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(a#" in x or "Exchange hashpartitioning(b#" in x]
+        assert len(pairs) == 1
+        columns = ["a", "b", "shared", *coupling.REVS, "avg", "degree_f"]
+        want = coupling.numbers(coupling.pair_counts(coupling.change_sets(facts, 5)))
+        assert sorted(map(str, out.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
