@@ -168,6 +168,17 @@ def test_no_line_of_a_log_is_shuffled(spark, tmp_path):
     assert read_log(spark, str(tmp_path / "latin.log")).count() == 1
 
 
+def test_renamed_rows_carry_each_column_once(spark, monkeypatch):
+    f = spark.createDataFrame([("a", "r1", 1, 7), ("b", "r2", 3, 8)], "entity string, rev string, ord long, more long")
+    e = spark.createDataFrame([("a", "b", 2)], "old string, new string, at long")
+    seen, kept = [], R.kept
+    monkeypatch.setattr(R, "kept", lambda df, label: seen.append((label, df.schema)) or kept(df, label))
+    assert sorted(map(tuple, R.renamed(f, e).select("entity", "rev", "ord", "more", "path").collect())) == [("b", "r1", 1, 7, "a"), ("b", "r2", 3, 8, "b")]
+    written = [s for label, s in seen if label == "asof" and "r" in s.names]
+    assert len(written) == 1 and "place" not in written[0].names and written[0]["r"].dataType.names == ["rev", "more"]
+    assert R.renamed(f.select("entity", "ord"), e).columns == ["entity", "ord", "path"]
+
+
 # ---- runs over facts that lie in files
 
 
