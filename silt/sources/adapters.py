@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silt.schema import FACT
+from silt.shared import partitions
+
+JOINED = 8 << 20  # stored bytes of lines for each partition of the join
 
 
 def as_facts(df: DataFrame) -> DataFrame:
@@ -23,13 +26,17 @@ def as_facts(df: DataFrame) -> DataFrame:
 def order_history(spark: SparkSession, sf_dir: str, ranked: bool = False) -> DataFrame:
     """Orders as commits, customers as authors, parts as files.
 
+    People are joined to orders, which are fewer than lines.  Where the input asks for more partitions than the session's, lines and orders are dealt by its size, so a task's sorts don't grow with it.
     ``ranked`` numbers the rows over all columns for ``ord``, which sorts everything; else ``ord`` is the tuple itself, which orders the same and costs nothing.
     """
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag")
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     people, parts = t("customer").select("c_custkey", "c_name"), t("part").select("p_partkey", "p_brand")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    commits = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    if (n := partitions(lines, JOINED)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines, commits = lines.repartition(n, "l_orderkey"), commits.repartition(n, "o_orderkey")
+    rows = lines.join(commits, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     binary = F.col("l_returnflag") == "N"
     facts = rows.select(
         F.concat(F.lit("src/"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("/part"), F.col("l_partkey").cast("string")).alias("entity"),

@@ -292,3 +292,16 @@ def test_pairs_are_shuffled_once(spark, tmp_path):
         assert sorted(map(str, out.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_the_joins_of_a_history_follow_the_input(spark, monkeypatch):
+    """Lines and orders are dealt by the size of the lines where that asks for more partitions than the session's."""
+    from silt.sources import adapters
+
+    plain = adapters.order_history(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(adapters, "JOINED", 1 << 12)
+    dealt = adapters.order_history(spark, "/root/testdata/sf0.001")
+    many = dealt._jdf.queryExecution().executedPlan().toString()
+    assert many.count("REPARTITION_BY_NUM") == 2 and "REPARTITION_BY_NUM" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert dealt.rdd.getNumPartitions() > 4
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
