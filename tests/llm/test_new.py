@@ -121,6 +121,20 @@ def test_proofs_fold_to_the_root(spark):
         assert manifest.folded(r["leaf"], r["lefts"], r["rights"]) == r["root"] == r["version_root"]
 
 
+def test_every_root_is_recomputed(spark, monkeypatch):
+    """A sibling damaged on its way down shows in every row below it, tampered with or not: no row's root is taken over."""
+    plain = manifest.descend
+
+    def damaged(steps, above, label):
+        out = plain(steps, above, label)
+        return out.withColumn("rights", F.transform("rights", lambda x: F.concat(x, F.lit("0"))))
+
+    monkeypatch.setattr(manifest, "descend", damaged)
+    rows = [(i, f"s{i % 3}", "en", 1, f"T{i}") for i in range(600)]
+    got = manifest.report(spark.createDataFrame(rows, FIELDS)).collect()
+    assert len(got) == 600 and not [r["doc_id"] for r in got if r["verified"] or r["folded_root"] == r["root"]]
+
+
 def test_versions_share_nodes():
     """A change copies the nodes on one path; every other node is the same object in both versions."""
     tree = manifest.built([hashlib.sha256(bytes([i])).hexdigest() for i in range(200)], 2)
