@@ -2,7 +2,9 @@
 
 import random
 import re
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +244,65 @@ def test_pairs_of_people_are_counted_where_they_lie(spark):
         spark.conf.set("spark.sql.adaptive.enabled", old)
 
 
+def bytes_shuffled(df):
+    """Bytes written by all shuffles of a query that has run."""
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        found += node.metrics().apply("shuffleBytesWritten").value() if node.nodeName() == "Exchange" else 0
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_pairs_of_people_are_shuffled_in_few_bytes(spark):
+    """2,000 entities of 40 people: 3.1 million rows come from 1.56 million pairs, for each of which all shuffles together write fewer than 8 bytes."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    entity, who = F.concat(F.lit("src/e"), F.col("id") % 2000), F.format_string("Customer#%09d", F.pmod(F.xxhash64("id"), F.lit(20_000)))
+    facts = spark.range(80_000).select(entity.alias("entity"), who.alias("author"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = lookup("communication").table(facts)
+        assert sum(r["shared"] for r in out.collect()) > 3_000_000
+        assert 0 < bytes_shuffled(out) < 8 * 1_560_000, bytes_shuffled(out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def lists_of_people(r, n):
+    """Lists of people by name, some of two slices, as ``peers.pairs_of`` takes them, and how many hold each pair."""
+    rows, want = [], {}
+    n_of = {f"p{k}é" if k else "": r.randint(1, 9) for k in range(40)}
+    for _ in range(n):
+        i, j = r.choice([(0, 0), (1, 1), (0, 2)])
+        people = [{"author": a, "n": n_of[a], "slice": r.choice([i, j]), "h": zlib.crc32(a.encode()) * 2**31 - 2**61} for a in sorted(r.sample(sorted(n_of), r.randint(1, 20)))]
+        rows.append({"i": i, "j": j, "people": people})
+        for k, x in enumerate(people):
+            for y in people[k + 1 :]:
+                if x["n"] <= 5 and (i == j or x["slice"] != y["slice"]):
+                    key = (x["author"], x["n"], y["author"], y["n"])
+                    want[key] = want.get(key, 0) + 1
+    return rows, want
+
+
+@pytest.mark.parametrize("parts", [1, 3, 100])
+@pytest.mark.parametrize("turns", [1, 4])
+def test_packed_lists_of_people(monkeypatch, parts, turns):
+    """Each pair is counted once whole, in one part and turn, however lists are cut and dealt."""
+    from silt.operators import peers
+
+    monkeypatch.setattr(peers, "ENTRIES", 50)
+    rows, want = lists_of_people(random.Random(parts), 60)
+    kind = pa.struct([("author", pa.string()), ("n", pa.int64()), ("slice", pa.int32()), ("h", pa.int64())])
+    batch = pa.record_batch([pa.array([x["i"] for x in rows], pa.int32()), pa.array([x["j"] for x in rows], pa.int32()), pa.array([x["people"] for x in rows], pa.list_(kind))], ["i", "j", "people"])
+    dealt = {}
+    for b in [b for half in (batch.slice(0, 25), batch.slice(25)) for b in peers._packed(half, parts, 5)]:
+        for r in b.to_pylist():
+            dealt.setdefault(r.pop("part"), []).append(tuple(r.values()))
+    got = [tuple(r.values()) for found in dealt.values() for turn in range(turns) for b in peers._pairs(found, turn, turns) for r in b.to_pylist()]
+    assert len(got) == len(want) and {x[:4]: x[4] for x in got} == want and set(dealt) <= set(range(parts))
+
+
 @pytest.mark.parametrize("hot", [0, 3, 10_000])
 @pytest.mark.parametrize("slice_", [2, 1024])
 def test_hot_people_and_others(spark, monkeypatch, hot, slice_):
