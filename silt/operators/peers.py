@@ -40,7 +40,12 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def _unplaned(data: np.ndarray, kind: type, count: int) -> np.ndarray:
-    return np.ascontiguousarray(data.reshape(-1, count).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(data.reshape(-1, count).T).reshape(-1).view(kind)
+
+
+def _alike(lengths: np.ndarray) -> bool:
+    """Whether names are all of one length, so that their bytes have equal places too."""
+    return len(lengths) > 0 and lengths[0] > 0 and bool((lengths == lengths[0]).all())
 
 
 def _limits(lengths: np.ndarray) -> np.ndarray:
@@ -57,14 +62,17 @@ def pack(x: Lists) -> tuple[int, int, int, bytes]:
     offsets = np.frombuffer(x.names.buffers()[1], np.int64)[x.names.offset : x.names.offset + len(x.names) + 1]
     chars = x.names.buffers()[2]
     chars = b"" if chars is None else chars.to_pybytes()[offsets[0] : offsets[-1]]
-    data = b"".join([_planes(x.sizes.astype(np.int64)), x.turns.tobytes(), x.sides.tobytes(), _planes(x.n), _planes(np.diff(offsets)), chars])
+    lengths = np.diff(offsets)
+    text = _planes(np.frombuffer(chars, np.uint8).reshape(len(lengths), -1)) if _alike(lengths) else chars
+    data = b"".join([_planes(x.sizes.astype(np.int64)), x.turns.tobytes(), x.sides.tobytes(), _planes(x.n), _planes(lengths), text])
     return len(x.sizes), len(x.names), len(chars), _CODEC.compress(data, asbytes=True)
 
 
 def unpack(lists: int, entries: int, chars: int, packed: bytes) -> Lists:
     data = np.frombuffer(_CODEC.decompress(packed, decompressed_size=8 * lists + 18 * entries + chars), np.uint8)
     sizes, turns, sides, n, lengths, text = np.split(data, np.cumsum([8 * lists, entries, entries, 8 * entries, 8 * entries]))
-    offsets = _limits(_unplaned(lengths, np.int64, entries))
+    lengths = _unplaned(lengths, np.int64, entries)
+    text, offsets = _unplaned(text, np.uint8, entries) if _alike(lengths) else text, _limits(lengths)
     names = pa.LargeStringArray.from_buffers(entries, pa.py_buffer(offsets), pa.py_buffer(text))
     return Lists(_unplaned(sizes, np.int64, lists), turns, sides, _unplaned(n, np.int64, entries), names)
 

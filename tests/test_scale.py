@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -269,6 +270,15 @@ def test_pairs_of_people_are_shuffled_in_few_bytes(spark):
         spark.conf.set("spark.sql.adaptive.enabled", old)
 
 
+@pytest.mark.parametrize("names", [["aé", "bcd", "xyz"], ["aé", "", "b\u00e9c", "x\0"], ["", ""]])
+def test_lists_of_people_unpack_as_packed(names):
+    from silt.operators import peers
+
+    x = peers.Lists(np.array([len(names)]), np.arange(len(names), dtype=np.uint8), np.ones(len(names), np.uint8), np.arange(len(names), dtype=np.int64) << 40, pa.array(names, pa.large_string()))
+    y = peers.unpack(*peers.pack(x))
+    assert [list(a) for a in y[:4]] == [list(a) for a in x[:4]] and y.names.to_pylist() == names
+
+
 def lists_of_people(r, n):
     """Lists of people by name, some of two slices, as ``peers.pairs_of`` takes them, and how many hold each pair."""
     rows, want = [], {}
